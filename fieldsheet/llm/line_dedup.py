@@ -124,10 +124,12 @@ def digest(key: bytes) -> bytes:
     return hashlib.sha256(key).digest()[:16]
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, kept`` for each row; ``kept`` is the text that is left."""
+def dedup_lines(docs: DataFrame, *keep: str) -> DataFrame:
+    """``doc_id, n_lines, n_dropped, kept`` for each row, and its columns ``keep``; ``kept`` is the text
+    that is left."""
     spark = docs.sparkSession
-    d = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    whole = pick(docs, "doc_id", "text", *keep).withColumn("doc_id", F.col("doc_id").cast("long"))
+    d = whole.select("doc_id", "text")
     twice = spark.sparkContext.broadcast(repeat_filter(d))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +147,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     s = cut(d.mapInArrow(suspects, "doc_id long, key binary"))
     first = s.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
     drops = s.join(first, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("drops"))
-    d = d.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    joined = d.join(drops.withColumnRenamed("doc_id", "_id"), "_id", "left").select("doc_id", "text", "drops")
+    drops = drops.withColumnRenamed("doc_id", "_id")
+    joined = whole.join(drops, F.coalesce(whole["doc_id"], F.lit(NO_ID)) == drops["_id"], "left").select("doc_id", "text", "drops", *keep)
+    schema = "doc_id long, n_lines long, n_dropped long, kept string" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in whole.schema if f.name in keep)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,9 +163,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 n.append(len(lines))
                 gone.append(len(lines) - len(left))
                 kept.append(b"\n".join(left))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_lines", "n_dropped", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *[batch.column(c) for c in keep]], ["doc_id", "n_lines", "n_dropped", "kept", *keep])
 
-    return joined.mapInArrow(strip, "doc_id long, n_lines long, n_dropped long, kept string")
+    return joined.mapInArrow(strip, schema)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

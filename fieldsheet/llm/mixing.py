@@ -81,12 +81,17 @@ def _local(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(text, f"array<struct<{schema}>>")))
 
 
-def allocate(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, seed: int = 42) -> DataFrame:
-    """A row a document: ``doc_id, source, size, source_size, target, shards``; ``shards`` has one
-    entry for each time the mix takes the document."""
+def allocate(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row a document: ``doc_id, source, size, source_size, target, shards`` and its columns ``keep``;
+    ``shards`` has one entry for each time the mix takes the document.
+
+    Counts come from slim rows that are kept; with ``keep`` the documents are read again and meet
+    their blocks' shards by broadcast, so texts aren't shuffled."""
     spark = docs.sparkSession
-    d = pick(docs, "doc_id", "text", "source").select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
-    d = cut(d)
+    own = ("doc_id", "text", "source")
+    rows = pick(docs, *own, *[k for k in keep if k not in own]).withColumn("source", F.col("source").cast("string")).withColumn("size", words(F.col("text")))
+    slim = cut(rows.select("doc_id", "source", "size"))
+    d = slim
     total = sorted(d.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect(), key=lambda r: (r[0] is None, r[0] or ""))
     t = targets([float(r.s) for r in total], [weights[i % len(weights)] for i in range(len(total))], share)
     per = [
@@ -99,8 +104,9 @@ def allocate(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     few = len(per) * MAX_BLOCKS <= BROADCAST_ROWS
     small = (lambda x: F.broadcast(x)) if few else (lambda x: x)
     src = _local(spark, per, "sid long, source string, source_size long, target double, blocks long, passes int, rest double")
-    d = d.join(small(src.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    d = d.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "blocks"))
+    src = small(src.withColumnRenamed("source", "_s"))
+    blocked = lambda x: x.join(src, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "blocks"))
+    d = blocked(slim)
 
     # The permuted blocks of each source, and how far each lies within the last, partial pass.
     b = d.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
@@ -126,10 +132,12 @@ def allocate(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
         F.sort_array(F.collect_list(F.when(~F.col("edge"), F.struct("copy", "shard")))).alias("whole"),
         F.max(F.when(F.col("edge"), F.col("shard"))).alias("edge_shard"), F.max(F.when(F.col("edge"), F.col("rest") - F.col("start"))).alias("edge_words"),
     )
+    if keep:
+        d = blocked(rows)
     d = d.join(small(placed), ["sid", "block"], "left")
     # Documents of a block at the edge, one block a source at most: as many as come nearest to the rest.
     by = Window.partitionBy("sid", "block").orderBy(F.xxhash64(F.lit(seed), F.lit("edge"), "doc_id"), "doc_id", "size")
-    keep = ["doc_id", "source", "size", "source_size", "target"]
+    keep = ["doc_id", "source", "size", "source_size", "target", *[k for k in keep if k not in ("doc_id", "source")]]
     whole = F.transform(F.coalesce("whole", F.expr("array()")), lambda x: x["shard"])
     rest = d.where("edge_shard IS NULL").select(*keep, whole.alias("shards"))
     edge = d.where("edge_shard IS NOT NULL").withColumn("upto", F.sum("size").over(by))
@@ -138,11 +146,12 @@ def allocate(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return rest.unionByName(edge)
 
 
-def mixed(docs: DataFrame, seed: int = 42, **more) -> DataFrame:
-    """The mix itself: ``doc_id, size, shard, copy, order``; a document occurs once for each time it
-    is taken, and ``order`` is its place within the shard after the local shuffle."""
-    a = allocate(docs, seed=seed, **more).select("doc_id", "size", F.posexplode("shards").alias("copy", "shard"))
-    return a.withColumn("order", F.xxhash64(F.lit(seed), "shard", "copy", "doc_id"))
+def mixed(docs: DataFrame, seed: int = 42, keep: tuple[str, ...] = (), **more) -> DataFrame:
+    """The mix itself: ``doc_id, mix_size, mix_copy, mix_shard, mix_order`` and the columns ``keep``; a document occurs
+    once for each time it is taken, and ``mix_order`` its place in the shard after the local shuffle."""
+    a = allocate(docs, seed=seed, keep=keep, **more).withColumnRenamed("size", "mix_size")
+    a = a.select("doc_id", *[k for k in keep if k != "doc_id"], "mix_size", F.posexplode("shards").alias("mix_copy", "mix_shard"))
+    return a.withColumn("mix_order", F.xxhash64(F.lit(seed), "mix_shard", "mix_copy", "doc_id"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
