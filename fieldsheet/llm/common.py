@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: White space as the operators' contracts define it, inside a regex class.
 SPACE = r"\x20\x09-\x0D"
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +20,11 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     """Exactly the named columns, found by position.
 
     Extra columns may clash with them in any way, even in letter case only; by
-    position there is nothing for the analyser to find ambiguous.
+    position there is nothing for the analyser to find ambiguous. Texts may be very
+    long, so Arrow batches made of them are bounded in bytes, not in rows only.
     """
+    if int(df.sparkSession.conf.get(BATCH_CONF, "-1").rstrip("bB") or -1) not in range(1, BATCH_BYTES + 1):
+        df.sparkSession.conf.set(BATCH_CONF, str(BATCH_BYTES))
     have = df.columns
     plain = df.toDF(*[f"_c{i}" for i in range(len(have))])
     return plain.select(*[F.col(f"_c{have.index(n)}").alias(n) for n in names])

@@ -125,6 +125,19 @@ class Model:
         self.length = min((len(x) for x in coded.values()), default=0)
         self.automata = [Automaton(coded[k][: self.length].tolist()) for k in self.langs]
 
+    def state(self) -> tuple:
+        """Plain values and arrays, for broadcasting."""
+        return self.langs, self.symbols, self.length, [a.table for a in self.automata]
+
+    @classmethod
+    def restore(cls, state: tuple) -> Model:
+        m = cls.__new__(cls)
+        m.langs, m.symbols, m.length, tables = state
+        m.automata = [Automaton.__new__(Automaton) for _ in tables]
+        for a, t in zip(m.automata, tables, strict=True):
+            a.table = t
+        return m
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         coded = [encode(t, self.symbols) if t else np.zeros(0, np.uint8) for t in texts]
         sizes = np.array([len(c) for c in coded], dtype=np.int64)
@@ -171,10 +184,10 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns ``keep`` of each row with ``lang_pred`` and ``score``."""
     d = pick(docs, *dict.fromkeys([*keep, "text"]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name in keep)
-    shared = d.sparkSession.sparkContext.broadcast(model)
+    shared = d.sparkSession.sparkContext.broadcast(model.state())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model.restore(shared.value)
         for b in batches:
             texts = b.column("text")
             done: tuple[list[str], list[float]] = ([], [])
