@@ -145,7 +145,9 @@ def dedup_lines(docs: DataFrame, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "key"])
 
     s = cut(d.mapInArrow(suspects, "doc_id long, key binary"))
-    first = s.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
+    # Kept apart from the join, which then has a shuffle on either side, so that Spark can split the
+    # rows of a line that very many documents hold.
+    first = cut(s.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first"))
     drops = s.join(first, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("drops"))
     drops = drops.withColumnRenamed("doc_id", "_id")
     joined = whole.join(drops, F.coalesce(whole["doc_id"], F.lit(NO_ID)) == drops["_id"], "left").select("doc_id", "text", "drops", *keep)
