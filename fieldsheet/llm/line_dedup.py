@@ -65,23 +65,28 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
 def _pack(once: np.ndarray, twice: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
     for i, (a, b) in enumerate(zip(np.split(once, SEGMENTS), np.split(twice, SEGMENTS), strict=True)):
         if a.any():
-            yield i, zlib.compress(np.packbits(a).tobytes(), 1), zlib.compress(np.packbits(b).tobytes(), 1)
+            yield i, zlib.compress(a.tobytes(), 1), zlib.compress(b.tobytes(), 1)
+
+
+def _set(bits: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+
+
+def _get(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
 def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    once = twice = None
+    once, twice = np.zeros(BITS // 8, dtype=np.uint8), np.zeros(BITS // 8, dtype=np.uint8)
     for batch in batches:
-        if once is None:
-            once, twice = np.zeros(BITS, dtype=bool), np.zeros(BITS, dtype=bool)
         seen = [hashes_of({k for k in keys_of(t) if k}) for t in _texts(batch)]
         # Documents apart: a key repeated within one document isn't a repeat between documents.
         at = places(np.concatenate(seen)).ravel() if seen else np.zeros(0, np.int64)
         place, n = np.unique(at, return_counts=True)
-        twice[place[(n > 1) | once[place]]] = True
-        once[place] = True
-    if once is not None:
-        rows = list(_pack(once, twice))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["segment", "once", "twice"])
+        _set(twice, place[(n > 1) | _get(once, place)])
+        _set(once, place)
+    rows = list(_pack(once, twice))
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["segment", "once", "twice"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +121,7 @@ def repeat_filter(docs: DataFrame) -> np.ndarray:
 
 
 def suspected(hashes: np.ndarray, twice: np.ndarray) -> np.ndarray:
-    at = places(hashes)
-    return ((twice[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+    return _get(twice, places(hashes)).all(axis=1)
 
 
 def digest(key: bytes) -> bytes:
