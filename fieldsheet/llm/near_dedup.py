@@ -3,14 +3,17 @@
 Texts that are equal after lower-casing A-Z and joining words by one space are one
 class. Classes get two 64-bit SimHash fingerprints (seeds apart) over their words,
 weighted by 1 + log of their number; near copies then differ in few bits. Covering
-masks of radius 5 bring every pair within 5 bits of either fingerprint together;
-a pair is a link if the Jaccard similarity of its sets of five-word shingles is 0.8
-or more. Groups are the connected components; the smallest doc_id stays.
-
-A bucket of up to ``ALL_PAIRS`` classes gives all pairs within the radius. A larger
-one gives a spanning forest and each member's ``NEAREST`` nearest, so candidates stay
-in proportion to rows; the components are the same unless a member's every similar
-partner lies beyond those.
+masks of radius 5 bring every pair within 5 bits of either fingerprint together. A
+sketch of 128 one-bit minhashes of the five-word shingles goes with each class; pairs
+of one bucket that differ in more than ``SKETCH`` of its bits (a similarity of 0.8
+gives 12.8, with a standard deviation of 3.4) are no candidates. A candidate is a link
+if the Jaccard similarity of its sets of shingles is 0.8 or more. Groups are the
+connected components; the smallest doc_id stays.
+
+A bucket of up to ``ALL_PAIRS`` classes gives all its candidates. A larger one gives
+each member's ``NEAREST`` nearest by sketch and a spanning forest, so candidates stay in
+proportion to rows; the components are the same unless a member's every similar partner
+lies beyond those.
 
 Edge cases: null and empty texts are one class; texts of fewer than five words are
 one shingle, so only equal ones group; rows with a null doc_id have no identity and
@@ -31,11 +34,15 @@ from pyspark.sql import functions as F
 
 from .common import cut, pick
 from .graph import components
-from .simhash import HOT, forest, masks, shingles
+from .simhash import HOT, masks, shingles
 
 SHINGLE, SIMILARITY = 5, 0.8
 SEEDS, RADIUS = (42, 43), 5
-ALL_PAIRS, NEAREST = 64, 8
+ALL_PAIRS, NEAREST, SKETCH = 64, 8, 20
+#: What goes with each class: fingerprints and sketch. Below, odd multipliers of the sketch's 128 hash functions (multiply and shift).
+NUMBERS = ("fp0", "fp1", "s0", "s1")
+FACTORS = np.random.default_rng(5).integers(1, 1 << 62, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ROW = "bucket long, fp long, s0 long, s1 long, rep long"
 
 
 def fingerprints(words: list[bytes]) -> list[int]:
@@ -52,55 +59,72 @@ def fingerprints(words: list[bytes]) -> list[int]:
     return out
 
 
+def sketch(text: bytes) -> tuple[int, int]:
+    """128 one-bit minhashes of a text's shingles, as two signed integers."""
+    h = np.fromiter((xxhash.xxh64_intdigest(x, 1) for x in shingles(text, SHINGLE)), dtype=np.uint64)
+    low = np.full(128, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(h), 1024):
+        np.minimum(low, (h[at : at + 1024, None] * FACTORS[None, :]).min(axis=0), out=low)
+    bits = np.packbits(((low >> np.uint64(33)) & np.uint64(1)).astype(bool))
+    return tuple(int(x) for x in bits.view(np.int64))
+
+
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        key, fps = [], []
+        key, numbers = [], []
         for t in b.column("text").cast(pa.large_binary()):
-            words = (t.as_py() or b"").lower().split()
+            text = t.as_py() or b""
+            words = text.lower().split()
             key.append(xxhash.xxh3_128_digest(b" ".join(words)))
-            fps.append(fingerprints(words))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key, pa.binary()), *[pa.array([f[i] for f in fps], pa.int64()) for i in range(len(SEEDS))]], ["doc_id", "key", *[f"fp{i}" for i in range(len(SEEDS))]])
+            numbers.append((*fingerprints(words), *sketch(text)))
+        columns = zip(*numbers, strict=True) if numbers else [()] * len(NUMBERS)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key, pa.binary()), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", "key", *NUMBERS])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each class in every table of each fingerprint; the bucket is the hash of table and masked bits."""
     mask = np.array(masks(RADIUS), dtype=np.int64).view(np.uint64)
     for b in batches:
-        rep = b.column("rep").to_numpy()
+        rep, s0, s1 = (b.column(c).to_numpy() for c in ("rep", "s0", "s1"))
         for i in range(len(SEEDS)):
-            fp = b.column(f"fp{i}").to_numpy().view(np.uint64)
+            fp = b.column(f"fp{i}").to_numpy()
             salt = (np.arange(len(mask), dtype=np.uint64) + np.uint64(i * len(mask) + 1)) * np.uint64(0x9E3779B97F4A7C15)
-            k = ((fp[:, None] & mask[None, :]) ^ salt[None, :]) * np.uint64(0xC2B2AE3D27D4EB4F)
-            k ^= k >> np.uint64(31)
-            for lo in range(0, len(fp), 2000):
-                part = k[lo : lo + 2000]
-                each = lambda v: np.repeat(v[lo : lo + 2000], part.shape[1])  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(part.ravel().view(np.int64)), pa.array(each(fp.view(np.int64))), pa.array(each(rep))], ["bucket", "fp", "rep"])
+            for lo in range(0, len(fp), 1000):
+                own = [v[lo : lo + 1000] for v in (fp, s0, s1, rep)]
+                k = ((own[0].view(np.uint64)[:, None] & mask[None, :]) ^ salt[None, :]) * np.uint64(0xC2B2AE3D27D4EB4F)
+                k ^= k >> np.uint64(31)
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), *[pa.array(np.repeat(v, len(mask))) for v in own]], ["bucket", "fp", "s0", "s1", "rep"])
 
 
-def _near(fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _near(fp: np.ndarray, s0: np.ndarray, s1: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of one bucket."""
-    a, b = [], []
     if len(fp) <= ALL_PAIRS:
         i, j = np.triu_indices(len(fp), 1)
-        near = np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS
+        near = (np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS) & (np.bitwise_count(s0[i] ^ s0[j]) + np.bitwise_count(s1[i] ^ s1[j]) <= SKETCH)
         return rep[i[near]], rep[j[near]]
+    a, b = [], []
     for lo in range(0, len(fp), HOT):
-        f, r = fp[lo : lo + HOT], rep[lo : lo + HOT]
-        u, first = np.unique(f, return_index=True)
-        of = r[first][np.searchsorted(u, f)]  # classes of one fingerprint meet at its first
-        a.append(r)
-        b.append(of)
-        x, y = forest(u, RADIUS)
-        a.append(r[first][np.searchsorted(u, x)])
-        b.append(r[first][np.searchsorted(u, y)])
-        for i in range(len(u)):
-            d = np.bitwise_count(u ^ u[i])
-            d[i] = 65
-            near = np.argpartition(d, min(NEAREST, len(d) - 1))[:NEAREST] if len(d) > NEAREST else np.arange(len(d))
-            near = near[d[near] <= RADIUS]
-            a.append(np.full(len(near), r[first[i]]))
-            b.append(r[first][near])
+        f, x, y, r = (v[lo : lo + HOT] for v in (fp, s0, s1, rep))
+        seen = np.zeros(len(f), dtype=bool)
+        front: list[int] = []
+        for start in range(len(f)):
+            if not seen[start]:
+                seen[start] = True
+                front.append(start)
+            while front:  # a spanning forest of the candidates, and on the way each one's nearest
+                i = front.pop()
+                far = np.bitwise_count(x ^ x[i]) + np.bitwise_count(y ^ y[i])
+                far[np.bitwise_count(f ^ f[i]) > RADIUS] = 255
+                far[i] = 255
+                near = np.flatnonzero(far <= SKETCH)
+                new = near[~seen[near]]
+                seen[new] = True
+                front += new.tolist()
+                if len(near) > NEAREST:
+                    near = near[np.argpartition(far[near], NEAREST)[:NEAREST]]
+                for to in (new, near):
+                    a.append(np.full(len(to), r[i]))
+                    b.append(r[to])
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -109,24 +133,28 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         a, b = (np.concatenate([np.zeros(0, np.int64), *[p[i] for p in pairs]]) for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[a != b]), pa.array(np.maximum(a, b)[a != b])], ["a", "b"])
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-    rest = [np.zeros(0, np.int64)] * 3
+    rest = [np.zeros(0, np.int64)] * 5
     for batch in batches:
-        k, f, r = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(rest, ("bucket", "fp", "rep"), strict=True))
+        rows = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(rest, ("bucket", "fp", "s0", "s1", "rep"), strict=True)]
+        k = rows[0]
         cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
         last = cuts[-1] if len(cuts) else 0  # the last bucket may go on in the next batch
-        rest = [x[last:] for x in (k, f, r)]
-        starts, ends = np.concatenate([[0], cuts[:-1]]) if len(cuts) else cuts, cuts
-        pairs = []
-        two = starts[ends - starts == 2]
-        near = np.bitwise_count(f[two].view(np.uint64) ^ f[two + 1].view(np.uint64)) <= RADIUS
-        pairs.append((r[two[near]], r[two[near] + 1]))
-        for i in np.flatnonzero(ends - starts > 2):
-            pairs.append(_near(f[starts[i] : ends[i]].view(np.uint64), r[starts[i] : ends[i]]))
+        rest = [x[last:] for x in rows]
+        bits, rep = [x.view(np.uint64) for x in rows[1:4]], rows[4]
+        starts = np.concatenate([[0], cuts[:-1]]) if len(cuts) else cuts
+        size = cuts - starts
+        two = starts[size == 2]
+        far = [np.bitwise_count(x[two] ^ x[two + 1]) for x in bits]
+        near = (far[0] <= RADIUS) & (far[1] + far[2] <= SKETCH)
+        pairs = [(rep[two[near]], rep[two[near] + 1])]
+        for i in np.flatnonzero(size > 2):
+            pairs.append(_near(*[x[starts[i] : cuts[i]] for x in (*bits, rep)]))
         yield out(pairs)
     if len(rest[0]) > 1:
-        yield out([_near(rest[1].view(np.uint64), rest[2])])
+        yield out([_near(*[x.view(np.uint64) for x in rest[1:4]], rest[4])])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,13 +177,12 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def groups(docs: DataFrame) -> DataFrame:
     """``doc_id, group_id`` for each document with an id: its group's smallest doc_id."""
     d = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id IS NOT NULL")
-    fps = [f"fp{i}" for i in range(len(SEEDS))]
-    c = cut(d.mapInArrow(_classes, "doc_id long, key binary, " + ", ".join(f"{f} long" for f in fps)))
-    rep = c.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(f).alias(f) for f in fps])
+    c = cut(d.mapInArrow(_classes, "doc_id long, key binary, " + ", ".join(f"{f} long" for f in NUMBERS)))
+    rep = c.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(f).alias(f) for f in NUMBERS])
     rep = cut(rep)
     n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    b = rep.select("rep", *fps).mapInArrow(_buckets, "bucket long, fp long, rep long")
-    pairs = b.repartition(n, "bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_candidates, "a long, b long")
+    b = rep.select("rep", *NUMBERS).mapInArrow(_buckets, ROW)
+    pairs = b.repartition(n, "bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_candidates, "a long, b long")
     pairs = cut(pairs.distinct())
     used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = cut(d.join(used, "doc_id", "left_semi").mapInArrow(_sets, "id long, s binary").dropDuplicates(["id"]))
