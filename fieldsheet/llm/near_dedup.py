@@ -12,8 +12,9 @@ connected components; the smallest doc_id stays.
 
 A bucket of up to ``ALL_PAIRS`` classes gives all its candidates. A larger one gives
 each member's ``NEAREST`` nearest by sketch and a spanning forest, so candidates stay in
-proportion to rows; the components are the same unless a member's every similar partner
-lies beyond those.
+proportion to rows. A pair that collides in several tables of a fingerprint is given in
+the first of them only (spanning forests aside). The components are the same unless a
+member's every similar partner lies beyond the nearest.
 
 Edge cases: null and empty texts are one class; texts of fewer than five words are
 one shingle, so only equal ones group; rows with a null doc_id have no identity and
@@ -81,26 +82,42 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key, pa.binary()), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", "key", *NUMBERS])
 
 
+MASK = np.array(masks(RADIUS), dtype=np.int64).view(np.uint64)
+
+
+def bucket(masked: np.ndarray, tables: np.ndarray, seed: int) -> np.ndarray:
+    salt = (tables.astype(np.uint64) + np.uint64(seed * len(MASK) + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    k = (masked ^ salt) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (k ^ (k >> np.uint64(31))).view(np.int64)
+
+
+def first_here(x: np.ndarray, y: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """Whether the first table in which x and y collide is the one of their bucket."""
+    t = ((x ^ y)[:, None] & MASK[None, :] == 0).argmax(axis=1)
+    m = x & MASK[t]
+    return np.logical_or.reduce([bucket(m, t, i) == here for i in range(len(SEEDS))])
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each class in every table of each fingerprint; the bucket is the hash of table and masked bits."""
-    mask = np.array(masks(RADIUS), dtype=np.int64).view(np.uint64)
+    tables = np.arange(len(MASK))[None, :]
     for b in batches:
         rep, s0, s1 = (b.column(c).to_numpy() for c in ("rep", "s0", "s1"))
         for i in range(len(SEEDS)):
             fp = b.column(f"fp{i}").to_numpy()
-            salt = (np.arange(len(mask), dtype=np.uint64) + np.uint64(i * len(mask) + 1)) * np.uint64(0x9E3779B97F4A7C15)
             for lo in range(0, len(fp), 1000):
                 own = [v[lo : lo + 1000] for v in (fp, s0, s1, rep)]
-                k = ((own[0].view(np.uint64)[:, None] & mask[None, :]) ^ salt[None, :]) * np.uint64(0xC2B2AE3D27D4EB4F)
-                k ^= k >> np.uint64(31)
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), *[pa.array(np.repeat(v, len(mask))) for v in own]], ["bucket", "fp", "s0", "s1", "rep"])
+                k = bucket(own[0].view(np.uint64)[:, None] & MASK[None, :], tables, i)
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), *[pa.array(np.repeat(v, len(MASK))) for v in own]], ["bucket", "fp", "s0", "s1", "rep"])
 
 
-def _near(fp: np.ndarray, s0: np.ndarray, s1: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _near(here: int, fp: np.ndarray, s0: np.ndarray, s1: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of one bucket."""
     if len(fp) <= ALL_PAIRS:
         i, j = np.triu_indices(len(fp), 1)
         near = (np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS) & (np.bitwise_count(s0[i] ^ s0[j]) + np.bitwise_count(s1[i] ^ s1[j]) <= SKETCH)
+        i, j = i[near], j[near]
+        near = first_here(fp[i], fp[j], here)
         return rep[i[near]], rep[j[near]]
     a, b = [], []
     for lo in range(0, len(fp), HOT):
@@ -122,6 +139,7 @@ def _near(fp: np.ndarray, s0: np.ndarray, s1: np.ndarray, rep: np.ndarray) -> tu
                 front += new.tolist()
                 if len(near) > NEAREST:
                     near = near[np.argpartition(far[near], NEAREST)[:NEAREST]]
+                near = near[first_here(f[near], np.full(len(near), f[i]), here)]
                 for to in (new, near):
                     a.append(np.full(len(to), r[i]))
                     b.append(r[to])
@@ -149,12 +167,14 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = starts[size == 2]
         far = [np.bitwise_count(x[two] ^ x[two + 1]) for x in bits]
         near = (far[0] <= RADIUS) & (far[1] + far[2] <= SKETCH)
-        pairs = [(rep[two[near]], rep[two[near] + 1])]
+        two = two[near]
+        two = two[first_here(bits[0][two], bits[0][two + 1], k[two])]
+        pairs = [(rep[two], rep[two + 1])]
         for i in np.flatnonzero(size > 2):
-            pairs.append(_near(*[x[starts[i] : cuts[i]] for x in (*bits, rep)]))
+            pairs.append(_near(k[starts[i]], *[x[starts[i] : cuts[i]] for x in (*bits, rep)]))
         yield out(pairs)
     if len(rest[0]) > 1:
-        yield out([_near(*[x.view(np.uint64) for x in rest[1:4]], rest[4])])
+        yield out([_near(rest[0][0], *[x.view(np.uint64) for x in rest[1:4]], rest[4])])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
