@@ -2,5 +2,439 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import lookups as L
+from ..functions import scalars as S
+from ..operators import cells as C
+from ..operators import extract as E
+from ..operators import master as M
+from ..operators import report as R
+from . import oracle as O
+from .fixtures import duck, frame
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str):
+    def keep(f):
+        QUERIES[name], SQL[name] = f, sql
+        return f
+
+    return keep
+
+
+def water(s, d):
+    return frame(s, d, "water", "cells")
+
+
+def air(s, d):
+    return frame(s, d, "air", "cells")
+
+
+def noise(s, d):
+    return frame(s, d, "noise", "cells")
+
+
+def stations(s, d):
+    return frame(s, d, "stations", "st").withColumn("aliases", F.array("alias1", "alias2")).drop("alias1", "alias2")
+
+
+def water_records(s, d):
+    """Water records with their station, as the flagship uses them."""
+    none = lambda t: F.lit(None).cast(t)
+    h = E.water_heads(water(s, d)).withColumns({"coord_sys": none("int"), "x": none("double"), "y": none("double"), "time_end": none("string")})
+    return M.match_station(h, stations(s, d))
+
+
+WATER_REC = f"""{duck('water', 'stations')},
+{O.WATER_HEAD},
+{O.WATER_ITEMS},
+{O.STATION},
+rec AS (SELECT wh.*, coalesce(sm.name, station_raw) AS site, sm.name IS NOT NULL AS known, sm.coord_sys, sm.x, sm.y, sm.last_end_time FROM wh LEFT JOIN sm ON station_raw = sm.match_name)
+"""
+
+
+def simple(name: str, make, columns: str, sql: Callable[[str], str], cte: str) -> None:
+    """A query that is some columns of an extracted table."""
+    names = [c.strip() for c in columns.split(",")]
+    query(name, sql(f"SELECT {columns} FROM {cte}"))(lambda s, d: make(s, d).select(*names))
+
+
+W_ITEMS, A_ITEMS = (lambda s, d: E.water_items(water(s, d))), (lambda s, d: E.air_items(air(s, d)))
+W_HEADS, A_HEADS, N_HEADS = (lambda s, d: E.water_heads(water(s, d))), (lambda s, d: E.air_heads(air(s, d))), (lambda s, d: E.noise_heads(noise(s, d)))
+for args in (
+    ("prj_water_header", W_HEADS, "sheet_id, station_raw, category, date_start, time_start, date_end, license", O.water, "wh"),
+    ("jn_sample_type", W_HEADS, "sheet_id, category, category_mapped", O.water, "wh"),
+    ("fn_roc_date", W_HEADS, "sheet_id, date_start", O.water, "wh"), ("fn_hm", W_HEADS, "sheet_id, time_start", O.water, "wh"), ("fn_license", W_HEADS, "sheet_id, license", O.water, "wh"),
+    ("prj_water_items", W_ITEMS, "sheet_id, item_idx, row_no, item_name, unit_code, compare, value_num, value_txt, mdl_num, mdl_txt, method_out", O.water, "wit"),
+    ("win_contiguous_prefix", W_ITEMS, "sheet_id, item_idx, row_no, raw_name", O.water, "wit"), ("jn_unit_code", W_ITEMS, "sheet_id, item_idx, unit_raw, unit_code", O.water, "wit"),
+    ("jn_item_name", W_ITEMS, "sheet_id, item_idx, raw_name, item_name", O.water, "wit"), ("jn_method_override", W_ITEMS, "sheet_id, item_idx, raw_name, raw_method, method_out", O.water, "wit"),
+    ("fn_censor_water", W_ITEMS, "sheet_id, item_idx, compare, value_num, value_txt", O.water, "wit"), ("fn_mdl", W_ITEMS, "sheet_id, item_idx, mdl_num, mdl_txt", O.water, "wit"),
+    ("prj_air_header", A_HEADS, "sheet_id, station_raw, category, date_start, time_start, date_end, time_end, license", O.air, "ah"), ("fn_end_time", A_HEADS, "sheet_id, time_start, time_end", O.air, "ah"),
+    ("prj_air_items", A_ITEMS, "sheet_id, item_idx, item_name, unit_code, compare, value_num, value_txt, mdl_num, method_out, missing", O.air, "ait"), ("jn_air_lookup", A_ITEMS, "sheet_id, item_idx, item_name, unit_code, method_out", O.air, "ait"),
+    ("fn_censor_air", A_ITEMS, "sheet_id, item_idx, compare, value_num, value_txt, missing", O.air, "ait"),
+    ("prj_noise_header", N_HEADS, "sheet_id, station_raw, category, date_start, time_start, date_end, time_end, coord_sys, x, y, ctrl_std, ctrl_zone, env_std, freq_range, license", O.noise, "nh"),
+    ("fn_roc_dot", N_HEADS, "sheet_id, date_start", O.noise, "nh"), ("fn_zone", N_HEADS, "sheet_id, ctrl_zone", O.noise, "nh"), ("fn_env_std", N_HEADS, "sheet_id, category, env_std", O.noise, "nh"),
+    ("prj_noise_items", lambda s, d: E.noise_items(noise(s, d)), "sheet_id, item_idx, char_type, period, value_num, unit_code, method_out", O.noise, "nit"),
+    ("fn_niea", lambda s, d: E.noise_items(noise(s, d)), "sheet_id, item_idx, method_out", O.noise, "nit"), ("fn_round1", lambda s, d: E.noise_items(noise(s, d)), "sheet_id, item_idx, value_num", O.noise, "nit"),
+    ("prj_vib_items", lambda s, d: E.vib_items(noise(s, d)), "sheet_id, item_idx, char_type, period, value_num, unit_code, method_out", O.noise, "vit"),
+    ("prj_first_method", lambda s, d: E.vib_items(noise(s, d)).select("sheet_id", "method_out").distinct(), "sheet_id, method_out", O.noise, "(SELECT DISTINCT sheet_id, method_out FROM vit)"),
+):
+    simple(*args)
+
+_MOD = "CASE WHEN contains(A3, '水質檢測報告') THEN 'water' WHEN contains(A2, '空氣品質檢測報告') OR contains(S2, '空氣品質檢測報告') THEN 'air' WHEN contains(C41, 'L日') OR contains(A3, '環境振動測定報告') THEN 'noise' END"
+_ROUTE = ",\n" + O.pivot(("A2", "A3", "S2", "C41"), "rh") + f", rt AS (SELECT sheet_id, {_MOD} AS module FROM rh) "
+
+
+@query("flt_detect_route", duck("noise") + _ROUTE + "SELECT sheet_id, module FROM rt")
+def flt_detect_route(s, d):
+    return C.route(noise(s, d)).select("sheet_id", "module")
+
+
+@query("flt_unrouted_warn", duck("noise") + _ROUTE + "SELECT sheet_id, 'sheet ' || sheet_id || ': no module recognises it' AS message FROM rt WHERE module IS NULL")
+def flt_unrouted_warn(s, d):
+    r = C.route(noise(s, d)).where("module IS NULL")
+    return r.select("sheet_id", F.concat(F.lit("sheet "), F.col("sheet_id").cast("string"), F.lit(": no module recognises it")).alias("message"))
+
+
+@query("flt_single_module", duck("noise") + _ROUTE + "SELECT sheet_id, coalesce(module = 'water', FALSE) AS accepted FROM rt")
+def flt_single_module(s, d):
+    return C.route(noise(s, d), ("water",)).select("sheet_id", F.col("module").isNotNull().alias("accepted"))
+
+
+@query("src_admit_files", "WITH f AS (SELECT p_partkey, p_name || CASE p_partkey % 5 WHEN 0 THEN '.XLS' WHEN 1 THEN '.xlsx' WHEN 2 THEN '.xlsm' WHEN 3 THEN '.csv' ELSE '.xlsx.pdf' END AS file FROM part) SELECT p_partkey, file, regexp_matches(lower(file), '\\.(xls|xlsx|xlsm)$') AS accepted FROM f")
+def src_admit_files(s, d):
+    p = s.read.parquet(f"{d}/part.parquet")
+    ext = F.element_at(F.array(*map(F.lit, (".XLS", ".xlsx", ".xlsm", ".csv", ".xlsx.pdf"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return p.select("p_partkey", F.concat("p_name", ext).alias("file")).withColumn("accepted", F.col("file").rlike(r"(?i)\.(xls|xlsx|xlsm)$"))
+
+
+_DEFAULTS = "(VALUES " + ", ".join(f"('{m}', '{n}', '{k}', '{v}')" for (m, n), t in L.DEFAULT_TABLES.items() for k, v in t.items()) + ") AS t(module, name, k, v)"
+_STORED = "SELECT 'water' AS module, 'unitCodes' AS name, n_name AS k, CAST(n_nationkey AS VARCHAR) AS v FROM nation"
+
+
+@query("src_table_override", f"SELECT * FROM {_DEFAULTS} WHERE NOT (module = 'water' AND name = 'unitCodes') UNION ALL {_STORED}")
+def src_table_override(s, d):
+    stored = s.read.parquet(f"{d}/nation.parquet").select(F.lit("water").alias("module"), F.lit("unitCodes").alias("name"), F.col("n_name").alias("k"), F.col("n_nationkey").cast("string").alias("v"))
+    return M.override(M.table_rows(s), stored)
+
+
+@query("flt_station_scope", duck("stations") + " SELECT ord, name, project_code FROM st WHERE project_code IS NULL OR project_code = '' OR project_code = 'P5'")
+def flt_station_scope(s, d):
+    return stations(s, d).where(M.in_scope(F.col("project_code"), "P5")).select("ord", "name", "project_code")
+
+
+@query("flt_history_scope", duck("imports") + " SELECT uid, import_id, project_code FROM im WHERE nullif(project_code, '') IS NOT DISTINCT FROM nullif('', '')")
+def flt_history_scope(s, d):
+    return frame(s, d, "imports", "im").where(M.same_project(F.col("project_code"), None)).select("uid", "import_id", "project_code")
+
+
+_CODES = "(VALUES " + ", ".join(f"('{t}', '{k}', '{v}')" for t, x in (("unit", L.UNIT_CODES), ("agency", L.AGENCY_CODES)) for k, v in x.items()) + ") AS c(kind, code, label)"
+
+
+@query("flt_code_search", f"SELECT kind, code, label FROM {_CODES} WHERE contains(lower(code || ' ' || label), lower(trim(' MG/l ')))")
+def flt_code_search(s, d, search: str = " MG/l "):
+    rows = [(t, k, v) for t, x in (("unit", L.UNIT_CODES), ("agency", L.AGENCY_CODES)) for k, v in x.items()]
+    c = s.createDataFrame(rows, "kind string, code string, label string")
+    return c.where(F.lower(F.concat_ws(" ", "code", "label")).contains(F.lower(S.trim(F.lit(search)))))
+
+
+@query("flt_outdated_tables", "SELECT n_name AS name, CAST(n_nationkey % 4 AS INTEGER) AS base_version FROM nation WHERE coalesce(CASE WHEN n_nationkey % 4 > 0 THEN n_nationkey % 4 END, 0) < 2 AND n_regionkey <> 1")
+def flt_outdated_tables(s, d):
+    n = s.read.parquet(f"{d}/nation.parquet").withColumn("base_version", (F.col("n_nationkey") % 4).cast("int"))
+    return n.where((F.coalesce("base_version", F.lit(0)) < L.TABLE_VERSIONS["water"]) & (F.col("n_regionkey") != 1)).select(F.col("n_name").alias("name"), "base_version")
+
+
+@query("jn_station_memory", WATER_REC + "SELECT sheet_id, station_raw, site, known, coord_sys, x, y, last_end_time FROM rec")
+def jn_station_memory(s, d):
+    return water_records(s, d).select("sheet_id", "station_raw", "site", "known", "coord_sys", "x", "y", "last_end_time")
+
+
+@query("jn_fill_coords", duck("noise", "stations") + f",\n{O.NOISE},\n" + "sp AS (SELECT s_suppkey AS ord, s_name AS name, 2 AS coord_sys, s_acctbal AS x, s_acctbal AS y FROM supplier) SELECT nh.sheet_id, coalesce(nh.coord_sys, sp.coord_sys) AS coord_sys, coalesce(nh.x, sp.x) AS x, coalesce(nh.y, sp.y) AS y, CASE WHEN nh.y IS NULL AND sp.y IS NOT NULL THEN 'memory' END AS y_via FROM nh LEFT JOIN sp ON station_raw = name")
+def jn_fill_coords(s, d):
+    sp = s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("ord"), F.col("s_name").alias("name"), F.lit(2).alias("coord_sys"), F.col("s_acctbal").alias("x"), F.col("s_acctbal").alias("y"), F.lit(None).cast("string").alias("last_end_time"), F.lit(None).cast("array<string>").alias("aliases"))
+    return M.match_station(E.noise_heads(noise(s, d)), sp).select("sheet_id", "coord_sys", "x", "y", "y_via")
+
+
+_MATE = "m AS (SELECT station_raw, date_start, min(sheet_id) AS mate FROM nh GROUP BY ALL) "
+
+
+@query("jn_vib_mate", O.noise("").rstrip() + ",\n" + _MATE + "SELECT vh.sheet_id, vh.station_raw, vh.date_start, nh.coord_sys, nh.x, nh.y, nh.license, m.mate IS NOT NULL AS has_mate FROM vh LEFT JOIN m ON m.station_raw = vh.station_raw AND m.date_start IS NOT DISTINCT FROM vh.date_start LEFT JOIN nh ON nh.sheet_id = m.mate")
+def jn_vib_mate(s, d):
+    c = noise(s, d)
+    return E.vib_mates(E.noise_heads(c), E.vib_heads(c)).select("sheet_id", "station_raw", "date_start", "coord_sys", "x", "y", "license", "has_mate")
+
+
+@query("win_first_match", duck("stations") + f",{O.STATION} SELECT match_name, name FROM sm")
+def win_first_match(s, d):
+    return M.station_names(stations(s, d)).select("match_name", "name")
+
+
+# Missing fields and report rows of water.
+_REQ = {lv: [c.key for c in R.COLUMNS["water"] if c.required and c.level == lv] for lv in ("station", "item")}
+_VAL = lambda k: "coalesce(CAST(value_num AS VARCHAR), value_txt)" if k == "value" else f"CAST({k} AS VARCHAR)"
+_MISS = WATER_REC + ", mi AS (" + " UNION ALL ".join(
+    [f"SELECT sheet_id, CAST(NULL AS INTEGER) AS item_idx, '{k}' AS key FROM rec2 WHERE coalesce({O.tr(_VAL(k))}, '') = ''" for k in _REQ["station"]] + [f"SELECT sheet_id, item_idx, '{k}' FROM wit WHERE coalesce({O.tr(_VAL(k))}, '') = ''" for k in _REQ["item"]]) + ") "
+_MISS = _MISS.replace(", mi AS", ", rec2 AS (SELECT *, CAST(NULL AS VARCHAR) AS time_end FROM rec), mi AS", 1)
+
+
+def water_missing(s, d):
+    return R.missing(water_records(s, d), E.water_items(water(s, d)), "water")
+
+
+query("val_required", _MISS + "SELECT * FROM mi")(water_missing)
+
+
+@query("agg_missing_by_module", _MISS + "SELECT 'water' AS module, key, count(*) AS n FROM mi GROUP BY key")
+def agg_missing_by_module(s, d):
+    return water_missing(s, d).groupBy("key").agg(F.count("*").alias("n")).select(F.lit("water").alias("module"), "key", "n")
+
+
+@query("jn_missing_meta", _MISS + "SELECT key, CASE WHEN item_idx IS NULL THEN 'station' ELSE 'item' END AS level, count(*) AS n FROM mi GROUP BY ALL")
+def jn_missing_meta(s, d):
+    meta = s.createDataFrame([(c.key, c.level) for c in R.COLUMNS["water"]], "key string, level string")
+    return water_missing(s, d).join(meta, "key").groupBy("key", "level").agg(F.count("*").alias("n"))
+
+
+_W = {
+    "category": "NOT category_mapped", "time": "date_start IS NULL", "license": "license IS NULL", "station": "NOT known AND (coord_sys IS NULL OR x IS NULL OR y IS NULL)",
+}
+
+
+@query("val_warnings", WATER_REC + " UNION ALL ".join([f"SELECT sheet_id, '{k}' AS warning, CAST(1 AS BIGINT) AS n FROM rec WHERE {v}" for k, v in _W.items()] + ["SELECT sheet_id, 'unit', count(*) FROM wit WHERE unit_code IS NULL GROUP BY sheet_id", "SELECT sheet_id, 'items', 1 FROM rec WHERE sheet_id NOT IN (SELECT sheet_id FROM wit)"]))
+def val_warnings(s, d):
+    r, i = water_records(s, d), E.water_items(water(s, d))
+    one = F.lit(1).cast("long").alias("n")
+    head = r.select("sheet_id", F.explode(F.array_compact(F.array(*[F.when(F.expr(v), F.lit(k)) for k, v in _W.items()]))).alias("warning"), one)
+    unit = i.where("unit_code IS NULL").groupBy("sheet_id").agg(F.count("*").alias("n")).select("sheet_id", F.lit("unit").alias("warning"), "n")
+    none = r.join(i, "sheet_id", "left_anti").select("sheet_id", F.lit("items").alias("warning"), one)
+    return head.unionByName(unit).unionByName(none)
+
+
+_FLAT = "SELECT sheet_id, item_idx, date_start, time_start, site, category, license, item_name, unit_code, compare, value_num, value_txt, mdl_num, mdl_txt, method_out, coord_sys, x, y FROM rec JOIN wit USING (sheet_id)"
+
+
+@query("prj_flatten_report", WATER_REC + _FLAT)
+def prj_flatten_report(s, d):
+    """The flagship: cells to report rows."""
+    return R.flatten(water_records(s, d), E.water_items(water(s, d))).select("sheet_id", "item_idx", "date_start", "time_start", "site", "category", "license", "item_name", "unit_code", "compare", "value_num", "value_txt", "mdl_num", "mdl_txt", "method_out", "coord_sys", "x", "y")
+
+
+@query("prj_cell_type", O.water("SELECT sheet_id, CASE WHEN date_start IS NULL THEN 's' ELSE 'd' END AS date_t, CAST(date_diff('day', DATE '1899-12-30', TRY_CAST(date_start AS DATE)) AS DOUBLE) AS date_v, CASE WHEN time_start IS NULL THEN 's' ELSE 'tm' END AS time_t, (CAST(split_part(time_start, ':', 1) AS INTEGER) * 60 + CAST(split_part(time_start, ':', 2) AS INTEGER)) / 1440 AS time_v FROM wh"))
+def prj_cell_type(s, d):
+    none = F.lit(None).cast("double")
+    a, b = R.cell_type("d", none, F.col("date_start")), R.cell_type("t", none, F.col("time_start"))
+    return W_HEADS(s, d).select("sheet_id", a["t"].alias("date_t"), a["v"].alias("date_v"), b["t"].alias("time_t"), b["v"].alias("time_v"))
+
+
+@query("fn_date_serial", O.water("SELECT sheet_id, date_diff('day', DATE '1899-12-30', TRY_CAST(date_start AS DATE)) AS serial FROM wh"))
+def fn_date_serial(s, d):
+    return W_HEADS(s, d).select("sheet_id", S.date_serial(F.col("date_start")).alias("serial"))
+
+
+@query("fn_time_serial", O.air("SELECT sheet_id, (CAST(split_part(time_end, ':', 1) AS INTEGER) * 60 + CAST(split_part(time_end, ':', 2) AS INTEGER)) / 1440 AS serial FROM ah"))
+def fn_time_serial(s, d):
+    return A_HEADS(s, d).select("sheet_id", S.time_serial(F.col("time_end")).alias("serial"))
+
+
+_PROJ = "p AS (SELECT n_name AS code, CAST(n_nationkey AS VARCHAR) AS doc_no, n_name || ' 案' AS doc_name, '施工中' AS status, n_regionkey FROM nation)"
+
+
+@query("prj_basic_rows", f"WITH {_PROJ} SELECT code AS project, 0 AS row_idx, code, doc_no, doc_name, status FROM p WHERE n_regionkey > 1 UNION ALL SELECT code, i, code || '-' || i, doc_no, CAST(NULL AS VARCHAR), status FROM p, (VALUES (0), (1)) t(i) WHERE n_regionkey <= 1")
+def prj_basic_rows(s, d):
+    n = s.read.parquet(f"{d}/nation.parquet")
+    none = F.lit(None).cast("string")
+    row = lambda i: F.array(F.concat("n_name", F.lit(f"-{i}")), F.col("n_nationkey").cast("string"), none, F.lit("施工中"), none, none, none, none)
+    p = n.select(F.col("n_name").alias("code"), F.col("n_nationkey").cast("string").alias("doc_no"), F.concat("n_name", F.lit(" 案")).alias("doc_name"), F.lit("施工中").alias("status"),
+                 *[none.alias(c) for c in ("construction_date", "completion_date", "operation_date", "note")], F.when(F.col("n_regionkey") <= 1, F.array(row(0), row(1))).alias("basic_rows"))
+    return R.basic_rows(p, "air").select("project", "row_idx", "code", "doc_no", "doc_name", "status")
+
+
+@query("agg_row_count", WATER_REC + ", c AS (SELECT sheet_id, count(*) AS n FROM wit GROUP BY sheet_id) SELECT site, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_records FROM rec JOIN c USING (sheet_id) GROUP BY site")
+def agg_row_count(s, d):
+    i = E.water_items(water(s, d)).groupBy("sheet_id").agg(F.count("*").alias("n"))
+    return water_records(s, d).join(i, "sheet_id").groupBy("site").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_records"))
+
+
+# Imports: duplicates and history. The last year's records are new, the one before the workspace, the rest history.
+_KEYED = duck("imports") + ", k AS (SELECT *, CASE WHEN site <> '' AND day <> '' THEN module || '|' || site || '|' || day END AS key, CASE WHEN import_id < 200000 THEN 'history' WHEN import_id < 200100 THEN 'workspace' ELSE 'new' END AS part FROM im), ws AS (SELECT DISTINCT key FROM k WHERE part = 'workspace' AND key IS NOT NULL), hs AS (SELECT key, arg_min(ts, import_id) AS seen FROM k WHERE part = 'history' AND key IS NOT NULL GROUP BY key) "
+
+
+def keyed(s, d):
+    k = frame(s, d, "imports", "im").withColumn("key", S.record_key(F.col("module"), F.col("site"), F.col("day")))
+    part = F.when(F.col("import_id") < 200000, "history").when(F.col("import_id") < 200100, "workspace").otherwise("new")
+    return k.withColumn("part", part)
+
+
+def parts(s, d):
+    k = keyed(s, d)
+    return (k.where(F.col("part") == p) for p in ("new", "workspace", "history"))
+
+
+@query("fn_rec_key", _KEYED + "SELECT uid, key FROM k")
+def fn_rec_key(s, d):
+    return keyed(s, d).select("uid", "key")
+
+
+@query("jn_dup_detect", _KEYED + "SELECT uid, k.key, CASE WHEN ws.key IS NOT NULL THEN 'workspace' ELSE 'history' END AS found_in, CASE WHEN ws.key IS NULL THEN seen END AS seen FROM k LEFT JOIN ws USING (key) LEFT JOIN hs USING (key) WHERE part = 'new' AND (ws.key IS NOT NULL OR seen IS NOT NULL)")
+def jn_dup_detect(s, d):
+    return M.duplicates(*parts(s, d)).select("uid", "key", "found_in", "seen")
+
+
+@query("jn_dup_skip", _KEYED + "SELECT uid, key FROM k WHERE part = 'new' AND (key IS NULL OR key NOT IN (SELECT key FROM ws))")
+def jn_dup_skip(s, d):
+    new, ws, _ = parts(s, d)
+    return M.skip_duplicates(new, ws).select("uid", "key")
+
+
+@query("jn_dup_overwrite", _KEYED + ", nw AS (SELECT DISTINCT key FROM k WHERE part = 'new' AND key IS NOT NULL) SELECT uid, key, part FROM k WHERE part = 'new' OR (part = 'workspace' AND (key IS NULL OR key NOT IN (SELECT key FROM nw)))")
+def jn_dup_overwrite(s, d):
+    new, ws, _ = parts(s, d)
+    return M.overwrite_duplicates(new, ws).select("uid", "key", "part")
+
+
+@query("set_append", _KEYED + "SELECT uid, part FROM k WHERE part = 'workspace' UNION ALL SELECT uid, part FROM k WHERE part = 'new'")
+def set_append(s, d):
+    new, ws, _ = parts(s, d)
+    return ws.unionByName(new).select("uid", "part")
+
+
+@query("agg_first_seen", _KEYED + "SELECT key, min(import_id) AS import_id, count(*) AS n FROM k WHERE key IS NOT NULL GROUP BY key")
+def agg_first_seen(s, d):
+    return keyed(s, d).where("key IS NOT NULL").groupBy("key").agg(F.min("import_id").alias("import_id"), F.count("*").alias("n"))
+
+
+_HIST = duck("imports") + ", li AS (SELECT l_orderkey AS uid, count(*) AS c FROM lineitem GROUP BY 1), hs AS (SELECT import_id, max(ts) AS ts, count(DISTINCT im.uid) AS n_records, CAST(coalesce(sum(c), 0) AS BIGINT) AS n_rows, CASE WHEN max(status) = 'exported' THEN '已匯出' WHEN max(missing_count) > 0 THEN '缺 ' || max(missing_count) || ' 欄' ELSE '未匯出' END AS status FROM im LEFT JOIN li ON li.uid = im.uid GROUP BY import_id) "
+
+
+def history(s, d):
+    items = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("uid"), F.col("l_linenumber").alias("item_idx"))
+    return M.history_summary(frame(s, d, "imports", "im").join(items, "uid", "left"))
+
+
+query("agg_history_summary", _HIST + "SELECT import_id, ts, n_records, n_rows, status FROM hs")(history)
+
+
+@query("srt_history_topk", _HIST + "SELECT import_id, n_records, status, CAST(row_number() OVER (ORDER BY ts DESC, import_id) AS INTEGER) AS place FROM hs ORDER BY ts DESC, import_id LIMIT 20")
+def srt_history_topk(s, d):
+    return M.newest_first(history(s, d), 20).select("import_id", "n_records", "status", "place")
+
+
+@query("agg_module_groups", duck("imports") + " SELECT import_id, module, min(uid) AS first_uid, count(*) AS n FROM im GROUP BY ALL")
+def agg_module_groups(s, d):
+    return frame(s, d, "imports", "im").groupBy("import_id", "module").agg(F.min("uid").alias("first_uid"), F.count("*").alias("n"))
+
+
+@query("agg_module_string", duck("imports") + ", g AS (SELECT import_id, module, min(uid) AS o FROM im GROUP BY ALL) SELECT import_id, string_agg(module, '+' ORDER BY o) AS modules FROM g GROUP BY import_id")
+def agg_module_string(s, d):
+    return M.module_string(frame(s, d, "imports", "im").withColumnRenamed("uid", "ord"))
+
+
+@query("agg_station_writeback", WATER_REC + """, w AS (SELECT *, sheet_id AS ord, CASE WHEN sheet_id % 4 > 0 THEN '1' || sheet_id % 10 || ':15' END AS te FROM rec),
+g AS (SELECT site AS name, arg_max(coord_sys, ord) FILTER (coord_sys IS NOT NULL) AS c, arg_max(x, ord) FILTER (x IS NOT NULL) AS nx, arg_max(y, ord) FILTER (y IS NOT NULL) AS ny, arg_max(te, ord) FILTER (te IS NOT NULL) AS nt,
+  list_sort(list_distinct(coalesce(list(station_raw) FILTER (station_raw <> site AND station_raw <> ''), []))) AS al FROM w GROUP BY site)
+SELECT coalesce(st.name, g.name) AS name, CASE WHEN st.name IS NULL THEN 'P5' ELSE project_code END AS project_code, coalesce(c, coord_sys) AS coord_sys, coalesce(nx, x) AS x, coalesce(ny, y) AS y, coalesce(nt, last_end_time) AS last_end_time,
+  array_to_string(CASE WHEN st.name IS NULL THEN [] ELSE [alias1, alias2] END || list_filter(coalesce(al, []), lambda a: st.name IS NULL OR (a <> alias1 AND a <> alias2)), ',') AS aliases FROM st FULL JOIN g ON st.name = g.name""")
+def agg_station_writeback(s, d):
+    te = F.when(F.col("sheet_id") % 4 > 0, F.concat(F.lit("1"), (F.col("sheet_id") % 10).cast("string"), F.lit(":15")))
+    r = water_records(s, d).withColumn("ord", F.col("sheet_id")).withColumn("time_end", te)
+    return M.write_back(r, stations(s, d), "P5").withColumn("aliases", F.array_join("aliases", ","))
+
+
+_MERGE = "WITH df AS (SELECT p_partkey AS k, p_name AS v FROM part WHERE p_size % 2 = 0), b AS (SELECT p_partkey AS k FROM part WHERE p_size % 3 = 0), dt AS (SELECT p_partkey AS k, p_brand AS v FROM part WHERE p_size % 5 = 0) "
+
+
+@query("set_threeway_merge", _MERGE + "SELECT k, v, FALSE AS added FROM dt UNION ALL SELECT k, v, TRUE FROM df WHERE k NOT IN (SELECT k FROM b) AND k NOT IN (SELECT k FROM dt)")
+def set_threeway_merge(s, d):
+    p = s.read.parquet(f"{d}/part.parquet")
+    size, k = F.col("p_size"), F.col("p_partkey").alias("k")
+    return M.merge_tables(p.where(size % 5 == 0).select(k, F.col("p_brand").alias("v")), p.where(size % 3 == 0).select(k), p.where(size % 2 == 0).select(k, F.col("p_name").alias("v")))
+
+
+@query("edt_overlay", "WITH e AS (SELECT o_orderkey AS seq, o_custkey AS uid, CASE WHEN o_orderkey % 3 > 0 THEN 'v' || o_orderkey END AS nv FROM orders), l AS (SELECT uid, arg_max_null(nv, seq) AS nv FROM e GROUP BY uid) SELECT c_custkey AS uid, 'x' AS key, CASE WHEN l.uid IS NOT NULL THEN nv ELSE c_name END AS value, CASE WHEN l.uid IS NOT NULL THEN 'manual' ELSE 'parsed' END AS src FROM customer LEFT JOIN l ON l.uid = c_custkey")
+def edt_overlay(s, d):
+    items = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("uid"), F.lit("x").alias("key"), F.col("c_name").alias("value"), F.lit("parsed").alias("src"))
+    o = s.read.parquet(f"{d}/orders.parquet")
+    edits = o.select(F.col("o_custkey").alias("uid"), F.lit("x").alias("key"), F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("v"), F.col("o_orderkey").cast("string"))).alias("new_value"), F.col("o_orderkey").alias("seq"))
+    return M.overlay(items, edits)
+
+
+# Comparison: the second table shifts, drops and changes cells of the first.
+_DIFF = "WITH e0 AS (SELECT s_suppkey AS k, unnest(['nation', 'bal', 'name']) AS col, unnest([s_nationkey, s_acctbal, NULL]) AS num, unnest([NULL, NULL, s_name]) AS txt FROM supplier), e AS (SELECT k, col, num, txt FROM e0), a AS (SELECT k, col, CASE WHEN k % 5 = 0 AND col = 'bal' THEN num + 1 ELSE num + 1e-12 END AS num, CASE WHEN k % 4 = 0 THEN '  ' ELSE txt END AS txt FROM e WHERE k % 9 > 0 UNION ALL SELECT 1000000 + n_nationkey, 'name', NULL, n_name FROM nation), "
+_DIFF += "e2 AS (SELECT k, col, num, CASE WHEN trim(txt) <> '' THEN txt END AS txt FROM e WHERE num IS NOT NULL OR trim(txt) <> ''), a2 AS (SELECT k, col, num, CASE WHEN trim(txt) <> '' THEN txt END AS txt FROM a WHERE num IS NOT NULL OR trim(txt) <> ''), "
+_DIFF += "j AS (SELECT coalesce(e2.k, a2.k) AS k, coalesce(e2.col, a2.col) AS col, CASE WHEN a2.k IS NULL THEN '{miss}' WHEN e2.k IS NULL THEN 'extra' WHEN coalesce(abs(e2.num - a2.num) < 1e-9, e2.txt = a2.txt, FALSE) THEN 'equal' ELSE 'different' END AS result FROM e2 FULL JOIN a2 ON e2.k = a2.k AND e2.col = a2.col) "
+
+
+def tables(s, d):
+    sup = s.read.parquet(f"{d}/supplier.parquet")
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    cell = lambda c, n, t: F.struct(F.lit(c).alias("col"), n.alias("num"), t.alias("txt"))
+    e = sup.select(F.col("s_suppkey").alias("k"), F.inline(F.array(cell("nation", F.col("s_nationkey").cast("double"), text), cell("bal", F.col("s_acctbal"), text), cell("name", none, F.col("s_name")))))
+    k = F.col("k")
+    a = e.where(k % 9 > 0).select("k", "col", F.when((k % 5 == 0) & (F.col("col") == "bal"), F.col("num") + 1).otherwise(F.col("num") + 1e-12).alias("num"), F.when(k % 4 == 0, "  ").otherwise(F.col("txt")).alias("txt"))
+    n = s.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey") + 1000000).cast("long").alias("k"), F.lit("name").alias("col"), none.alias("num"), F.col("n_name").alias("txt"))
+    return e, a.unionByName(n)
+
+
+@query("cmp_positional", _DIFF.replace("{miss}", "missing") + "SELECT k, col, result FROM j")
+def cmp_positional(s, d):
+    return R.compare(*tables(s, d), ["k"]).select("k", "col", "result")
+
+
+@query("cmp_by_station", _DIFF.replace("{miss}", "missing") + "SELECT k, count(*) FILTER (result <> 'equal') AS diffs, count(*) AS cells FROM j GROUP BY k")
+def cmp_by_station(s, d):
+    return R.compare(*tables(s, d), ["k"]).groupBy("k").agg(F.count_if(F.col("result") != "equal").alias("diffs"), F.count("*").alias("cells"))
+
+
+@query("cmp_by_block", _DIFF.replace("{miss}", "deviation") + "SELECT result, count(*) AS n FROM j GROUP BY result")
+def cmp_by_block(s, d):
+    return R.compare(*tables(s, d), ["k"], legacy=True).groupBy("result").agg(F.count("*").alias("n"))
+
+
+@query("cmp_verdict", _DIFF.replace("{miss}", "missing") + "SELECT count(*) AS compared, count(*) FILTER (result = 'equal') AS equal, count(*) FILTER (result IN ('different', 'missing', 'extra')) AS fails FROM j")
+def cmp_verdict(s, d):
+    r = F.col("result")
+    return R.compare(*tables(s, d), ["k"]).agg(F.count("*").alias("compared"), F.count_if(r == "equal").alias("equal"), F.count_if(r != "equal").alias("fails"))
+
+
+@query("set_whitelist", _DIFF.replace("{miss}", "missing") + "SELECT k, col, result, k IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5) AS known FROM j WHERE result <> 'equal'")
+def set_whitelist(s, d):
+    w = s.read.parquet(f"{d}/supplier.parquet").where("s_nationkey < 5").select(F.col("s_suppkey").alias("k"))
+    return R.subtract_whitelist(R.compare(*tables(s, d), ["k"]).where("result <> 'equal'"), w, ["k"]).select("k", "col", "result", "known")
+
+
+@query("lim_first_diffs", _DIFF.replace("{miss}", "missing") + "SELECT k, col, result FROM j WHERE result <> 'equal' ORDER BY k, col LIMIT 60")
+def lim_first_diffs(s, d):
+    return R.compare(*tables(s, d), ["k"]).where("result <> 'equal'").orderBy("k", "col").limit(60).select("k", "col", "result")
+
+
+# Scalar functions over texts made from whole tables.
+_TXT = "WITH t AS (SELECT p_partkey AS id, p_size AS n, CASE p_partkey % 9 WHEN 0 THEN ' 25.' || p_size WHEN 1 THEN 'ND' WHEN 2 THEN '1e' || p_size % 9 WHEN 3 THEN '.5' WHEN 4 THEN p_size || 'd' WHEN 5 THEN '' WHEN 6 THEN p_size || '.5 × 10' || p_size % 7 WHEN 7 THEN p_size || 'x103' ELSE 'NaN' END AS s, p_size || CASE WHEN p_partkey % 2 = 0 THEN ':' ELSE '：' END || (p_partkey % 70) AS hm, 'a' || p_size || '， b,,' || p_brand || ' ，' AS al FROM part) "
+
+
+def texts(s, d):
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey")
+    c = F.element_at(F.array(F.concat(F.lit(" 25."), n), F.lit("ND"), F.concat(F.lit("1e"), (F.col("p_size") % 9).cast("string")), F.lit(".5"), F.concat(n, F.lit("d")), F.lit(""),
+                             F.concat(n, F.lit(".5 × 10"), (F.col("p_size") % 7).cast("string")), F.concat(n, F.lit("x103")), F.lit("NaN")), (k % 9 + 1).cast("int"))
+    return s.read.parquet(f"{d}/part.parquet").select(k.alias("id"), F.col("p_size").alias("n"), c.alias("s"), F.concat(n, F.when(k % 2 == 0, ":").otherwise("："), (k % 70).cast("string")).alias("hm"), F.concat(F.lit("a"), n, F.lit("， b,,"), "p_brand", F.lit(" ，")).alias("al"))
+
+
+for _name, _expr, _sql in (
+    ("fn_to_number", lambda: S.to_number(F.col("s")), O.num("s")),
+    ("fn_sci", lambda: S.sci(F.col("s")), f"TRY_CAST({O.ex(O.tr('s'), O.SCI)} AS DOUBLE) * pow(10, TRY_CAST({O.ex(O.tr('s'), O.SCI, 2)} AS DOUBLE))"),
+    ("fn_norm_hm", lambda: S.norm_hm(F.col("hm")), "CASE WHEN regexp_matches(replace(hm, '：', ':'), '^([01]?[0-9]|2[0-3]):[0-5][0-9]$') THEN lpad(split_part(replace(hm, '：', ':'), ':', 1), 2, '0') || ':' || split_part(replace(hm, '：', ':'), ':', 2) END"),
+    ("fn_alias_split", lambda: F.array_join(S.alias_list(F.col("al")), "|"), f"array_to_string(list_filter(list_transform(regexp_split_to_array(al, '[，,]'), lambda x: {O.tr('x')}), lambda x: x <> ''), '|')"),
+    ("flt_blank", lambda: S.is_blank(F.col("s")), f"s IS NULL OR {O.tr('s')} = ''"),
+    ("fn_json_copy", lambda: F.to_json(F.struct("id", F.col("n").alias("n"))), "'{\"id\":' || id || ',\"n\":' || n || '}'"),
+    ("fn_crc32", lambda: F.crc32(F.col("hm").cast("binary")), None),
+    ("fn_xml_escape", lambda: F.replace(F.replace(F.replace(F.concat("s", F.lit("<&>")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), "replace(replace(replace(s || '<&>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"),
+    ("fn_edit_parse", lambda: F.to_json(F.struct(*[v.alias(k) for k, v in S.parse_edit(F.lit("time"), F.col("hm")).items()])), None),
+):
+    QUERIES[_name] = lambda s, d, f=_expr: texts(s, d).select("id", f().alias("value"))
+    if _sql:
+        SQL[_name] = _TXT + f"SELECT id, {_sql} AS value FROM t"
