@@ -433,7 +433,7 @@ for _name, _expr, _sql in (
     ("fn_json_copy", lambda: F.to_json(F.struct("id", F.col("n").alias("n"))), "'{\"id\":' || id || ',\"n\":' || n || '}'"),
     ("fn_crc32", lambda: F.crc32(F.col("hm").cast("binary")), None),
     ("fn_xml_escape", lambda: F.replace(F.replace(F.replace(F.concat("s", F.lit("<&>")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), "replace(replace(replace(s || '<&>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"),
-    ("fn_edit_parse", lambda: F.to_json(F.struct(*[v.alias(k) for k, v in S.parse_edit(F.lit("time"), F.col("hm")).items()])), None),
+    ("fn_edit_parse", lambda: F.to_json(F.struct(*[v.alias(k) for k, v in S.parse_edit(F.lit("time"), F.col("hm")).items()])), "CASE WHEN regexp_matches(replace(hm, '：', ':'), '^([01]?[0-9]|2[0-3]):[0-5][0-9]$') THEN '{\"txt\":\"' || lpad(split_part(replace(hm, '：', ':'), ':', 1), 2, '0') || ':' || split_part(replace(hm, '：', ':'), ':', 2) || '\"}' ELSE '{}' END"),
 ):
     QUERIES[_name] = lambda s, d, f=_expr: texts(s, d).select("id", f().alias("value"))
     if _sql:
