@@ -73,11 +73,14 @@ class Automaton:
         for s, row in enumerate(nxt):
             for c, to in row.items():
                 t[s, c] = to
-        # Without a way on, a phrase ends and the symbol starts the next one at the root. A symbol
-        # that the text lacks is a phrase of its own: from the root it ends at the root.
-        root = np.where(t[0] >= 0, t[0], 0)
-        missing = t < 0
-        self.table = (np.where(missing, root[None, :], t) * 2 + missing).astype(np.int32).ravel()
+        # Without a way on, a phrase ends and the symbol starts the next one. A symbol that the text
+        # lacks is a phrase of its own: one more state, from which every symbol starts a phrase.
+        alone = len(nxt)
+        start = np.where(t[0] >= 0, t[0], alone)
+        ended = np.vstack([t < 0, np.ones((1, ALPHABET), dtype=bool)])
+        ended[0] = False  # at the root the first phrase, counted already, begins
+        to = np.vstack([np.where(t < 0, start[None, :], t), start[None, :]])
+        self.table = (to * 2 + ended).astype(np.int32).ravel()
 
     def phrases(self, columns: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each block; ``columns`` holds symbol i of every block, the blocks by falling length."""
