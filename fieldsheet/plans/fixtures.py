@@ -12,13 +12,32 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
+#: Lists of cells made from one source: a union of selects for DuckDB, one generator for Spark.
+_LISTS: list[tuple[str, list[tuple[str, str, str, str, str]]]] = []
+
+
 def _cells(rows: list[tuple[str, str, str]], source: str) -> str:
-    """One select a cell: address, number expression, text expression."""
-    out = []
-    for addr, num, txt in rows:
-        col, row = re.match(r"([A-Z]+)(\d+)", addr).groups()
-        out.append(f"SELECT sheet_id, '{addr}' AS addr, '{col}' AS col, {row} AS row_no, CAST({num} AS DOUBLE) AS num, CAST({txt} AS STRING) AS txt FROM {source}")
-    return " UNION ALL ".join(out)
+    """A mark for cells with fixed addresses: address, number expression, text expression."""
+    parts = [re.match(r"([A-Z]+)(\d+)", a).groups() for a, _, _ in rows]
+    return _mark(source, [(f"'{a}'", f"'{c}'", r, n, t) for (a, n, t), (c, r) in zip(rows, parts, strict=True)])
+
+
+def _mark(source: str, rows: list[tuple[str, str, str, str, str]]) -> str:
+    _LISTS.append((source, rows))
+    return f"@{len(_LISTS) - 1}@"
+
+
+def _union(source: str, rows: list) -> str:
+    return " UNION ALL ".join(f"SELECT sheet_id, {a} AS addr, {c} AS col, {r} AS row_no, CAST({n} AS DOUBLE) AS num, CAST({t} AS STRING) AS txt FROM {source}" for a, c, r, n, t in rows)
+
+
+def _inline(source: str, rows: list) -> str:
+    items = ", ".join(f"named_struct('addr', {a}, 'col', {c}, 'row_no', {r}, 'num', CAST({n} AS DOUBLE), 'txt', CAST({t} AS STRING))" for a, c, r, n, t in rows)
+    return f"SELECT sheet_id, inline(filter(array({items}), c -> c.num IS NOT NULL OR c.txt IS NOT NULL)) FROM {source}"
+
+
+def _expand(text: str, how) -> str:
+    return re.sub(r"@(\d+)@", lambda m: how(*_LISTS[int(m[1])]), text)
 
 
 _S = lambda x: f"CAST({x} AS STRING)"
@@ -42,9 +61,7 @@ cells AS (""" + _cells([
     ("A2", "NULL", f"CASE WHEN sheet_id % 11 = 0 THEN '無字號' ELSE '檢字第0' || {_S('ck % 210')} || '號' END"), ("A3", "NULL", "'水質檢測報告'"), ("F8", "NULL", "CASE WHEN sheet_id % 3 = 0 THEN '　' || cname || ' ' WHEN sheet_id % 3 = 1 THEN 'alias of ' || cname ELSE 'new ' || cname END"),
     ("B11", "NULL", "CASE sheet_id % 5 WHEN 0 THEN '河川水' WHEN 1 THEN '放流水' WHEN 2 THEN '地下水' WHEN 3 THEN '海水' ELSE '溫泉水' END"), ("J9", "y", "NULL"),
     ("K9", "CASE WHEN sheet_id % 13 > 0 THEN m END", "CASE WHEN sheet_id % 13 = 0 THEN '日' END"), ("L9", "NULL", f"{_S('d')} || '日'"), ("M9", "sheet_id % 24", "NULL"), ("N9", "NULL", _S("sheet_id % 60")),
-], "ws") + """ UNION ALL """ + " UNION ALL ".join(
-    f"SELECT sheet_id, '{c}' || {_S('r')}, '{c}', r, CAST({n} AS DOUBLE), CAST({t} AS STRING) FROM wv" for c, n, t in (("A", "NULL", "a"), ("C", "cn", "ct"), ("D", "dn", "dt"), ("E", "NULL", "e"), ("F", "NULL", "f"))
-) + ")"
+], "ws") + " UNION ALL " + _mark("wv", [(f"'{c}' || {_S('r')}", f"'{c}'", "r", n, t) for c, n, t in (("A", "NULL", "a"), ("C", "cn", "ct"), ("D", "dn", "dt"), ("E", "NULL", "e"), ("F", "NULL", "f"))]) + ")"
 FX["air"] = f"""
 av AS (SELECT user_id * 100000000 + year(ts) * 10000 + month(ts) * 100 + day(ts) AS sheet_id, user_id, CAST(year(ts) - 1911 AS INT) AS y, CAST(month(ts) AS INT) AS m, CAST(day(ts) AS INT) AS d, event_id FROM {{events}}),
 ash AS (SELECT sheet_id, min(user_id) AS u, min(y) AS y, min(m) AS m, min(d) AS d FROM av GROUP BY sheet_id),
@@ -82,9 +99,9 @@ im AS (SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) AS im
 
 def duck(*names: str) -> str:
     """The fixtures as the head of a DuckDB query."""
-    return ("WITH " + ",\n".join(FX[n] for n in names)).format(**{t: t for t in TABLES})
+    return _expand("WITH " + ",\n".join(FX[n] for n in names), _union).format(**{t: t for t in TABLES})
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str, table: str) -> DataFrame:
-    text = "WITH " + FX[name].format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES})
+    text = _expand("WITH " + FX[name], _inline).format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES})
     return spark.sql(f"{text} SELECT * FROM {table}")
