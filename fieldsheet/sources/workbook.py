@@ -3,13 +3,14 @@
 ``read_cells`` reads whole files by Spark and parses them in Arrow batches, so a folder of
 workbooks in any store is read by many tasks. Dates stay serial numbers,
 formulas give their stored values, error cells and empty ones give no row.
-Legacy binary .xls isn't read: such a file gives one row with a note, never silence.
+Legacy .xls is read too. A file that can't be read gives one row with a note, never silence.
 """
 
 from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
 from collections.abc import Iterable, Iterator
 from html import escape
@@ -17,6 +18,8 @@ from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import xls
+
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 PACKAGE = "{http://schemas.openxmlformats.org/package/2006/relationships}"
@@ -26,9 +29,19 @@ ACCEPTED = r"(?i)\.(xls|xlsx|xlsm)$"
 
 def read_workbook(name: str, data: bytes) -> Iterator[tuple]:
     """The cells of one file as rows of ``SCHEMA``."""
-    if not data.startswith(b"PK"):
-        yield (name, None, None, None, None, None, None, None, None, "not an .xlsx file; legacy .xls isn't supported")
-        return
+    try:
+        yield from list(_read_zip(name, data) if data.startswith(b"PK") else _read_legacy(name, data))
+    except (xls.Unreadable, zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, struct.error) as x:
+        yield (name, None, None, None, None, None, None, None, None, f"can't be read: {x}")
+
+
+def _read_legacy(name: str, data: bytes) -> Iterator[tuple]:
+    for i, sheet, r, c, v in xls.cells(data):
+        col, text = column_name(c + 1), isinstance(v, str)
+        yield (name, i, sheet, f"{col}{r + 1}", col, r + 1, "s" if text else "n", None if text else v, v if text else None, None)
+
+
+def _read_zip(name: str, data: bytes) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         have = set(z.namelist())
         shared = []
@@ -48,7 +61,7 @@ def read_workbook(name: str, data: bytes) -> Iterator[tuple]:
                 elif v is None or v.text is None or kind == "e":
                     continue
                 else:
-                    value = shared[int(v.text)] if kind == "s" else v.text
+                    value = shared[int(v.text)] if kind == "s" else ("false", "true")[v.text == "1"] if kind == "b" else v.text
                 if kind == "n":
                     yield (name, i, s.get("name"), addr, col, int(row), "n", float(value), None, None)
                 else:

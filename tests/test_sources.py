@@ -21,6 +21,50 @@ def test_workbook_round_trip(spark, tmp_path):
     assert workbook.file_name("水質", None, "2026-02-05") == "水質_未設定案場_20260205.xlsx"
 
 
+def legacy_workbook(mini: bool) -> bytes:
+    """A BIFF8 workbook in a compound file, written by hand: one sheet with every kind of cell."""
+    import struct
+
+    rec = lambda kind, body: struct.pack("<2H", kind, len(body)) + body
+    bof = rec(0x809, struct.pack("<4H2I", 0x600, 5, 0, 0, 0, 0))
+    texts = ["監測地點：一", "plain", "cut in two by a continuation " * 3]
+    sst = struct.pack("<2I", 3, 3)
+    for t in texts[:2]:
+        wide = not t.isascii()
+        sst += struct.pack("<HB", len(t), wide) + t.encode("utf-16-le" if wide else "latin-1")
+    t = texts[2]
+    sst += struct.pack("<HB", len(t), 0) + t[:20].encode()
+    shared = rec(0xFC, sst) + rec(0x3C, b"\x01" + t[20:].encode("utf-16-le"))
+    at = lambda r, c: struct.pack("<3H", r, c, 0)
+    sheet = bof + rec(0xFD, at(0, 0) + struct.pack("<I", 0)) + rec(0xFD, at(0, 1) + struct.pack("<I", 2)) + rec(0x203, at(1, 0) + struct.pack("<d", 2.5))
+    sheet += rec(0x27E, at(1, 1) + struct.pack("<I", (300 << 2) | 3)) + rec(0xBD, struct.pack("<2H", 2, 0) + struct.pack("<HIHI", 0, (7 << 2) | 2, 0, ((-4 << 2) & 0xFFFFFFFF) | 2) + struct.pack("<H", 1))
+    sheet += rec(0x06, at(3, 0) + struct.pack("<d", 9.75) + b"\0" * 8) + rec(0x06, at(3, 1) + b"\0" * 6 + b"\xff\xff" + b"\0" * 8) + rec(0x207, struct.pack("<HB", 2, 0) + b"ok")
+    sheet += rec(0x204, at(4, 27) + struct.pack("<HB", 1, 0) + b"L") + rec(0x205, at(5, 0) + b"\x01\x00") + rec(0x205, at(5, 1) + b"\x2a\x01") + rec(0x0A, b"")
+    head = lambda pos: bof + rec(0x85, struct.pack("<IH", pos, 0) + struct.pack("<BB", 2, 1) + "空品".encode("utf-16-le")) + shared + rec(0x0A, b"")
+    book = head(len(head(0))) + sheet
+    if not mini:
+        book += b"\0" * (5000 - len(book))
+    pad = lambda b, n: b + b"\0" * (-len(b) % n)
+    free, end = 0xFFFFFFFF, 0xFFFFFFFE
+    body = pad(pad(book, 64), 512)
+    n = len(body) // 512
+    entry = lambda name, kind, start, size: pad(name.encode("utf-16-le"), 64)[:64].ljust(64, b"\0") + struct.pack("<HBB", 2 * len(name) + 2, kind, 1) + b"\xff" * 12 + b"\0" * 36 + struct.pack("<2I", start, size) + b"\0" * 4
+    # Sectors: 0 FAT, 1 directory, 2 small FAT, 3.. the stream (or the root's small sectors).
+    fat = [0xFFFFFFFD, end, end] + [3 + i + 1 for i in range(n - 1)] + [end]
+    small = [i + 1 for i in range(len(pad(book, 64)) // 64 - 1)] + [end]
+    directory = entry("Root Entry", 5, 3 if mini else end, n * 512 if mini else 0) + entry("Workbook", 2, 0 if mini else 3, len(book)) + b"\0" * 256
+    header = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\0" * 16 + struct.pack("<5H", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 10 + struct.pack("<IIIIIIII", 1, 1, 0, 4096, 2 if mini else end, 1 if mini else 0, end, 0) + struct.pack("<109I", 0, *[free] * 108)
+    ints = lambda v: struct.pack("<128I", *(v + [free] * (128 - len(v))))
+    return header + ints(fat) + directory + ints(small) + body
+
+
+@pytest.mark.parametrize("mini", [True, False])
+def test_legacy_workbook(mini):
+    got = {r[3]: r[8] if r[6] == "s" else r[7] for r in workbook.read_workbook("a.xls", legacy_workbook(mini))}
+    assert got == {"A1": "監測地點：一", "B1": "cut in two by a continuation " * 3, "A2": 2.5, "B2": 3.0, "A3": 7.0, "B3": -4.0, "A4": 9.75, "B4": "ok", "AB5": "L", "A6": "true"}
+    assert next(workbook.read_workbook("a.xls", legacy_workbook(mini)[:700]))[9].startswith("can't be read")
+
+
 WATER = [("A2", "第036號"), ("A3", "水質檢測報告"), ("F8", "示範站放流口"), ("B11", "河川水"), ("J9", 115.0), ("K9", 2.0), ("L9", 5.0), ("M9", 10.0), ("N9", 43.0),
          ("A15", "溶氧"), ("C15", 6.5), ("D15", "--"), ("E15", "mg/L"), ("F15", "NIEA W455.52C"), ("A16", "大腸桿菌群"), ("C16", "6.0×104"), ("E16", "CFU/100mL"), ("F16", "NIEA E202.55B"), ("A17", "備註：x"), ("A18", "後")]
 
