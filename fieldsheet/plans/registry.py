@@ -13,6 +13,7 @@ from ..operators import cells as C
 from ..operators import extract as E
 from ..operators import master as M
 from ..operators import report as R
+from ..operators import workspace as K
 from . import oracle as O
 from .fixtures import duck, frame
 
@@ -438,3 +439,72 @@ for _name, _expr, _sql in (
     QUERIES[_name] = lambda s, d, f=_expr: texts(s, d).select("id", f().alias("value"))
     if _sql:
         SQL[_name] = _TXT + f"SELECT id, {_sql} AS value FROM t"
+
+# The workspace.
+simple("prj_vib_header", lambda s, d: E.vib_heads(noise(s, d)), "sheet_id, station_raw, category, date_start, time_start, date_end, time_end, ctrl_std, ctrl_zone, env_std, freq_range", O.noise, "vh")
+
+
+@query("val_export_gate", _HIST + "SELECT im.uid, CASE WHEN nullif(project_code, '') IS NULL THEN 'blocked' WHEN missing_count > 0 THEN 'confirm' ELSE 'export' END AS gate, CASE WHEN missing_count > 0 THEN 'missing' WHEN nullif(project_code, '') IS NULL THEN 'no project' ELSE 'ready' END AS status FROM im")
+def val_export_gate(s, d):
+    im = frame(s, d, "imports", "im")
+    m, p = F.col("missing_count"), F.col("project_code")
+    return im.select("uid", K.export_gate(m, p).alias("gate"), K.status(F.lit(1), m, p).alias("status"))
+
+
+@query("prj_preview_state", WATER_REC + "SELECT sheet_id, CASE WHEN x IS NULL THEN 'missing' ELSE 'memory' END AS x_state, CASE WHEN date_start IS NULL THEN 'missing' ELSE 'parsed' END AS date_state, 'missing' AS end_state FROM rec")
+def prj_preview_state(s, d):
+    yes, none, parsed, manual = F.lit(True), F.lit(None).cast("string"), F.lit("parsed"), F.lit("manual")
+    state = lambda c, src, via: K.cell_state(F.col(c).cast("string"), yes, src, via)
+    r = water_records(s, d)
+    return r.select("sheet_id", state("x", manual, F.col("x_via")).alias("x_state"), state("date_start", parsed, none).alias("date_state"), state("time_end", manual, none).alias("end_state"))
+
+
+@query("jn_rename_site", duck("stations") + ",\n" + O.STATION.strip() + ", o AS (SELECT o_orderkey AS id, c_name AS site, o_custkey AS ck FROM orders JOIN customer ON o_custkey = c_custkey), r AS (SELECT id AS sheet_id, CASE WHEN id % 4 = 0 THEN 'shared ' || ck % 50 WHEN id % 4 = 1 THEN 'nowhere' END AS new_site, site FROM o) SELECT sheet_id, coalesce(new_site, site) AS site, sm.coord_sys, CASE WHEN sheet_id % 5 = 0 THEN 1.0 ELSE sm.x END AS x, sm.y, CASE WHEN new_site IS NULL THEN 'parsed' ELSE 'manual' END AS src FROM r LEFT JOIN sm ON sm.match_name = new_site")
+def jn_rename_site(s, d):
+    c = s.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name")
+    o = s.read.parquet(f"{d}/orders.parquet").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    none = lambda t: F.lit(None).cast(t)
+    k = F.col("o_orderkey")
+    records = o.select(k.alias("sheet_id"), F.col("c_name").alias("station_raw"), none("int").alias("coord_sys"), F.when(k % 5 == 0, 1.0).alias("x"), none("double").alias("y"))
+    new = F.when(k % 4 == 0, F.concat(F.lit("shared "), (F.col("o_custkey") % 50).cast("string"))).when(k % 4 == 1, "nowhere")
+    edits = o.select(k.alias("sheet_id"), F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("first").alias("new_site")), F.struct(F.lit(2).alias("seq"), new.alias("new_site")))).alias("e")).where(k % 4 < 2).select("sheet_id", "e.*")
+    return K.rename_site(records, edits, stations(s, d))
+
+
+@query("edt_end_times", WATER_REC + ", t AS (SELECT name AS site, min('2' || ord % 4 || ':30') AS given FROM st WHERE ord % 2 = 0 GROUP BY name) SELECT sheet_id, rec.site, given AS time_end, CASE WHEN given IS NULL THEN 'parsed' ELSE 'manual' END AS time_src FROM rec LEFT JOIN t ON t.site = rec.site")
+def edt_end_times(s, d):
+    t = stations(s, d).where("ord % 2 = 0").select(F.col("name").alias("site"), F.concat(F.lit("2"), (F.col("ord") % 4).cast("string"), F.lit(":30")).alias("end_time"))
+    return K.end_times(water_records(s, d), t).select("sheet_id", "site", "time_end", "time_src")
+
+
+@query("fn_missing_message", _MISS + ", x AS (SELECT mi.*, rec.site, wit.item_name FROM mi JOIN rec USING (sheet_id) LEFT JOIN wit ON wit.sheet_id = mi.sheet_id AND wit.item_idx = mi.item_idx) SELECT sheet_id, item_idx, key, CASE WHEN item_idx IS NULL THEN site ELSE coalesce(site, '') || ' / ' || coalesce(item_name, '項目' || (item_idx + 1)) END AS message FROM x")
+def fn_missing_message(s, d):
+    r, i = water_records(s, d), E.water_items(water(s, d))
+    m = R.missing(r, i, "water").join(r.select("sheet_id", "site"), "sheet_id").join(i.select("sheet_id", "item_idx", "item_name"), ["sheet_id", "item_idx"], "left")
+    return m.select("sheet_id", "item_idx", "key", K.missing_message(F.col("site"), F.col("item_name"), F.col("item_idx")).alias("message"))
+
+
+@query("src_ingest_all", O.noise("").rstrip() + ", a AS (SELECT sheet_id, 'noise' AS module, station_raw, category, date_start, license FROM nh UNION ALL SELECT sheet_id, 'noise', station_raw, category, date_start, NULL FROM vh) SELECT sheet_id, module, station_raw, category, date_start, license, CASE WHEN station_raw <> '' AND date_start <> '' THEN module || '|' || station_raw || '|' || date_start END AS key FROM a")
+def src_ingest_all(s, d):
+    return K.ingest(noise(s, d)).select("sheet_id", "module", "station_raw", "category", "date_start", "license", "key")
+
+
+@query("agg_sheet_dimension", O.water("SELECT sheet_id, max(row_no) AS last_row, max(ascii(col) - 64) AS last_col, count(*) AS n FROM cells WHERE num IS NOT NULL OR txt IS NOT NULL GROUP BY sheet_id"))
+def agg_sheet_dimension(s, d):
+    c = water(s, d).where("num IS NOT NULL OR txt IS NOT NULL")
+    return c.groupBy("sheet_id").agg(F.max("row_no").alias("last_row"), F.max(F.ascii("col") - 64).alias("last_col"), F.count("*").alias("n"))
+
+
+@query("set_sheet_names", "WITH o AS (SELECT o_custkey AS k, list(o_orderpriority ORDER BY o_orderkey) AS a, list(CASE WHEN o_orderkey % 50 = 0 THEN 'x' ELSE o_orderpriority END ORDER BY o_orderkey) AS b FROM orders GROUP BY 1) SELECT k, a = b AS same FROM o")
+def set_sheet_names(s, d):
+    o = s.read.parquet(f"{d}/orders.parquet")
+    names = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", c.alias("n")))), lambda x: x["n"])
+    p = F.col("o_orderpriority")
+    g = o.groupBy(F.col("o_custkey").alias("k")).agg(names(p).alias("a"), names(F.when(F.col("o_orderkey") % 50 == 0, "x").otherwise(p)).alias("b"))
+    return g.select("k", (F.col("a") == F.col("b")).alias("same"))
+
+
+@query("fn_number_format", "SELECT p_partkey AS id, coalesce(regexp_replace(CASE p_partkey % 4 WHEN 0 THEN 'h:mm;@' WHEN 1 THEN 'mm-dd-yy' WHEN 2 THEN ';@0' END, ';@$', ''), 'General') AS value FROM part")
+def fn_number_format(s, d):
+    k = F.col("p_partkey") % 4
+    return s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), K.number_format(F.when(k == 0, "h:mm;@").when(k == 1, "mm-dd-yy").when(k == 2, ";@0")).alias("value"))
