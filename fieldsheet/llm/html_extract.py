@@ -28,7 +28,7 @@ from .common import pick, table
 from .html_dom import SILENT, Page, names
 from .html_pages import page
 
-TRAIN_PAGES, SEED = 500, 11
+TRAIN_PAGES, SEED = 1200, 11
 SPLIT_COST = 0.5
 PAGES_AT_ONCE = 200
 GOOD = frozenset("content article post entry story text body main blog prose".split())
@@ -36,11 +36,11 @@ GOOD = frozenset("content article post entry story text body main blog prose".sp
 BAD = [frozenset(x.split()) for x in (
     "ad ads advert advertisement banner sponsor sponsored promo promotion",
     "cookie notice alert gdpr consent popup modal overlay",
-    "sidebar side widget related recommended trending popular",
+    "sidebar side widget related recommended trending popular complementary aside",
     "comment comments discussion reply replies responses response disqus",
     "share social tags breadcrumb breadcrumbs pagination pager author meta",
     "newsletter subscribe search login signup form contact",
-    "footer bottom copyright legal header masthead topbar logo branding nav navbar menu navigation",
+    "footer bottom copyright legal header masthead topbar logo branding nav navbar menu navigation contentinfo",
 )]
 KINDS = {t: i for i, x in enumerate((
     "article main", "nav menu", "footer", "header", "aside", "form fieldset button select textarea label option input", "p", "h1 h2 h3 h4 h5 h6",

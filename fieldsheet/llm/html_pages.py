@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 SYLLABLES = ["ba", "ren", "to", "lis", "mo", "ka", "thed", "is", "ur", "ven", "pol", "ce", "an", "dri", "é", "ung", "ción", "sa", "wer", "ig", "ol", "ment"]
 CONTENT = ["content", "main-content", "post", "entry-content", "article-body", "story", "post-body", "text", "blog-post", "page-content"]
@@ -17,6 +18,7 @@ DROPPED = {
     "head": ["header", "site-header", "masthead", "top-bar", "topbar", "logo", "branding"],
     "nav": ["nav", "navbar", "menu", "main-menu", "navigation", "site-nav"],
 }
+ROLES = {"nav": "navigation", "side": "complementary", "head": "banner", "foot": "contentinfo", "form": "search", "notice": "alert"}
 
 
 def page(rng: random.Random) -> str:
@@ -45,7 +47,7 @@ def page(rng: random.Random) -> str:
     def dropped(kind: str, inner: str, tags: tuple[str, ...] = ("div", "section")) -> str:
         tag = r.choice(tags)
         bare = tag in ("nav", "footer", "header", "aside", "form") and r.random() < 0.6
-        head = tag if bare else named(kind, tag)
+        head = tag if bare else f'{tag} role="{ROLES[kind]}"' if kind in ROLES and r.random() < 0.15 else named(kind, tag)
         return f'<{head} data-keep="0">{inner}</{tag}>'
 
     def ad() -> str:
@@ -70,14 +72,16 @@ def page(rng: random.Random) -> str:
             return f"<pre><code>{words(8)}</code></pre>"
         return f"<table><tr><th>{words(1)}</th><th>{words(1)}</th></tr><tr><td>{words(2)}</td><td>{r.randint(1, 999)}</td></tr></table>"
 
-    body = [paragraph() for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 12, 20]))]
+    body = [paragraph() for _ in range(r.choice([0, 1, 1, 1, 2, 2, 3, 5, 8, 12, 20]))]
     for make, share in ((ad, 0.2), (lambda: dropped("share", links(3)), 0.15), (lambda: dropped("side", f"<h3>{words(2)}</h3>" + links(4), ("div", "aside")), 0.15), (lambda: dropped("form", f"<p>{sentence()}</p><input><button>{words(1)}</button>", ("form", "div")), 0.1)):
         if r.random() < share:
             body.insert(r.randint(0, len(body)), make())
-    title = f"<h1>{words(r.randint(2, 9))}</h1>" if r.random() < 0.85 else ""
-    tag, attr = r.choice([("article", ""), ("article", ""), ("main", ""), ("div", f' class="{r.choice(CONTENT)}"'), ("div", f' id="{r.choice(CONTENT)}"'), ("section", f' class="{r.choice(CONTENT)}"'), ("div", "")])
+    title = f"<h1>{words(r.choice([1, 2, 4, 6, 9]))}</h1>" if r.random() < 0.85 else ""
+    tag, attr = r.choice([("article", ""), ("article", ""), ("main", ""), ("div", f' class="{r.choice(CONTENT)}"'), ("div", f' id="{r.choice(CONTENT)}"'), ("section", f' class="{r.choice(CONTENT)}"'), ("section", ' role="main"'), ("div", ' role="main"'), ("div", "")])
     main = f'<{tag}{attr} data-keep="1">{title}{"".join(body)}</{tag}>'
-    if r.random() < 0.2:
+    if r.random() < 0.1:  # blocks without an element around them
+        main = "".join(x if "data-keep" in x else re.sub(r"^<(\w+)", r'<\1 data-keep="1"', x) for x in [title, *body])
+    elif r.random() < 0.2:
         main = f'<div class="{r.choice(["container", "wrap", "row", "layout", "page"])}">{main}</div>'
 
     def comment() -> str:
