@@ -57,11 +57,11 @@ wv AS (SELECT sheet_id, r, pk,
   CASE WHEN sk % 4 = 0 THEN q * 0.25 END AS dn, CASE sk % 4 WHEN 0 THEN NULL WHEN 1 THEN '--' WHEN 2 THEN ' ─' ELSE '0.0' || {_S('q')} END AS dt,
   CASE pk % 10 WHEN 0 THEN '℃' WHEN 1 THEN 'mg P/L' WHEN 2 THEN 'mg CaCO3/L' WHEN 3 THEN 'μmho/cm' WHEN 4 THEN 'm3/min' WHEN 5 THEN 'CFU/100mL' WHEN 6 THEN '' WHEN 7 THEN 'ppm' ELSE 'mg/L' END AS e,
   CASE sk % 3 WHEN 0 THEN 'NIEA W455.52C' WHEN 1 THEN 'NIEA  W210.58A' ELSE '自訂 NIEA W1' END AS f FROM wr),
-cells AS (""" + _cells([
+hcells AS (""" + _cells([
     ("A2", "NULL", f"CASE WHEN sheet_id % 11 = 0 THEN '無字號' ELSE '檢字第0' || {_S('ck % 210')} || '號' END"), ("A3", "NULL", "'水質檢測報告'"), ("F8", "NULL", "CASE WHEN sheet_id % 3 = 0 THEN '　' || cname || ' ' WHEN sheet_id % 3 = 1 THEN 'alias of ' || cname ELSE 'new ' || cname END"),
     ("B11", "NULL", "CASE sheet_id % 5 WHEN 0 THEN '河川水' WHEN 1 THEN '放流水' WHEN 2 THEN '地下水' WHEN 3 THEN '海水' ELSE '溫泉水' END"), ("J9", "y", "NULL"),
     ("K9", "CASE WHEN sheet_id % 13 > 0 THEN m END", "CASE WHEN sheet_id % 13 = 0 THEN '日' END"), ("L9", "NULL", f"{_S('d')} || '日'"), ("M9", "sheet_id % 24", "NULL"), ("N9", "NULL", _S("sheet_id % 60")),
-], "ws") + " UNION ALL " + _mark("wv", [(f"'{c}' || {_S('r')}", f"'{c}'", "r", n, t) for c, n, t in (("A", "NULL", "a"), ("C", "cn", "ct"), ("D", "dn", "dt"), ("E", "NULL", "e"), ("F", "NULL", "f"))]) + ")"
+], "ws") + "),\nicells AS (" + _mark("wv", [(f"'{c}' || {_S('r')}", f"'{c}'", "r", n, t) for c, n, t in (("A", "NULL", "a"), ("C", "cn", "ct"), ("D", "dn", "dt"), ("E", "NULL", "e"), ("F", "NULL", "f"))]) + "),\ncells AS (SELECT * FROM hcells UNION ALL SELECT * FROM icells)"
 FX["air"] = f"""
 av AS (SELECT user_id * 100000000 + year(ts) * 10000 + month(ts) * 100 + day(ts) AS sheet_id, user_id, CAST(year(ts) - 1911 AS INT) AS y, CAST(month(ts) AS INT) AS m, CAST(day(ts) AS INT) AS d, event_id FROM {{events}}),
 ash AS (SELECT sheet_id, min(user_id) AS u, min(y) AS y, min(m) AS m, min(d) AS d FROM av GROUP BY sheet_id),

@@ -33,6 +33,15 @@ def water(s, d):
     return frame(s, d, "water", "cells")
 
 
+def water_top(s, d):
+    """The cells above the items: what a reader gives that is asked for rows 1 to 14 only."""
+    return frame(s, d, "water", "hcells")
+
+
+def water_body(s, d):
+    return frame(s, d, "water", "icells")
+
+
 def air(s, d):
     return frame(s, d, "air", "cells")
 
@@ -48,7 +57,7 @@ def stations(s, d):
 def water_records(s, d):
     """Water records with their station, as the flagship uses them."""
     none = lambda t: F.lit(None).cast(t)
-    h = E.water_heads(water(s, d)).withColumns({"coord_sys": none("int"), "x": none("double"), "y": none("double"), "time_end": none("string")})
+    h = E.water_heads(water_top(s, d)).withColumns({"coord_sys": none("int"), "x": none("double"), "y": none("double"), "time_end": none("string")})
     return M.match_station(h, stations(s, d))
 
 
@@ -66,8 +75,8 @@ def simple(name: str, make, columns: str, sql: Callable[[str], str], cte: str) -
     query(name, sql(f"SELECT {columns} FROM {cte}"))(lambda s, d: make(s, d).select(*names))
 
 
-W_ITEMS, A_ITEMS = (lambda s, d: E.water_items(water(s, d))), (lambda s, d: E.air_items(air(s, d)))
-W_HEADS, A_HEADS, N_HEADS = (lambda s, d: E.water_heads(water(s, d))), (lambda s, d: E.air_heads(air(s, d))), (lambda s, d: E.noise_heads(noise(s, d)))
+W_ITEMS, A_ITEMS = (lambda s, d: E.water_items(water_body(s, d))), (lambda s, d: E.air_items(air(s, d)))
+W_HEADS, A_HEADS, N_HEADS = (lambda s, d: E.water_heads(water_top(s, d))), (lambda s, d: E.air_heads(air(s, d))), (lambda s, d: E.noise_heads(noise(s, d)))
 for args in (
     ("prj_water_header", W_HEADS, "sheet_id, station_raw, category, date_start, time_start, date_end, license", O.water, "wh"),
     ("jn_sample_type", W_HEADS, "sheet_id, category, category_mapped", O.water, "wh"),
@@ -185,7 +194,7 @@ _MISS = _MISS.replace(", mi AS", ", rec2 AS (SELECT *, CAST(NULL AS VARCHAR) AS
 
 
 def water_missing(s, d):
-    return R.missing(water_records(s, d), E.water_items(water(s, d)), "water")
+    return R.missing(water_records(s, d), E.water_items(water_body(s, d)), "water")
 
 
 query("val_required", _MISS + "SELECT * FROM mi")(water_missing)
@@ -209,7 +218,7 @@ _W = {
 
 @query("val_warnings", WATER_REC + " UNION ALL ".join([f"SELECT sheet_id, '{k}' AS warning, CAST(1 AS BIGINT) AS n FROM rec WHERE {v}" for k, v in _W.items()] + ["SELECT sheet_id, 'unit', count(*) FROM wit WHERE unit_code IS NULL GROUP BY sheet_id", "SELECT sheet_id, 'items', 1 FROM rec WHERE sheet_id NOT IN (SELECT sheet_id FROM wit)"]))
 def val_warnings(s, d):
-    r, i = water_records(s, d), E.water_items(water(s, d))
+    r, i = water_records(s, d), E.water_items(water_body(s, d))
     one = F.lit(1).cast("long").alias("n")
     head = r.select("sheet_id", F.explode(F.array_compact(F.array(*[F.when(F.expr(v), F.lit(k)) for k, v in _W.items()]))).alias("warning"), one)
     unit = i.where("unit_code IS NULL").groupBy("sheet_id").agg(F.count("*").alias("n")).select("sheet_id", F.lit("unit").alias("warning"), "n")
@@ -223,7 +232,7 @@ _FLAT = "SELECT sheet_id, item_idx, date_start, time_start, site, category, lice
 @query("prj_flatten_report", WATER_REC + _FLAT)
 def prj_flatten_report(s, d):
     """The flagship: cells to report rows."""
-    return R.flatten(water_records(s, d), E.water_items(water(s, d))).select("sheet_id", "item_idx", "date_start", "time_start", "site", "category", "license", "item_name", "unit_code", "compare", "value_num", "value_txt", "mdl_num", "mdl_txt", "method_out", "coord_sys", "x", "y")
+    return R.flatten(water_records(s, d), E.water_items(water_body(s, d))).select("sheet_id", "item_idx", "date_start", "time_start", "site", "category", "license", "item_name", "unit_code", "compare", "value_num", "value_txt", "mdl_num", "mdl_txt", "method_out", "coord_sys", "x", "y")
 
 
 @query("prj_cell_type", O.water("SELECT sheet_id, CASE WHEN date_start IS NULL THEN 's' ELSE 'd' END AS date_t, CAST(date_diff('day', DATE '1899-12-30', TRY_CAST(date_start AS DATE)) AS DOUBLE) AS date_v, CASE WHEN time_start IS NULL THEN 's' ELSE 'tm' END AS time_t, (CAST(split_part(time_start, ':', 1) AS INTEGER) * 60 + CAST(split_part(time_start, ':', 2) AS INTEGER)) / 1440 AS time_v FROM wh"))
@@ -258,7 +267,7 @@ def prj_basic_rows(s, d):
 
 @query("agg_row_count", WATER_REC + ", c AS (SELECT sheet_id, count(*) AS n FROM wit GROUP BY sheet_id) SELECT site, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_records FROM rec JOIN c USING (sheet_id) GROUP BY site")
 def agg_row_count(s, d):
-    i = E.water_items(water(s, d)).groupBy("sheet_id").agg(F.count("*").alias("n"))
+    i = E.water_items(water_body(s, d)).groupBy("sheet_id").agg(F.count("*").alias("n"))
     return water_records(s, d).join(i, "sheet_id").groupBy("site").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_records"))
 
 
@@ -479,7 +488,7 @@ def edt_end_times(s, d):
 
 @query("fn_missing_message", _MISS + ", x AS (SELECT mi.*, rec.site, wit.item_name FROM mi JOIN rec USING (sheet_id) LEFT JOIN wit ON wit.sheet_id = mi.sheet_id AND wit.item_idx = mi.item_idx) SELECT sheet_id, item_idx, key, CASE WHEN item_idx IS NULL THEN site ELSE coalesce(site, '') || ' / ' || coalesce(item_name, '項目' || (item_idx + 1)) END AS message FROM x")
 def fn_missing_message(s, d):
-    r, i = water_records(s, d), E.water_items(water(s, d))
+    r, i = water_records(s, d), E.water_items(water_body(s, d))
     m = R.missing(r, i, "water").join(r.select("sheet_id", "site"), "sheet_id").join(i.select("sheet_id", "item_idx", "item_name"), ["sheet_id", "item_idx"], "left")
     return m.select("sheet_id", "item_idx", "key", K.missing_message(F.col("site"), F.col("item_name"), F.col("item_idx")).alias("message"))
 
