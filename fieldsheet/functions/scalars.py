@@ -23,7 +23,7 @@ def extract(x: Column, pattern: str, group: int = 1) -> Column:
 
 
 def is_blank(x: Column) -> Column:
-    return x.isNull() | (trim(x) == "")
+    return x.isNull() | x.rlike(r"(?U)^\s*$")
 
 
 def number_text(x: Column) -> Column:
@@ -104,10 +104,15 @@ def env_std(category: Column, note: Column) -> Column:
     return F.when(category == "道路交通噪音", road).otherwise(0)
 
 
-def censor_water(num: Column, txt: Column) -> dict[str, Column]:
-    """``compare, value_num, value_txt`` of a measured value that is a number or a text."""
-    t = trim(txt)
-    value = F.coalesce(num, sci(txt), to_number(txt))
+def water_value(num: Column, txt: Column) -> Column:
+    return F.coalesce(num, sci(txt), to_number(txt))
+
+
+def censor_water(num: Column, txt: Column, t: Column | None = None, value: Column | None = None) -> dict[str, Column]:
+    """``compare, value_num, value_txt`` of a measured value that is a number or a text. ``t`` and
+    ``value``, the trimmed text and the number in it, can be columns that were worked out before."""
+    t = trim(txt) if t is None else t
+    value = water_value(num, txt) if value is None else value
     u = F.upper(t)
     below = t.startswith("<")
     rest = F.substring(t, 2, 1_000_000)

@@ -46,12 +46,14 @@ def water_rows(cells: DataFrame) -> DataFrame:
 def water_items(cells: DataFrame) -> DataFrame:
     r = water_rows(cells)
     s = lambda k: F.coalesce(S.trim(F.coalesce(F.col(f"{k}_t"), S.number_text(F.col(f"{k}_n")))), F.lit(""))
-    value = S.censor_water(F.col("C_n"), F.col("C_t"))
+    # Columns that are read many times below stay columns, so each text is read once.
+    r = r.withColumns({"t": S.trim(F.col("C_t")), "value": S.water_value(F.col("C_n"), F.col("C_t")), "e": s("E"), "f": s("F")})
+    value = S.censor_water(F.col("C_n"), F.col("C_t"), F.col("t"), F.col("value"))
     return r.select(
-        "sheet_id", "item_idx", "row_no", F.col("name").alias("raw_name"), s("E").alias("unit_raw"), s("F").alias("raw_method"),
-        F.coalesce(lookup(L.ITEM_NAMES, F.col("name")), F.col("name")).alias("item_name"), lookup(L.WATER_UNITS, s("E")).alias("unit_code"),
+        "sheet_id", "item_idx", "row_no", F.col("name").alias("raw_name"), F.col("e").alias("unit_raw"), F.col("f").alias("raw_method"),
+        F.coalesce(lookup(L.ITEM_NAMES, F.col("name")), F.col("name")).alias("item_name"), lookup(L.WATER_UNITS, F.col("e")).alias("unit_code"),
         *[c.alias(k) for k, c in value.items()], F.col("D_n").alias("mdl_num"), S.mdl_text(F.col("D_t")).alias("mdl_txt"),
-        S.method_code(F.col("name"), s("F"), lookup(L.METHOD_OVERRIDES, F.col("name"))).alias("method_out"),
+        S.method_code(F.col("name"), F.col("f"), lookup(L.METHOD_OVERRIDES, F.col("name"))).alias("method_out"),
     )
 
 

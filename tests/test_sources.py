@@ -89,6 +89,15 @@ def test_water_sheet(spark):
     assert missing == {(None, "time_end"), (None, "y")}
 
 
+def test_report_workbook(spark):
+    c = cells(spark, 1)
+    r = report.flatten(extract.water_heads(c), extract.water_items(c)).orderBy("item_idx").select("station_raw", F.col("value_num"), report.cell_type("d", F.lit(None).cast("double"), F.col("date_start"))["v"].alias("d"), "compare")
+    data = workbook.report_workbook(r, ["site", "value", "date", "compare"], ["s", "n", "d", "s"], "水質檢測項目", basic=[["P1", None]], basic_header=["code", "no"])
+    got = {(x[2], x[3]): x[8] if x[6] == "s" else x[7] for x in workbook.read_workbook("r.xlsx", data)}
+    assert got[("水質檢測項目", "A2")] == "示範站放流口" and got[("水質檢測項目", "B3")] == 60000.0 and got[("水質檢測項目", "C2")] == 46058.0 and ("水質檢測項目", "D2") not in got
+    assert got[("監測點基本資料", "A2")] == "P1" and got[("監測點基本資料", "B1")] == "no"
+
+
 def test_store(spark, tmp_path):
     s = Store(spark, str(tmp_path / "db"))
     rows = spark.createDataFrame([("a", 1.5, ["x"]), ("b", None, [])], "name string, x double, aliases array<string>")
