@@ -4,17 +4,23 @@ Texts that are equal after lower-casing A-Z and joining words by one space are o
 class. Classes get two 64-bit SimHash fingerprints (seeds apart) over their words,
 weighted by 1 + log of their number; near copies then differ in few bits. Covering
 masks of radius 5 bring every pair within 5 bits of either fingerprint together. A
-sketch of 128 one-bit minhashes of the five-word shingles goes with each class; pairs
-of one bucket that differ in more than ``SKETCH`` of its bits (a similarity of 0.8
-gives 12.8, with a standard deviation of 3.4) are no candidates. A candidate is a link
+sketch of 128 one-bit minhashes of the five-word shingles goes with each class. A
+similarity of 0.8 makes 12.8 of its bits differ, with a standard deviation of 3.4; pairs
+of one bucket that differ in more than ``SKETCH`` bits are no candidates, and the first
+pass leaves those beyond ``CLOSE`` bits to the second. A candidate is a link
 if the Jaccard similarity of its sets of shingles is 0.8 or more. Groups are the
 connected components; the smallest doc_id stays.
 
-A bucket of up to ``ALL_PAIRS`` classes gives all its candidates. A larger one gives
-each member's ``NEAREST`` nearest by sketch and a spanning forest, so candidates stay in
-proportion to rows. A pair that collides in several tables of a fingerprint is given in
-the first of them only (spanning forests aside). The components are the same unless a
-member's every similar partner lies beyond the nearest.
+Candidates come in two passes. In the first, by one fingerprint, a bucket of up to
+``ALL_PAIRS`` classes gives all its candidates; a larger one gives each member's
+``NEAREST`` nearest by sketch and a spanning forest, which joins most of what is alike.
+The second pass goes by all fingerprints and looks at every candidate whose two classes
+the first left in different components, as only these can still join anything. Small
+buckets give them as pairs. The members of a larger bucket go with their sets of shingles
+to tiles of bounded size, where every pair across components is compared exactly and at
+most one link fewer than components comes out; so no link is lost to the first pass's
+choice, and rows stay in proportion to a group's size. A pair that collides in several
+tables of a fingerprint is looked at in the first of them only.
 
 Edge cases: null and empty texts are one class; texts of fewer than five words are
 one shingle, so only equal ones group; rows with a null doc_id have no identity and
@@ -38,12 +44,13 @@ from .graph import components
 from .simhash import HOT, masks, shingles
 
 SHINGLE, SIMILARITY = 5, 0.8
-SEEDS, RADIUS = (42, 43), 5
-ALL_PAIRS, NEAREST, SKETCH = 64, 8, 20
+SEEDS, RADIUS = (42, 43, 44), 5
+ALL_PAIRS, NEAREST, TILE, CLOSE, SKETCH = 64, 8, 4096, 20, 24
 #: What goes with each class: fingerprints and sketch. Below, odd multipliers of the sketch's 128 hash functions (multiply and shift).
-NUMBERS = ("fp0", "fp1", "s0", "s1")
+NUMBERS = (*[f"fp{i}" for i in range(len(SEEDS))], "s0", "s1")
 FACTORS = np.random.default_rng(5).integers(1, 1 << 62, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ROW = "bucket long, fp long, s0 long, s1 long, rep long"
+FIELDS = ("bucket", "fp", "s0", "s1", "rep", "root")
+ROW = ", ".join(f"{f} long" for f in FIELDS)
 
 
 def fingerprints(words: list[bytes]) -> list[int]:
@@ -98,24 +105,33 @@ def first_here(x: np.ndarray, y: np.ndarray, here: np.ndarray) -> np.ndarray:
     return np.logical_or.reduce([bucket(m, t, i) == here for i in range(len(SEEDS))])
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each class in every table of each fingerprint; the bucket is the hash of table and masked bits."""
-    tables = np.arange(len(MASK))[None, :]
-    for b in batches:
-        rep, s0, s1 = (b.column(c).to_numpy() for c in ("rep", "s0", "s1"))
-        for i in range(len(SEEDS)):
-            fp = b.column(f"fp{i}").to_numpy()
-            for lo in range(0, len(fp), 1000):
-                own = [v[lo : lo + 1000] for v in (fp, s0, s1, rep)]
-                k = bucket(own[0].view(np.uint64)[:, None] & MASK[None, :], tables, i)
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), *[pa.array(np.repeat(v, len(MASK))) for v in own]], ["bucket", "fp", "s0", "s1", "rep"])
+def _buckets(seeds: int):
+    """Each class in every table of the first ``seeds`` fingerprints; the bucket is the hash of table and masked bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = np.arange(len(MASK))[None, :]
+        for b in batches:
+            rest = [b.column(c).to_numpy() for c in FIELDS[2:]]
+            for i in range(seeds):
+                fp = b.column(f"fp{i}").to_numpy()
+                for lo in range(0, len(fp), 1000):
+                    own = [v[lo : lo + 1000] for v in (fp, *rest)]
+                    k = bucket(own[0].view(np.uint64)[:, None] & MASK[None, :], tables, i)
+                    yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), *[pa.array(np.repeat(v, len(MASK))) for v in own]], FIELDS)
+
+    return run
+
 
+def _far(x: np.ndarray, y: np.ndarray, i, j) -> np.ndarray:
+    """By how many bits the sketches of i and j differ."""
+    return np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j])
 
-def _near(here: int, fp: np.ndarray, s0: np.ndarray, s1: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one bucket."""
+
+def _near(here: int, fp: np.ndarray, s0: np.ndarray, s1: np.ndarray, rep: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one bucket, first pass."""
     if len(fp) <= ALL_PAIRS:
         i, j = np.triu_indices(len(fp), 1)
-        near = (np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS) & (np.bitwise_count(s0[i] ^ s0[j]) + np.bitwise_count(s1[i] ^ s1[j]) <= SKETCH)
+        near = (np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS) & (_far(s0, s1, i, j) <= CLOSE)
         i, j = i[near], j[near]
         near = first_here(fp[i], fp[j], here)
         return rep[i[near]], rep[j[near]]
@@ -130,10 +146,10 @@ def _near(here: int, fp: np.ndarray, s0: np.ndarray, s1: np.ndarray, rep: np.nda
                 front.append(start)
             while front:  # a spanning forest of the candidates, and on the way each one's nearest
                 i = front.pop()
-                far = np.bitwise_count(x ^ x[i]) + np.bitwise_count(y ^ y[i])
+                far = _far(x, y, slice(None), i)
                 far[np.bitwise_count(f ^ f[i]) > RADIUS] = 255
                 far[i] = 255
-                near = np.flatnonzero(far <= SKETCH)
+                near = np.flatnonzero(far <= CLOSE)
                 new = near[~seen[near]]
                 seen[new] = True
                 front += new.tolist()
@@ -146,35 +162,116 @@ def _near(here: int, fp: np.ndarray, s0: np.ndarray, s1: np.ndarray, rep: np.nda
     return np.concatenate(a), np.concatenate(b)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by bucket."""
-
-    def out(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _crossing(here: int, fp: np.ndarray, s0: np.ndarray, s1: np.ndarray, rep: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Candidates of one bucket between different components, second pass: as pairs ``a, b`` if it is small,
+    else as the members ``a`` of tiles, ``b`` telling which ones are compared with all of their tile."""
+    _, of, size = np.unique(root, return_inverse=True, return_counts=True)
+    # The largest component comes last: its members need no look at each other.
+    order = np.argsort(of == size.argmax(), kind="stable")
+    fp, s0, s1, rep, of = (v[order] for v in (fp, s0, s1, rep, of))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left, some = len(fp) - size.max(), np.full(len(fp), len(fp) > HOT and len(size) > 1)
+    for i in range(left if len(fp) <= HOT else 0):
+        j = i + 1 + np.flatnonzero((np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= RADIUS) & (of[i + 1 :] != of[i]))
+        j = j[_far(s0, s1, j, i) <= SKETCH]
+        j = j[first_here(fp[j], np.full(len(j), fp[i]), here)]
+        if len(fp) <= ALL_PAIRS:
+            a.append(np.full(len(j), rep[i]))
+            b.append(rep[j])
+        elif len(j):
+            some[i] = some[j] = True
+    if len(fp) <= ALL_PAIRS:
+        return np.concatenate(a), np.concatenate(b)
+    tile, left, rep = [np.zeros(0, np.int64)], int(some[:left].sum()), rep[some]
+    tiles = range(0, len(rep), TILE)
+    for i in (i for i in tiles if i < left):
+        for j in (j for j in tiles if j >= i):
+            own = np.concatenate([rep[i : i + TILE], rep[j : j + TILE] if j > i else rep[:0]])
+            a.append(own)
+            b.append((np.arange(len(own)) < min(TILE, left - i)).astype(np.int64))
+            tile.append(np.full(len(own), xxhash.xxh64_intdigest(f"{here} {i} {j}") >> 1))
+    return np.concatenate(a), np.concatenate(b), np.concatenate(tile)
+
+
+def _candidates(near, most: int):
+    """Over rows sorted by bucket: candidates ``a, b`` and members of tiles, as ``near`` gives them for one bucket; pairs differ in ``most`` bits of the sketch."""
+
+    def out(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        pairs, tiles = [f for f in found if len(f) == 2], [f for f in found if len(f) == 3]
         a, b = (np.concatenate([np.zeros(0, np.int64), *[p[i] for p in pairs]]) for i in (0, 1))
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
-    rest = [np.zeros(0, np.int64)] * 5
+        a, b, t = (np.concatenate([np.zeros(0, np.int64), *[p[i] for p in tiles]]) for i in (0, 1, 2))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([both[0], a])), pa.array(np.concatenate([both[1], b])), pa.concat_arrays([pa.nulls(both.shape[1], pa.int64()), pa.array(t)])], ["a", "b", "tile"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64)] * len(FIELDS)
+        for batch in batches:
+            rows = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(rest, FIELDS, strict=True)]
+            k = rows[0]
+            cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
+            last = cuts[-1] if len(cuts) else 0  # the last bucket may go on in the next batch
+            rest = [x[last:] for x in rows]
+            bits, ids = [x.view(np.uint64) for x in rows[1:4]], rows[4:]
+            starts = np.concatenate([[0], cuts[:-1]]) if len(cuts) else cuts
+            size = cuts - starts
+            two = starts[size == 2]
+            ok = (np.bitwise_count(bits[0][two] ^ bits[0][two + 1]) <= RADIUS) & (_far(*bits[1:], two, two + 1) <= most) & (ids[1][two] != ids[1][two + 1])
+            two = two[ok]
+            two = two[first_here(bits[0][two], bits[0][two + 1], k[two])]
+            found = [(ids[0][two], ids[0][two + 1])]
+            for i in np.flatnonzero(size > 2):
+                found.append(near(k[starts[i]], *[x[starts[i] : cuts[i]] for x in (*bits, *ids)]))
+            yield out(found)
+        if len(rest[0]) > 1:
+            yield out([near(rest[0][0], *[x.view(np.uint64) for x in rest[1:4]], *rest[4:])])
+
+    return run
+
+
+def across(rep: np.ndarray, root: np.ndarray, look: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Links of one tile that join its components, each pair of ``look`` and another component compared exactly."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    size = np.array([len(s) for s in sets])
+    _, terms = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+    mark, a, b = np.zeros(terms.max(initial=0) + 1, dtype=np.int32), [], []
+    for i in np.flatnonzero(look & (size > 0)):
+        mine = terms[starts[i] : starts[i] + size[i]]
+        mark[mine] = 1
+        # A sum of its own for each set; an empty set has none to give.
+        same = np.diff(np.concatenate([[0], np.cumsum(mark[terms])])[np.concatenate([starts, [len(terms)]])])
+        mark[mine] = 0
+        for j in np.flatnonzero((same >= SIMILARITY * (size + size[i] - same)) & (size > 0) & (root != root[i])):
+            x, y = top(int(root[i])), top(int(root[j]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                a.append(int(rep[i]))
+                b.append(int(rep[j]))
+    return a, b
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of tiles, over rows sorted by tile."""
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        rep, root, look = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3))
+        a, b = across(rep, root, look > 0, [np.frombuffer(r[4], np.uint32) for r in rows]) if rows else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    held: list[tuple] = []
     for batch in batches:
-        rows = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(rest, ("bucket", "fp", "s0", "s1", "rep"), strict=True)]
-        k = rows[0]
-        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
-        last = cuts[-1] if len(cuts) else 0  # the last bucket may go on in the next batch
-        rest = [x[last:] for x in rows]
-        bits, rep = [x.view(np.uint64) for x in rows[1:4]], rows[4]
-        starts = np.concatenate([[0], cuts[:-1]]) if len(cuts) else cuts
-        size = cuts - starts
-        two = starts[size == 2]
-        far = [np.bitwise_count(x[two] ^ x[two + 1]) for x in bits]
-        near = (far[0] <= RADIUS) & (far[1] + far[2] <= SKETCH)
-        two = two[near]
-        two = two[first_here(bits[0][two], bits[0][two + 1], k[two])]
-        pairs = [(rep[two], rep[two + 1])]
-        for i in np.flatnonzero(size > 2):
-            pairs.append(_near(k[starts[i]], *[x[starts[i] : cuts[i]] for x in (*bits, rep)]))
-        yield out(pairs)
-    if len(rest[0]) > 1:
-        yield out([_near(rest[0][0], *[x.view(np.uint64) for x in rest[1:4]], rest[4])])
+        for row in zip(*(batch.column(c).to_pylist() for c in ("tile", "a", "root", "b", "s")), strict=True):
+            if held and held[0][0] != row[0]:
+                yield out(held)
+                held = []
+            held.append(row)
+    yield out(held)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,20 +291,40 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
 
 
+def candidates(rep: DataFrame, near, most: int, seeds: int) -> DataFrame:
+    """``a, b, tile``: what ``near`` finds among the classes ``rep, root`` and ``NUMBERS``, by the first ``seeds`` fingerprints."""
+    n = int(rep.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    b = rep.select("rep", "root", *NUMBERS).mapInArrow(_buckets(seeds), ROW)
+    return cut(b.repartition(n, "bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_candidates(near, most), "a long, b long, tile long").distinct())
+
+
+def confirmed(docs: DataFrame, found: DataFrame, rep: DataFrame | None = None) -> DataFrame:
+    """The links ``a, b``: candidate pairs whose sets of shingles are similar, and those that tiles give."""
+    pairs = found.where("tile IS NULL").select("a", "b")
+    used = found.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = cut(docs.join(used, "doc_id", "left_semi").mapInArrow(_sets, "id long, s binary").dropDuplicates(["id"]))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    out = both.select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long")
+    if rep is not None:
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        of = sets.join(rep.select(F.col("rep").alias("id"), "root"), "id").withColumnRenamed("id", "a")
+        tiles = found.where("tile IS NOT NULL").join(of, "a").select("tile", "a", "root", "b", "s")
+        out = out.unionByName(tiles.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(_tiles, "a long, b long"))
+    return cut(out)
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """``doc_id, group_id`` for each document with an id: its group's smallest doc_id."""
     d = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id IS NOT NULL")
     c = cut(d.mapInArrow(_classes, "doc_id long, key binary, " + ", ".join(f"{f} long" for f in NUMBERS)))
     rep = c.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(f).alias(f) for f in NUMBERS])
     rep = cut(rep)
-    n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    b = rep.select("rep", *NUMBERS).mapInArrow(_buckets, ROW)
-    pairs = b.repartition(n, "bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_candidates, "a long, b long")
-    pairs = cut(pairs.distinct())
-    used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = cut(d.join(used, "doc_id", "left_semi").mapInArrow(_sets, "id long, s binary").dropDuplicates(["id"]))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    roots = components(both.select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long"))
+    first = confirmed(d, candidates(rep.withColumn("root", F.col("rep")), _near, CLOSE, 1))
+    roots = cut(components(first))
+    now = rep.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    now = cut(now.select("rep", "root", *NUMBERS))
+    second = confirmed(d, candidates(now, _crossing, SKETCH, len(SEEDS)), now)
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
     of = rep.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("group_id"))
     return c.select("doc_id", "key").join(of, "key").select("doc_id", "group_id")
 

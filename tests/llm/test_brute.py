@@ -96,7 +96,11 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_near_stage(spark):
+@pytest.mark.parametrize("limits", [{}, {"ALL_PAIRS": 1, "NEAREST": 0, "CLOSE": 0, "SKETCH": 128, "TILE": 2}, {"ALL_PAIRS": 1, "CLOSE": 0, "SKETCH": 128, "HOT": 2}])
+def test_near_stage(spark, monkeypatch, limits):
+    """Also with every bucket a large one, and with a first pass that finds next to nothing."""
+    for name, value in limits.items():
+        monkeypatch.setattr(near_dedup, name, value)
     r = random.Random(5)
     rows = []
     for k in range(12):
@@ -121,11 +125,25 @@ def test_dense_bucket_gives_few_pairs():
     n = 3000
     fp = np.zeros(n, np.uint64) ^ (np.uint64(1) << r.integers(0, 64, n).astype(np.uint64))
     s0 = np.uint64(1) << r.integers(0, 64, n).astype(np.uint64)
-    a, b = near_dedup._near(0, fp, s0, s0, np.arange(n))
+    a, b = near_dedup._near(0, fp, s0, s0, np.arange(n), np.arange(n))
     assert len(a) <= n * (near_dedup.NEAREST + 1)
     assert len({frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)}) >= n - 1
 
 
+def test_tile_links():
+    """A tile joins exactly the components that have similar members, with a link fewer than components."""
+    r = np.random.default_rng(7)
+    base = r.integers(0, 2**32, 60, dtype=np.uint32)
+    sets = [np.unique(np.concatenate([base[k:], r.integers(0, 2**32, k, dtype=np.uint32)])) for k in r.integers(0, 16, 80)] + [base[:0]] * 2
+    rep, root, look = np.arange(82), np.concatenate([np.zeros(40, int), np.arange(40, 82)]), np.arange(82) >= 20
+    alike = lambda i, j: len(sets[i]) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+    want = [(i, j) for i in range(82) for j in range(82) if look[i] and root[i] != root[j] and alike(i, j)]
+    a, b = near_dedup.across(rep, root, look, sets)
+    assert all((i, j) in want for i, j in zip(a, b, strict=True)) and len(a) <= 42
+    one = lambda pairs: groups_plain(range(82), lambda i, j: (i, j) in pairs or (j, i) in pairs or root[i] == root[j])
+    assert one(set(want)) == one(set(zip(a, b, strict=True)))
+
+
 def test_line_dedup(spark, monkeypatch):
     r = random.Random(7)
     pool = [prose(r, r.randint(1, 6)) for _ in range(15)] + ["short", " \t Spaced LINE here \r", "spaced line here", "ünïcödé abc", "", "LÄNGE ÄÖÜ x"]
