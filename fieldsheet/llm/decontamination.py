@@ -2,15 +2,20 @@
 
 Documents and benchmark items are canonicalised in the same way: lower case, words
 without punctuation, and typed placeholders for numbers (``#``), for units after a
-number (``~``) and for names, that is capitalised words within a sentence (``@``).
-Windows of five words of the templates are hashed and joined. A window keeps what
+number (``~``) and for names, that is capitalised words (``@``). What is a name
+depends on letter case, so each text has three templates: without names, with the
+names within a sentence, and with capitalised words at the start of a sentence too.
+Windows of five words of all three are hashed and joined, so a copy in other letter
+case or with other line breaks is found by the first of them. A window keeps what
 its placeholders stand for; along one alignment of document and item, every value
 of the item must stand for one value of the document (slot consistency), so that a
 question with other numbers, names or units is caught and a chance mixture isn't.
+At the start of a sentence a word may be no name: if its values differ, only the
+windows that hold it go. A window with the item's own values needs no alignment.
 
-A pair is reported if windows on consistent alignments cover 0.8 or more of the
-item's distinct windows. At least half of the words covered must be literal, or
-else the values must be the item's own: a template of placeholders only says little.
+A pair is reported if such windows cover 0.8 or more of the item's distinct windows.
+At least half of the words covered must be literal, or else the values must be the
+item's own: a template of placeholders only says little.
 
 The item side is broadcast only if it has at most ``BROADCAST_WINDOWS`` windows.
 
@@ -33,59 +38,78 @@ BROADCAST_WINDOWS = 1_000_000
 #: Units that are placeholders when they follow a number.
 UNITS = "mm|cm|dm|m|km|mg|g|kg|t|ml|cl|dl|l|ms|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|miles?|feet|ft|inch|inches|yards?|pounds?|lbs?|oz|ounces?|dollars?|euros?|cents?|usd|eur|percent|degrees?|hz|khz|mhz|w|kw|v|kv|j|kj|n|pa|kpa|met(?:er|re)s?|kilomet(?:er|re)s?|grams?|kilograms?|lit(?:er|re)s?"
 NUMBER, UNIT, NAME = "\u0001", "\u0002", "\u0003"
+#: A capitalised word where every word may be one: a name in the last template only.
+START = "\u0004"
 
 
 def marked(text: Column) -> Column:
     """The words of a text, one space apart. A placeholder is its mark followed by what it stands for."""
     t = F.coalesce(text, F.lit(""))
-    for mark in (NUMBER, UNIT, NAME):
+    for mark in (NUMBER, UNIT, NAME, START):
         t = F.replace(t, F.lit(mark), F.lit(" "))
-    # A capital, lower-case letters, and before it a space after a lower-case letter or a comma.
-    t = F.lower(F.regexp_replace(t, r"\p{Lu}(?<=[\p{Ll},;:] \p{Lu})\p{Ll}+", f"{NAME}$0"))
+    t = F.lower(F.regexp_replace(t, r"\p{Lu}(?<![\p{L}\p{M}\p{N}]\p{Lu})\p{Ll}+", f"{START}$0"))
+    # Within a sentence: white space before it, and before that a lower-case letter or a comma.
+    t = F.regexp_replace(t, rf"{START}(?<=[\p{{Ll}},;:][\s\p{{Z}}]{{1,99}}{START})", NAME)
     n = F.regexp_replace(t, r"\d(?:[\d.,]*\d)?", f" {NUMBER}$0 ")
-    n = F.regexp_replace(n, f"({NUMBER}[^ ]*)\\s+({UNITS})(?![\\p{{L}}\\p{{N}}])", f"$1 {UNIT}$2")
+    n = F.regexp_replace(n, f"({NUMBER}[^ ]*)\\s+[{NAME}{START}]?({UNITS})(?![\\p{{L}}\\p{{N}}])", f"$1 {UNIT}$2")
     n = F.regexp_replace(n, r"(?<=\d)[.,](?=\d)", "_")  # decimal signs must outlive the next step
     t = F.replace(F.when(text.rlike(r"\d"), n).otherwise(t), F.lit("ß"), F.lit("ss"))
-    return F.trim(F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}_{NUMBER}{UNIT}{NAME}]+", " "))
+    return F.trim(F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}_{NUMBER}{UNIT}{NAME}{START}]+", " "))
 
 
-def template(words: Column) -> Column:
-    return F.regexp_replace(words, f"([{NUMBER}{UNIT}{NAME}])[^ ]*", "$1")
+def templates(words: Column) -> list[Column]:
+    """Without names, with those within a sentence, with all."""
+    t = F.regexp_replace(words, f"([{NUMBER}{UNIT}])[^ ]*", "$1")
+    return [F.translate(t, NAME + START, ""), F.regexp_replace(F.translate(t, START, ""), f"{NAME}[^ ]*", NAME), F.regexp_replace(t, f"[{NAME}{START}][^ ]*", NAME)]
 
 
 def windows(df: DataFrame, key: str) -> DataFrame:
-    """``key, pos, h`` of every window of the templates. The words are a column that the hashes read
-    many times, so the optimiser keeps it as one and a row's text is worked through once."""
-    t = df.select(key, F.split(template(marked(F.col("text"))), " ").alias("words"))
-    h = F.transform("words", lambda w, i: F.xxhash64(w, *[F.get("words", i + F.lit(j)) for j in range(1, WINDOW)]))
-    # Without words the only one is empty: no window.
-    n = F.when(F.get("words", F.lit(0)) == "", F.lit(0)).otherwise(F.greatest(F.lit(1), F.size("words") - (WINDOW - 1)))
-    return t.select(key, F.posexplode(F.slice(h, F.lit(1), n)).alias("pos", "h"))
+    """``key, pos, hs`` of every window: its hash in each template, null where that equals the one before. The
+    words are columns that the hashes read many times, so the optimiser keeps them and a row's text is worked
+    through once."""
+    t = df.select(key, marked(F.col("text")).alias("marked"))
+    t = t.select(key, *[F.split(x, " ").alias(f"w{v}") for v, x in enumerate(templates(F.col("marked")))])
 
+    def hashes(v: int) -> Column:
+        w = F.col(f"w{v}")
+        h = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + F.lit(j)) for j in range(1, WINDOW)]))
+        # Without words the only one is empty: no window.
+        n = F.when(F.get(w, F.lit(0)) == "", F.lit(0)).otherwise(F.greatest(F.lit(1), F.size(w) - (WINDOW - 1)))
+        return F.slice(h, F.lit(1), n).alias(f"h{v}")
 
-def values(df: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and ``words``, the array of words with what placeholders stand for."""
-    return df.select(*keep, F.split(marked(F.col("text")), " ").alias("words"))
+    t = t.select(key, *[hashes(v) for v in range(3)]).select(key, F.posexplode(F.arrays_zip("h0", "h1", "h2")).alias("pos", "z"))
+    new = lambda v: F.when(F.col(f"z.h{v}") != F.col(f"z.h{v - 1}"), F.col(f"z.h{v}"))
+    return t.select(key, "pos", F.array("z.h0", new(1), new(2)).alias("hs"))
+
+
+def values(df: DataFrame, *keep: str, marks: str = "") -> DataFrame:
+    """``keep`` and ``words``, the array of words with what placeholders stand for, after those of ``marks``."""
+    drop = "".join(m for m in (NUMBER, UNIT, NAME, START) if m not in marks)
+    return df.select(*keep, F.split(F.translate(marked(F.col("text")), drop, ""), " ").alias("words"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``doc_id, item_id, windows, item_windows, coverage, reparameterised`` for each pair that matches."""
     docs = pick(docs, "doc_id", "text")
     items = pick(benchmark, "item_id", "text").groupBy("text").agg(F.collect_set("item_id").alias("ids"), F.min("item_id").alias("item"))
-    is_slot = lambda x: F.substring(x, 1, 1).isin(NUMBER, UNIT, NAME)
-    bench = windows(items, "item").select("item", F.col("pos").alias("item_pos"), "h").join(values(items, "item"), "item")
-    here = F.slice("words", F.col("item_pos") + 1, F.lit(WINDOW))
-    bench = cut(bench.select("item", "item_pos", "h", F.when(F.exists(here, is_slot), here).alias("slots"), F.size(F.filter(here, lambda x: ~is_slot(x))).alias("literal"), F.size(here).alias("size")))
-    total = bench.groupBy("item").agg(F.countDistinct("h").alias("item_windows"))
+    is_slot = lambda x: F.substring(x, 1, 1).isin(NUMBER, UNIT, NAME, START)
+    bench = windows(items, "item").join(values(items, "item", marks=NUMBER + UNIT + NAME + START), "item")
+    # An item's windows are distinct as those of its second template are.
+    bench = bench.select("item", F.col("pos").alias("item_pos"), "words", F.coalesce(F.get("hs", F.lit(1)), F.get("hs", F.lit(0))).alias("own"), F.posexplode("hs").alias("kind", "h")).where("h IS NOT NULL")
+    plain = lambda x: F.when(F.col("kind") == 0, F.translate(x, NAME + START, "")).when(F.col("kind") == 1, F.translate(x, START, "")).otherwise(x)
+    bench = bench.withColumn("here", F.transform(F.slice("words", F.col("item_pos") + 1, F.lit(WINDOW)), plain))
+    bench = cut(bench.select("item", "item_pos", "own", "kind", "h", F.when(F.exists("here", is_slot), F.col("here")).alias("slots"), F.size(F.filter("here", lambda x: ~is_slot(x))).alias("literal"), F.size("here").alias("size")))
+    total = bench.groupBy("item").agg(F.countDistinct("own").alias("item_windows"))
     small = bench.count() <= BROADCAST_WINDOWS
     side = (lambda x: F.broadcast(x)) if small else (lambda x: x)
     # Most windows match nothing; what does is kept, as all later steps read it.
-    hits = cut(windows(docs, "doc_id").join(side(bench.select("item", "item_pos", "h", F.col("slots").isNotNull().alias("slotted"), "literal", "size")), "h")
-               .select("doc_id", "item", "h", "pos", "item_pos", "slotted", "literal", "size"))
-    found = hits.where("NOT slotted").select("doc_id", "item", "h", "literal", "size", F.lit(False).alias("changed"))
+    hits = windows(docs, "doc_id").select("doc_id", "pos", F.explode("hs").alias("h")).where("h IS NOT NULL")
+    hits = cut(hits.join(side(bench.select("item", "item_pos", "own", "kind", "h", F.col("slots").isNotNull().alias("slotted"), "literal", "size")), "h")
+               .select("doc_id", "item", "own", "kind", "pos", "item_pos", "slotted", "literal", "size"))
+    found = hits.where("NOT slotted").select("doc_id", "item", "own", "literal", "size", F.lit(True).alias("exact"))
     if not bench.where("slots IS NOT NULL").isEmpty():
         found = found.unionByName(_consistent(hits.where("slotted"), docs, bench, side))
-    found = found.groupBy("doc_id", "item").agg(F.countDistinct("h").alias("windows"), (F.sum("literal") / F.sum("size")).alias("literal"), F.bool_or("changed").alias("reparameterised"))
+    found = found.groupBy("doc_id", "item").agg(F.countDistinct("own").alias("windows"), (F.sum("literal") / F.sum("size")).alias("literal"), F.bool_or(~F.col("exact")).alias("reparameterised"))
     found = found.join(side(total), "item").where(F.col("windows") >= coverage * F.col("item_windows"))
     found = found.where((F.col("literal") >= 0.5) | ~F.col("reparameterised"))
     out = found.join(items.select("item", "ids"), "item").select("doc_id", F.explode("ids").alias("item_id"), "windows", "item_windows", "reparameterised")
@@ -93,14 +117,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 
 def _consistent(hits: DataFrame, docs: DataFrame, bench: DataFrame, side) -> DataFrame:
-    """The hits with placeholders on alignments where each value of the item stands for one value."""
+    """The hits with placeholders whose values are the item's own, or else on alignments where each value of
+    the item stands for one value."""
     hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos"))
-    own = hits.join(side(bench.select("item", "item_pos", "slots")), ["item", "item_pos"])
     d = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    own = own.join(values(d, "doc_id"), "doc_id").select("doc_id", "item", "shift", F.explode(F.arrays_zip("slots", F.slice("words", F.col("pos") + 1, F.lit(WINDOW)).alias("got"))).alias("s"))
-    own = own.where(F.substring("s.slots", 1, 1).isin(NUMBER, UNIT, NAME)).groupBy("doc_id", "item", "shift", F.col("s.slots").alias("value")).agg(F.min("s.got").alias("a"), F.max("s.got").alias("b"))
-    align = own.groupBy("doc_id", "item", "shift").agg(F.bool_or(F.col("a") != F.col("b")).alias("clash"), F.bool_or(F.col("a") != F.col("value")).alias("changed"))
-    return hits.join(align.where("NOT clash"), ["doc_id", "item", "shift"]).select("doc_id", "item", "h", "literal", "size", "changed")
+    own = hits.join(side(bench.select("item", "item_pos", "kind", "slots")), ["item", "item_pos", "kind"])
+    own = own.join(values(d, "doc_id"), "doc_id").withColumn("got", F.slice("words", F.col("pos") + 1, F.lit(WINDOW))).drop("words")
+    own = own.withColumn("exact", F.transform("slots", lambda x: F.translate(x, NUMBER + UNIT + NAME + START, "")) == F.col("got"))
+    s = own.select("doc_id", "item", "shift", "kind", F.explode(F.arrays_zip("slots", "got")).alias("s")).where(F.substring("s.slots", 1, 1).isin(NUMBER, UNIT, NAME, START))
+    # A template is judged by its own windows and those of the ones before, never by those of later ones.
+    upto = lambda v: F.when(F.col("kind") <= v, F.col("s.got"))
+    s = s.groupBy("doc_id", "item", "shift", F.col("s.slots").alias("value")).agg(*[(F.min(upto(v)) != F.max(upto(v))).alias(f"d{v}") for v in range(3)])
+    start = F.substring("value", 1, 1) == START
+    clash = [F.coalesce(F.bool_or(F.col(f"d{v}") & ~start), F.lit(False)).alias(f"clash{v}") for v in range(3)]
+    align = s.groupBy("doc_id", "item", "shift").agg(*clash, F.collect_set(F.when(F.col("d2") & start, F.col("value"))).alias("starts"))
+    fits = F.when(F.col("kind") == 0, ~F.col("clash0")).when(F.col("kind") == 1, ~F.col("clash1")).otherwise(~F.col("clash2") & ~F.arrays_overlap("slots", "starts"))
+    return own.join(align, ["doc_id", "item", "shift"]).where(F.col("exact") | fits).select("doc_id", "item", "own", "literal", "size", "exact")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
