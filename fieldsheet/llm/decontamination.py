@@ -14,8 +14,9 @@ At the start of a sentence a word may be no name: if its values differ, only the
 windows that hold it go. A window with the item's own values needs no alignment.
 
 A pair is reported if such windows cover 0.8 or more of the item's distinct windows.
-At least half of the words covered must be literal, or else the values must be the
-item's own: a template of placeholders only says little.
+If windows with the item's own values alone do, that is all. Else at least half of
+the words covered must be literal (each window of the item counts once, by its best
+hit): a template of placeholders only says little.
 
 The item side is broadcast only if it has at most ``BROADCAST_WINDOWS`` windows.
 
@@ -109,8 +110,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     found = hits.where("NOT slotted").select("doc_id", "item", "own", "literal", "size", F.lit(True).alias("exact"))
     if not bench.where("slots IS NOT NULL").isEmpty():
         found = found.unionByName(_consistent(hits.where("slotted"), docs, bench, side))
-    found = found.groupBy("doc_id", "item").agg(F.countDistinct("own").alias("windows"), (F.sum("literal") / F.sum("size")).alias("literal"), F.bool_or(~F.col("exact")).alias("reparameterised"))
-    found = found.join(side(total), "item").where(F.col("windows") >= coverage * F.col("item_windows"))
+    # Each window of the item once, by its best hit; in an exact one all words are the item's.
+    found = found.groupBy("doc_id", "item", "own").agg(F.max("exact").alias("exact"), F.max("literal").alias("literal"), F.max("size").alias("size"))
+    literal = F.sum(F.when(F.col("exact"), F.col("size")).otherwise(F.col("literal"))) / F.sum("size")
+    found = found.groupBy("doc_id", "item").agg(F.count("*").alias("windows"), F.count_if("exact").alias("exact"), literal.alias("literal"))
+    need = coverage * F.col("item_windows")
+    found = found.join(side(total), "item").where(F.col("windows") >= need).withColumn("reparameterised", F.col("exact") < need)
     found = found.where((F.col("literal") >= 0.5) | ~F.col("reparameterised"))
     out = found.join(items.select("item", "ids"), "item").select("doc_id", F.explode("ids").alias("item_id"), "windows", "item_windows", "reparameterised")
     return out.withColumn("coverage", F.col("windows") / F.col("item_windows"))

@@ -24,3 +24,10 @@ def test_decontamination_ignores_case_and_line_breaks(spark):
     got = leaks(spark, [*forms, other, other.replace(". Anna buys", ".\n\nAnna buys"), other.lower().replace("anna", "tom"), "Something Else. With 5 apples. " * 9], items)
     assert set(got) == {(i, i // 3) for i in range(9)} | {(9, 2), (10, 2), (11, 2)}
     assert all(got[i, i // 3].coverage == 1 and not got[i, i // 3].reparameterised for i in range(9)) and got[9, 2].reparameterised
+
+
+def test_decontamination_judges_the_match_only(spark):
+    train = "A train leaves the station at 9 and goes 80 km in 2 hours before it stops. After a break it goes 60 km in 3 hours. How far from the station is it then?"
+    lines = "".join(f"\nroute {i}: {7 * i + 3} km in {i + 4} hours" for i in range(40))
+    got = leaks(spark, [train, train + lines, train.replace("80", "90").replace("60", "70") + lines, lines], [train])
+    assert {k: x.reparameterised for k, x in got.items()} == {(0, 0): False, (1, 0): False, (2, 0): True}
