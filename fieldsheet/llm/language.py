@@ -3,9 +3,9 @@
 For each language a suffix automaton is built over labelled text. A text is
 parsed greedily into the longest phrases that occur in that language's text
 (the cross parsing of Ziv and Merhav); the language that needs the fewest
-phrases for the same symbols wins. All automata cover texts of the same length
-and share one alphabet, so the phrase counts compare directly; normalised, they
-are phrases times log2(length) over symbols, in bits a symbol.
+phrases for the same symbols wins. The automata share one alphabet, and each covers
+its language's own sample; phrases times log2(length of the sample) over symbols are
+bits a symbol, which compare. A phrase of a very short sample costs ``LEAST_BITS``.
 
 The greedy walk only moves forward, so an automaton becomes a table: from state
 and symbol to the next state and to whether a phrase ended. Texts are cut into
@@ -38,6 +38,8 @@ FOLDS, HELD_OUT = 5, 0
 DOCS, SYMBOLS = 48, 24_000
 ALPHABET, BLOCK = 64, 256
 MIN_LANGUAGE_DOCS = 1
+#: No phrase is cheaper, or a sample of a few symbols would describe any text in next to no bits.
+LEAST_BITS = 10.0
 
 
 class Automaton:
@@ -125,17 +127,17 @@ class Model:
         self.langs = sorted(texts)
         self.symbols = alphabet([x for v in texts.values() for x in v]) if texts else np.zeros(65536, np.uint8)
         coded = {k: np.concatenate([encode(x + " ", self.symbols) for x in v])[:symbols] for k, v in texts.items()}
-        self.length = min((len(x) for x in coded.values()), default=0)
-        self.automata = [Automaton(coded[k][: self.length].tolist()) for k in self.langs]
+        self.lengths = [len(coded[k]) for k in self.langs]
+        self.automata = [Automaton(coded[k].tolist()) for k in self.langs]
 
     def state(self) -> tuple:
         """Plain values and arrays, for broadcasting."""
-        return self.langs, self.symbols, self.length, [a.table for a in self.automata]
+        return self.langs, self.symbols, self.lengths, [a.table for a in self.automata]
 
     @classmethod
     def restore(cls, state: tuple) -> Model:
         m = cls.__new__(cls)
-        m.langs, m.symbols, m.length, tables = state
+        m.langs, m.symbols, m.lengths, tables = state
         m.automata = [Automaton.__new__(Automaton) for _ in tables]
         for a, t in zip(m.automata, tables, strict=True):
             a.table = t
@@ -156,15 +158,15 @@ class Model:
             columns = flat[starts[None, :] + np.arange(BLOCK)[:, None]]
             for k, a in enumerate(self.automata):
                 phrases[k] = np.bincount(owner, weights=a.phrases(columns, lengths), minlength=len(texts))
+        cost = np.maximum(np.log2(np.maximum(self.lengths, 2)), LEAST_BITS)
         out, score = [], []
         for i, t in enumerate(texts):
             if not self.langs or not t or not any(c.isalpha() for c in t):
                 out.append("und")
                 score.append(0.0)
                 continue
-            p = phrases[:, i]
-            best = int(np.argmin(p))
-            bits = p * np.log2(max(self.length, 2)) / max(1, sizes[i])
+            bits = phrases[:, i] * cost / max(1, sizes[i])
+            best = int(np.argmin(bits))
             rest = np.exp2(-4 * (bits - bits[best]) * min(1.0, sizes[i] / 64))
             out.append(self.langs[best])
             score.append(float(1 / rest.sum()))

@@ -1,6 +1,11 @@
 """Places where an operator did less than its whole job."""
 
-from fieldsheet.llm import decontamination
+import random
+
+import numpy as np
+
+from fieldsheet.llm import decontamination, html_extract, language, vptree, warc
+from fieldsheet.llm.html_dom import Page
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -31,3 +36,13 @@ def test_decontamination_judges_the_match_only(spark):
     lines = "".join(f"\nroute {i}: {7 * i + 3} km in {i + 4} hours" for i in range(40))
     got = leaks(spark, [train, train + lines, train.replace("80", "90").replace("60", "70") + lines, lines], [train])
     assert {k: x.reparameterised for k, x in got.items()} == {(0, 0): False, (1, 0): False, (2, 0): True}
+
+
+def test_rare_language_shortens_no_other():
+    r = random.Random(21)
+    words = {k: ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(300)] for k in ("xx", "yy", "zz")}
+    say = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    model = language.Model({k: [say(k, 100) for _ in range(40)] for k in words} | {"aa": ["abc hgf"], "bb": ["d"]})
+    test = [(k, say(k, 12)) for k in words for _ in range(40)]
+    got = model.predict([t for _, t in test])[0]
+    assert np.mean([g == k for g, (k, _) in zip(got, test, strict=True)]) >= 0.95
