@@ -16,9 +16,12 @@ WORD = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose content is no text of the page.
-SILENT = frozenset("script style template noscript head title iframe object svg math".split())
+SILENT = frozenset("script style template noscript head title iframe object svg annotation annotation-xml".split())
+#: What may stand in a head; the start tag of anything else, or text, ends it.
+IN_HEAD = frozenset("title meta link base basefont bgsound script style noscript noframes template head html".split())
+MATH = frozenset("math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split())
 RAW = frozenset("script style textarea title iframe noscript xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr img br picture".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr img br picture".split()) | MATH
 #: A start tag of the key's set ends an open element of the name, up to the nearest barrier.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li".split())
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "body": {"head"}}
@@ -50,6 +53,8 @@ class Page:
                 silent -= tags[i] in SILENT
 
         def text(piece: str) -> None:
+            if tags[stack[-1]] == "head" and piece.strip():
+                close(len(stack) - 1)
             if piece and not silent:
                 self.text_owner.append(stack[-1])
                 self.text_block.append(block)
@@ -78,6 +83,8 @@ class Page:
                         break  # an inline end tag doesn't end a block
                 block += not inline
                 continue
+            if tags[stack[-1]] == "head" and name not in IN_HEAD:
+                close(len(stack) - 1)
             if not inline:
                 block += 1
                 if name in CLOSES_P or name in IMPLIED:
@@ -98,7 +105,7 @@ class Page:
             ends.append(i + 1)
             a = m[3]
             attrs.append(a if a else "")
-            if a.endswith("/") and name in ("svg", "math"):
+            if a.endswith("/") and (name == "svg" or name in MATH):
                 continue
             stack.append(i)
             silent += name in SILENT

@@ -46,3 +46,14 @@ def test_rare_language_shortens_no_other():
     test = [(k, say(k, 12)) for k in words for _ in range(40)]
     got = model.predict([t for _, t in test])[0]
     assert np.mean([g == k for g, (k, _) in zip(got, test, strict=True)]) >= 0.95
+
+
+def test_open_head_and_math():
+    read = lambda h: " ".join("".join(Page(h).texts).split())
+    assert read("<html><head><title>T</title><meta charset=x><style>s</style><article><p>One.</p></article>") == "One."
+    assert read("<head><title>T</title>Bare text<p> two") == "Bare text two"
+    assert read("<head><title>T</title><template>no</template></head><body><p>a") == "a"
+    p = Page("<p>so <math><mi>x</mi><mo>=</mo><mspace/><mn>2</mn><annotation>tex</annotation></math> holds")
+    assert "".join(p.texts) == "so x=2 holds" and len(set(p.text_block)) == 1
+    page = "<html><head><title>T</title><article><p>" + "A long sentence, of the article itself. " * 20 + "</p></article>"
+    assert html_extract.extract([page], html_extract.model())[0].startswith("A long sentence")
