@@ -100,8 +100,7 @@ def _search(k: int, factor: float):
             # Points by vector, then id; each point keeps its k + 1 smallest ids.
             p, inverse = np.unique(p, axis=0, return_inverse=True)
             by = np.lexsort((ids, inverse.ravel()))
-            own = [x[: k + 1] for x in np.split(ids[by], np.cumsum(np.bincount(inverse.ravel()))[:-1])]
-            own = [np.unique(x) for x in own]
+            own = [np.unique(x)[: k + 1] for x in np.split(ids[by], np.cumsum(np.bincount(inverse.ravel()))[:-1])]
             q, qid = np.stack(queries["v"].to_numpy()).astype(np.float64), queries["vec_id"].to_numpy()
             # The query's own point may be among the nearest with no other id to give: one point more.
             best, dist = Tree(p).search(q, k + 1, factor)

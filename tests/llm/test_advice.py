@@ -48,6 +48,15 @@ def test_rare_language_shortens_no_other():
     assert np.mean([g == k for g, (k, _) in zip(got, test, strict=True)]) >= 0.95
 
 
+def test_nearest_with_repeated_rows(spark):
+    same, far = [1.0, 2.0], [5.0, 5.0]
+    for times in (2, 11):
+        rows = [(i, same) for i in range(20) for _ in range(times)] + [(50, far)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        got = sorted((x.rank, x.vec_id) for x in vptree.nearest(df, query_step=100).collect())
+        assert got == [(k, k) for k in range(1, 11)]
+
+
 def test_open_head_and_math():
     read = lambda h: " ".join("".join(Page(h).texts).split())
     assert read("<html><head><title>T</title><meta charset=x><style>s</style><article><p>One.</p></article>") == "One."
