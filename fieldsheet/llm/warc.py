@@ -9,7 +9,8 @@ slices of time, each slice's latest response is found by aggregation, the latest
 of the earlier slices is carried over them, and only a slice is sorted.
 
 ``read_warc`` and ``to_warc`` are the file format: records of whole WARC/1.0 files,
-plain or gzip by member.
+plain or gzip by member. Times are ISO 8601 there and whole seconds here; a record id
+that ``to_warc`` didn't write becomes a 64-bit hash of it.
 
 Edge cases: a revisit without an earlier response is ``unresolved``; one whose
 validators contradict the response is ``mismatch`` and takes no headers; null
@@ -22,9 +23,12 @@ kinds are resolved for no revisit; repeated rows repeat; other columns are ignor
 from __future__ import annotations
 
 import gzip
+import re
 from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,6 +94,39 @@ def resolve(records: DataFrame) -> DataFrame:
     return out.unionByName(lost.select("record_id", "url_key", F.lit(None).cast("long").alias("response_id"), F.lit("unresolved").alias("outcome"), F.lit(None).cast("map<string,string>").alias("headers")))
 
 
+DATE = re.compile(r"(\d{4})(?:-(\d\d)(?:-(\d\d)(?:[Tt ](\d\d):(\d\d)(?::(\d\d)(?:[.,]\d+)?)?(?:[Zz]|([+-])(\d\d):?(\d\d))?)?)?)?")
+
+
+def _iso(ts: int | None) -> str | int | None:
+    """Seconds as a WARC-Date; beyond the calendar's years, as they are."""
+    try:
+        return None if ts is None else (datetime(1970, 1, 1) + timedelta(seconds=ts)).isoformat() + "Z"
+    except OverflowError:
+        return ts
+
+
+def _seconds(date: str) -> int | None:
+    """A WARC-Date, of any precision from the year down, as seconds; also plain seconds."""
+    if m := DATE.fullmatch(date):
+        y, mo, d, h, mi, s = (int(x or low) for x, low in zip(m.groups()[:6], (0, 1, 1, 0, 0, 0), strict=True))
+        off = timedelta(hours=int(m[8]), minutes=int(m[9])) * (-1 if m[7] == "-" else 1) if m[7] else timedelta()
+        try:  # a leap second runs over into the next minute
+            return int(datetime(y, mo, d, h, mi, tzinfo=UTC).timestamp()) + s - int(off.total_seconds())
+        except ValueError:
+            return None
+    return int(date) if re.fullmatch(r"-?\d{1,18}", date) else None
+
+
+def _record_id(text: str | None) -> int | None:
+    """The id that ``to_warc`` wrote, or a 64-bit hash."""
+    if not text:
+        return None
+    if (m := re.fullmatch(r"<?urn:x-record:(-?\d+)>?", text)) and -(1 << 63) <= int(m[1]) < 1 << 63:
+        return int(m[1])
+    h = xxhash.xxh64_intdigest(text.strip("<>").encode())
+    return h - (1 << 64) if h >> 63 else h
+
+
 def to_warc(records: DataFrame, column: str = "warc") -> DataFrame:
     """``record_id`` and one WARC/1.0 record each, as bytes; ``payload`` is an optional column."""
     extra = ["payload"] if "payload" in records.columns else []
@@ -101,7 +138,7 @@ def to_warc(records: DataFrame, column: str = "warc") -> DataFrame:
                 http = [("HTTP/1.1 200 OK" if r["kind"] == "response" else "HTTP/1.1 304 Not Modified")]
                 http += [f"{k}: {v}" for k, v in sorted(dict(r["headers"] or {}).items())]
                 body = "\r\n".join([*http, "", ""]).encode() + (r.get("payload") or "").encode()
-                head = [("WARC-Type", r["kind"]), ("WARC-Record-ID", f"<urn:x-record:{r['record_id']}>"), ("WARC-Target-URI", r["url"]), ("WARC-Date", r["ts"]), ("WARC-Payload-Digest", r["digest"]), ("Content-Type", "application/http"), ("Content-Length", len(body))]
+                head = [("WARC-Type", r["kind"]), ("WARC-Record-ID", f"<urn:x-record:{r['record_id']}>"), ("WARC-Target-URI", r["url"]), ("WARC-Date", _iso(r["ts"])), ("WARC-Payload-Digest", r["digest"]), ("Content-Type", "application/http"), ("Content-Length", len(body))]
                 lines = ["WARC/1.0", *[f"{k}: {v}" for k, v in head if v is not None], "", ""]
                 rows.append("\r\n".join(lines).encode() + body + b"\r\n\r\n")
             yield pa.RecordBatch.from_arrays([b.column("record_id"), pa.array(rows, pa.binary())], ["record_id", column])
@@ -123,10 +160,8 @@ def parse_warc(data: bytes) -> Iterator[dict]:
         block = data[end + 4 : end + 4 + n]
         http, _, payload = block.partition(b"\r\n\r\n")
         headers = {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in http.decode("utf-8", "replace").split("\r\n")[1:]) if sep}
-        tail = head.get("warc-record-id", "").strip("<>").rpartition(":")[2]
-        ts = head.get("warc-date", "")
         yield {
-            "record_id": int(tail) if tail.isdigit() else None, "url": head.get("warc-target-uri"), "ts": int(ts) if ts.lstrip("-").isdigit() else None, "kind": head.get("warc-type"),
+            "record_id": _record_id(head.get("warc-record-id")), "url": head.get("warc-target-uri"), "ts": _seconds(head.get("warc-date", "")), "kind": head.get("warc-type"),
             "etag": headers.get("etag"), "last_modified": headers.get("last-modified"), "digest": head.get("warc-payload-digest"), "headers": list(headers.items()), "payload": payload.decode("utf-8", "replace"),
         }
         at = end + 4 + n

@@ -57,6 +57,18 @@ def test_nearest_with_repeated_rows(spark):
         assert got == [(k, k) for k in range(1, 11)]
 
 
+def test_standard_warc_fields():
+    def record(date, name):
+        return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: {name}\r\nWARC-Target-URI: http://a/\r\nWARC-Date: {date}\r\nContent-Length: 0\r\n\r\n\r\n\r\n".encode()
+
+    dates = {"2024-01-01T00:00:00Z": 1704067200, "2024-01-01T01:00:00.5+01:00": 1704067200, "2024-01": 1704067200, "1704067200": 1704067200, "2024-13-01T00:00:00Z": None}
+    names = ["<urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>", "<urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb1>", "<http://a/1>", "<http://b/1>", "<urn:x-record:-7>"]
+    got = list(warc.parse_warc(b"".join(map(record, dates, names))))
+    assert [x["ts"] for x in got] == list(dates.values())
+    ids = [x["record_id"] for x in got]
+    assert len(set(ids)) == 5 and ids[4] == -7 and all(-(1 << 63) <= i < 1 << 63 for i in ids)
+
+
 def test_open_head_and_math():
     read = lambda h: " ".join("".join(Page(h).texts).split())
     assert read("<html><head><title>T</title><meta charset=x><style>s</style><article><p>One.</p></article>") == "One."
