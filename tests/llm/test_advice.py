@@ -78,3 +78,15 @@ def test_open_head_and_math():
     assert "".join(p.texts) == "so x=2 holds" and len(set(p.text_block)) == 1
     page = "<html><head><title>T</title><article><p>" + "A long sentence, of the article itself. " * 20 + "</p></article>"
     assert html_extract.extract([page], html_extract.model())[0].startswith("A long sentence")
+
+
+def test_decontamination_probes(spark):
+    apples = "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have?"
+    items = [apples, "How old is Anna", "one two", "the red fox"]
+    mia = apples.replace("Tom", "Mia").replace("5", "9").replace("3", "4")
+    got = leaks(spark, [mia, "He asked her: how old is Anna? She knew.", "so one two three", "One, two!", "how old is the red fox then", "how old are they"], items)
+    assert set(got) == {(0, 0), (1, 1), (3, 2), (4, 3)} and got[0, 0].reparameterised and not got[1, 1].reparameterised
+    # Rows with a null id are one document, with placeholders or without.
+    d = spark.createDataFrame([(None, mia, None, None, 1), (None, "x", None, None, 1)], DOC)
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert [(x.doc_id, x.item_id) for x in decontamination.contaminated(d, b).collect()] == [(None, 0)]
