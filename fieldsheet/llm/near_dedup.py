@@ -1,30 +1,32 @@
-"""The near-duplicate stage: SimHash candidates by covering LSH, confirmed on word shingles.
+"""The near-duplicate stage: SimHash by covering LSH, then an exact search for what it left apart.
 
 Texts that are equal after lower-casing A-Z and joining words by one space are one
-class. Classes get two 64-bit SimHash fingerprints (seeds apart) over their words,
-weighted by 1 + log of their number; near copies then differ in few bits. Covering
-masks of radius 5 bring every pair within 5 bits of either fingerprint together. A
-sketch of 128 one-bit minhashes of the five-word shingles goes with each class. A
-similarity of 0.8 makes 12.8 of its bits differ, with a standard deviation of 3.4; pairs
-of one bucket that differ in more than ``SKETCH`` bits are no candidates, and the first
-pass leaves those beyond ``CLOSE`` bits to the second. A candidate is a link
-if the Jaccard similarity of its sets of shingles is 0.8 or more. Groups are the
-connected components; the smallest doc_id stays.
-
-Candidates come in two passes. In the first, by one fingerprint, a bucket of up to
-``ALL_PAIRS`` classes gives all its candidates; a larger one gives each member's
-``NEAREST`` nearest by sketch and a spanning forest, which joins most of what is alike.
-The second pass goes by all fingerprints and looks at every candidate whose two classes
-the first left in different components, as only these can still join anything. Small
-buckets give them as pairs. The members of a larger bucket go with their sets of shingles
-to tiles of bounded size, where every pair across components is compared exactly and at
-most one link fewer than components comes out; so no link is lost to the first pass's
-choice, and rows stay in proportion to a group's size. A pair that collides in several
-tables of a fingerprint is looked at in the first of them only.
+class. Two classes are linked if the Jaccard similarity of their sets of five-word
+shingles is 0.8 or more. Groups are the connected components; the smallest doc_id stays.
+
+First search: a class gets a 64-bit SimHash fingerprint over its words, weighted by
+1 + log of their number; covering masks of radius 5 bring every pair within 5 bits
+together. A bucket of up to ``ALL_PAIRS`` classes gives all its pairs within the
+radius; a larger one gives a spanning forest of them and each member's ``NEAREST``
+nearest, so rows stay in proportion to its size. Candidates are compared exactly. This
+joins nearly all near copies, but no radius is a guarantee at similarity 0.8.
+
+Second search, exact, for pairs of classes in different components of the first: of two
+similar sets, the parts with the smallest hashes must share shingles (prefix filter). A
+class of n shingles gives its a + k smallest hashes, where a = n - ceil(0.8 n) may be
+missing from a partner and k = ``DEPTH`` a + 1, at least, must be shared. Only hashes that two classes
+hold go on; a class with fewer of these than its smallest partner asks for has no
+partner. Of the others, the rarest go into buckets, as many as must hold a shared one.
+A bucket gives its pairs between different components whose sizes allow the similarity.
+
+Candidates are compared in tiles: classes are dealt into blocks of bounded bytes, a tile
+is a pair of blocks, and a set of shingles goes once to each tile that needs it. A tile
+gives at most one link fewer than it has components.
 
 Edge cases: null and empty texts are one class; texts of fewer than five words are
 one shingle, so only equal ones group; rows with a null doc_id have no identity and
-stay; rows that share a doc_id are one document and stay or go together.
+stay; rows that share a doc_id are one document and stay or go together, by its first text
+in any group; very long texts are read whole; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -38,118 +40,107 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, pick
 from .graph import components
 from .simhash import HOT, masks, shingles
 
 SHINGLE, SIMILARITY = 5, 0.8
-SEEDS, RADIUS = (42, 43, 44), 5
-ALL_PAIRS, NEAREST, TILE, CLOSE, SKETCH = 64, 8, 4096, 20, 24
-#: What goes with each class: fingerprints and sketch. Below, odd multipliers of the sketch's 128 hash functions (multiply and shift).
-NUMBERS = (*[f"fp{i}" for i in range(len(SEEDS))], "s0", "s1")
-FACTORS = np.random.default_rng(5).integers(1, 1 << 62, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-FIELDS = ("bucket", "fp", "s0", "s1", "rep", "root")
-ROW = ", ".join(f"{f} long" for f in FIELDS)
+SEED, RADIUS = 42, 5
+ALL_PAIRS, NEAREST = 64, 8
+#: How many more shingles than the one that must be shared the exact search asks for, as a share of those that may be missing.
+DEPTH = 0.25
+#: Rows of one hash held before it counts as common; it is common for all its rows then.
+COMMON = 1 << 20
+#: Sets of one block; a task holds two blocks.
+BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 8
+PAIRS_AT_ONCE = 1 << 20
+MASK = np.array(masks(RADIUS), dtype=np.int64).view(np.uint64)
 
 
-def fingerprints(words: list[bytes]) -> list[int]:
+def fingerprint(words: list[bytes]) -> int:
     count = Counter(words)
     if not count:
-        return [0] * len(SEEDS)
+        return 0
     weight = np.fromiter((1 + log(n) for n in count.values()), dtype=np.float64)
-    out = []
-    for seed in SEEDS:
-        h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in count), dtype=np.uint64)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-        ones = weight @ bits
-        out.append(int.from_bytes(np.packbits(2 * ones > weight.sum()).tobytes(), "big", signed=True))
-    return out
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in count), dtype=np.uint64)
+    ones = weight @ np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(2 * ones > weight.sum()).tobytes(), "big", signed=True)
 
 
-def sketch(text: bytes) -> tuple[int, int]:
-    """128 one-bit minhashes of a text's shingles, as two signed integers."""
-    h = np.fromiter((xxhash.xxh64_intdigest(x, 1) for x in shingles(text, SHINGLE)), dtype=np.uint64)
-    low = np.full(128, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(h), 1024):
-        np.minimum(low, (h[at : at + 1024, None] * FACTORS[None, :]).min(axis=0), out=low)
-    bits = np.packbits(((low >> np.uint64(33)) & np.uint64(1)).astype(bool))
-    return tuple(int(x) for x in bits.view(np.int64))
+def digest(text: bytes) -> tuple[list[bytes], bytes]:
+    words = text.lower().split()
+    return words, xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        key, numbers = [], []
-        for t in b.column("text").cast(pa.large_binary()):
-            text = t.as_py() or b""
-            words = text.lower().split()
-            key.append(xxhash.xxh3_128_digest(b" ".join(words)))
-            numbers.append((*fingerprints(words), *sketch(text)))
-        columns = zip(*numbers, strict=True) if numbers else [()] * len(NUMBERS)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key, pa.binary()), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", "key", *NUMBERS])
+def short(key: bytes) -> int:
+    return int.from_bytes(key[:8], "big", signed=True)
 
 
-MASK = np.array(masks(RADIUS), dtype=np.int64).view(np.uint64)
+def shingle_set(text: bytes) -> np.ndarray:
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x) for x in shingles(text, SHINGLE)), dtype=np.uint64))
 
 
-def bucket(masked: np.ndarray, tables: np.ndarray, seed: int) -> np.ndarray:
-    salt = (tables.astype(np.uint64) + np.uint64(seed * len(MASK) + 1)) * np.uint64(0x9E3779B97F4A7C15)
-    k = (masked ^ salt) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (k ^ (k >> np.uint64(31))).view(np.int64)
+def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+    return (t.as_py() or b"" for t in batch.column("text").cast(pa.large_binary()))
 
 
-def first_here(x: np.ndarray, y: np.ndarray, here: np.ndarray) -> np.ndarray:
-    """Whether the first table in which x and y collide is the one of their bucket."""
-    t = ((x ^ y)[:, None] & MASK[None, :] == 0).argmax(axis=1)
-    m = x & MASK[t]
-    return np.logical_or.reduce([bucket(m, t, i) == here for i in range(len(SEEDS))])
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        key, k, fp = [], [], []
+        for text in _texts(b):
+            words, own = digest(text)
+            key.append(own)
+            k.append(short(own))
+            fp.append(fingerprint(words))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key, pa.binary()), pa.array(k, pa.int64()), pa.array(fp, pa.int64())], ["doc_id", "key", "k", "fp"])
 
 
-def _buckets(seeds: int):
-    """Each class in every table of the first ``seeds`` fingerprints; the bucket is the hash of table and masked bits."""
+def bucket(masked: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    k = (masked ^ (tables.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (k ^ (k >> np.uint64(31))).view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.arange(len(MASK))[None, :]
-        for b in batches:
-            rest = [b.column(c).to_numpy() for c in FIELDS[2:]]
-            for i in range(seeds):
-                fp = b.column(f"fp{i}").to_numpy()
-                for lo in range(0, len(fp), 1000):
-                    own = [v[lo : lo + 1000] for v in (fp, *rest)]
-                    k = bucket(own[0].view(np.uint64)[:, None] & MASK[None, :], tables, i)
-                    yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), *[pa.array(np.repeat(v, len(MASK))) for v in own]], FIELDS)
 
-    return run
+def first_here(x: np.ndarray, y: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """Whether the first table in which x and y collide is the one of their bucket."""
+    t = ((x ^ y)[:, None] & MASK[None, :] == 0).argmax(axis=1)
+    return bucket(x & MASK[t], t) == here
 
 
-def _far(x: np.ndarray, y: np.ndarray, i, j) -> np.ndarray:
-    """By how many bits the sketches of i and j differ."""
-    return np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j])
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each class in every table; the bucket is the hash of table and masked bits."""
+    tables = np.arange(len(MASK))[None, :]
+    for b in batches:
+        fps, reps = b.column("fp").to_numpy(), b.column("rep").to_numpy()
+        for lo in range(0, len(fps), 2000):
+            fp, rep = fps[lo : lo + 2000], reps[lo : lo + 2000]
+            k = bucket(fp.view(np.uint64)[:, None] & MASK[None, :], tables)
+            yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(fp, len(MASK))), pa.array(np.repeat(rep, len(MASK)))], ["bucket", "fp", "rep"])
 
 
-def _near(here: int, fp: np.ndarray, s0: np.ndarray, s1: np.ndarray, rep: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one bucket, first pass."""
+def _near(here: int, fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one bucket of the first search."""
     if len(fp) <= ALL_PAIRS:
         i, j = np.triu_indices(len(fp), 1)
-        near = (np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS) & (_far(s0, s1, i, j) <= CLOSE)
+        near = np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS
         i, j = i[near], j[near]
         near = first_here(fp[i], fp[j], here)
         return rep[i[near]], rep[j[near]]
     a, b = [], []
     for lo in range(0, len(fp), HOT):
-        f, x, y, r = (v[lo : lo + HOT] for v in (fp, s0, s1, rep))
+        f, r = fp[lo : lo + HOT], rep[lo : lo + HOT]
         seen = np.zeros(len(f), dtype=bool)
         front: list[int] = []
         for start in range(len(f)):
             if not seen[start]:
                 seen[start] = True
                 front.append(start)
-            while front:  # a spanning forest of the candidates, and on the way each one's nearest
+            while front:  # a spanning forest, and on the way each one's nearest
                 i = front.pop()
-                far = _far(x, y, slice(None), i)
-                far[np.bitwise_count(f ^ f[i]) > RADIUS] = 255
+                far = np.bitwise_count(f ^ f[i])
                 far[i] = 255
-                near = np.flatnonzero(far <= CLOSE)
+                near = np.flatnonzero(far <= RADIUS)
                 new = near[~seen[near]]
                 seen[new] = True
                 front += new.tolist()
@@ -162,168 +153,222 @@ def _near(here: int, fp: np.ndarray, s0: np.ndarray, s1: np.ndarray, rep: np.nda
     return np.concatenate(a), np.concatenate(b)
 
 
-def _crossing(here: int, fp: np.ndarray, s0: np.ndarray, s1: np.ndarray, rep: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Candidates of one bucket between different components, second pass: as pairs ``a, b`` if it is small,
-    else as the members ``a`` of tiles, ``b`` telling which ones are compared with all of their tile."""
-    _, of, size = np.unique(root, return_inverse=True, return_counts=True)
-    # The largest component comes last: its members need no look at each other.
-    order = np.argsort(of == size.argmax(), kind="stable")
-    fp, s0, s1, rep, of = (v[order] for v in (fp, s0, s1, rep, of))
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    left, some = len(fp) - size.max(), np.full(len(fp), len(fp) > HOT and len(size) > 1)
-    for i in range(left if len(fp) <= HOT else 0):
-        j = i + 1 + np.flatnonzero((np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= RADIUS) & (of[i + 1 :] != of[i]))
-        j = j[_far(s0, s1, j, i) <= SKETCH]
-        j = j[first_here(fp[j], np.full(len(j), fp[i]), here)]
-        if len(fp) <= ALL_PAIRS:
-            a.append(np.full(len(j), rep[i]))
-            b.append(rep[j])
-        elif len(j):
-            some[i] = some[j] = True
-    if len(fp) <= ALL_PAIRS:
-        return np.concatenate(a), np.concatenate(b)
-    tile, left, rep = [np.zeros(0, np.int64)], int(some[:left].sum()), rep[some]
-    tiles = range(0, len(rep), TILE)
-    for i in (i for i in tiles if i < left):
-        for j in (j for j in tiles if j >= i):
-            own = np.concatenate([rep[i : i + TILE], rep[j : j + TILE] if j > i else rep[:0]])
-            a.append(own)
-            b.append((np.arange(len(own)) < min(TILE, left - i)).astype(np.int64))
-            tile.append(np.full(len(own), xxhash.xxh64_intdigest(f"{here} {i} {j}") >> 1))
-    return np.concatenate(a), np.concatenate(b), np.concatenate(tile)
-
-
-def _candidates(near, most: int):
-    """Over rows sorted by bucket: candidates ``a, b`` and members of tiles, as ``near`` gives them for one bucket; pairs differ in ``most`` bits of the sketch."""
-
-    def out(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        pairs, tiles = [f for f in found if len(f) == 2], [f for f in found if len(f) == 3]
-        a, b = (np.concatenate([np.zeros(0, np.int64), *[p[i] for p in pairs]]) for i in (0, 1))
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
-        a, b, t = (np.concatenate([np.zeros(0, np.int64), *[p[i] for p in tiles]]) for i in (0, 1, 2))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([both[0], a])), pa.array(np.concatenate([both[1], b])), pa.concat_arrays([pa.nulls(both.shape[1], pa.int64()), pa.array(t)])], ["a", "b", "tile"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * len(FIELDS)
-        for batch in batches:
-            rows = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(rest, FIELDS, strict=True)]
-            k = rows[0]
-            cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
-            last = cuts[-1] if len(cuts) else 0  # the last bucket may go on in the next batch
-            rest = [x[last:] for x in rows]
-            bits, ids = [x.view(np.uint64) for x in rows[1:4]], rows[4:]
-            starts = np.concatenate([[0], cuts[:-1]]) if len(cuts) else cuts
-            size = cuts - starts
-            two = starts[size == 2]
-            ok = (np.bitwise_count(bits[0][two] ^ bits[0][two + 1]) <= RADIUS) & (_far(*bits[1:], two, two + 1) <= most) & (ids[1][two] != ids[1][two + 1])
-            two = two[ok]
-            two = two[first_here(bits[0][two], bits[0][two + 1], k[two])]
-            found = [(ids[0][two], ids[0][two + 1])]
-            for i in np.flatnonzero(size > 2):
-                found.append(near(k[starts[i]], *[x[starts[i] : cuts[i]] for x in (*bits, *ids)]))
-            yield out(found)
-        if len(rest[0]) > 1:
-            yield out([near(rest[0][0], *[x.view(np.uint64) for x in rest[1:4]], *rest[4:])])
-
-    return run
-
-
-def across(rep: np.ndarray, root: np.ndarray, look: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    """Links of one tile that join its components, each pair of ``look`` and another component compared exactly."""
-    up: dict[int, int] = {}
+def _pairs(a: list[np.ndarray], b: list[np.ndarray], *roots: list[np.ndarray]) -> pa.RecordBatch:
+    """Distinct pairs, the smaller id first, with their components if they have any."""
+    a, b, *roots = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b, *roots))
+    roots = roots or [a, b]
+    flip = a > b
+    rows = np.stack([np.where(flip, y, x) for x, y in ((a, b), (b, a), roots, roots[::-1])])
+    rows = np.unique(rows[:, a != b], axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["a", "b", "ra", "rb"])
 
-    def top(x: int) -> int:
-        while x in up:
-            x = up[x]
-        return x
 
-    size = np.array([len(s) for s in sets])
-    _, terms = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-    mark, a, b = np.zeros(terms.max(initial=0) + 1, dtype=np.int32), [], []
-    for i in np.flatnonzero(look & (size > 0)):
-        mine = terms[starts[i] : starts[i] + size[i]]
-        mark[mine] = 1
-        # A sum of its own for each set; an empty set has none to give.
-        same = np.diff(np.concatenate([[0], np.cumsum(mark[terms])])[np.concatenate([starts, [len(terms)]])])
-        mark[mine] = 0
-        for j in np.flatnonzero((same >= SIMILARITY * (size + size[i] - same)) & (size > 0) & (root != root[i])):
-            x, y = top(int(root[i])), top(int(root[j]))
-            if x != y:
-                up[max(x, y)] = min(x, y)
-                a.append(int(rep[i]))
-                b.append(int(rep[j]))
-    return a, b
+PAIR = "a long, b long, ra long, rb long"
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs over rows sorted by bucket."""
+    rest = [np.zeros(0, np.int64)] * 3
+    for batch in batches:
+        rows = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(rest, ("bucket", "fp", "rep"), strict=True)]
+        k = rows[0]
+        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
+        last = cuts[-1] if len(cuts) else 0  # the last bucket may go on in the next batch
+        rest = [x[last:] for x in rows]
+        fp, rep = rows[1].view(np.uint64), rows[2]
+        starts = np.concatenate([[0], cuts[:-1]]) if len(cuts) else cuts
+        size = cuts - starts
+        two = starts[size == 2]
+        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= RADIUS]
+        two = two[first_here(fp[two], fp[two + 1], k[two])]
+        a, b = [rep[two]], [rep[two + 1]]
+        for i in np.flatnonzero(size > 2):
+            x, y = _near(k[starts[i]], fp[starts[i] : cuts[i]], rep[starts[i] : cuts[i]])
+            a.append(x)
+            b.append(y)
+        yield _pairs(a, b)
+    if len(rest[0]) > 1:
+        x, y = _near(rest[0][0], rest[1].view(np.uint64), rest[2])
+        yield _pairs([x], [y])
+
+
+def may_miss(n):
+    """How many of n shingles a similar set may lack."""
+    return n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64)
+
+
+def must_share(n):
+    """How many of the smallest hashes the search asks a set of n to share."""
+    return np.minimum(np.ceil(DEPTH * may_miss(n)).astype(np.int64) + 1, np.maximum(n - may_miss(n), 1))
+
+
+def need(n):
+    """How many of its smallest hashes any similar set must share with a set of n: the smallest partner has
+    n - may_miss(n) shingles, and the fewer that either asks for count."""
+    return np.minimum(must_share(n), must_share(n - may_miss(n)))
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``h, k, n``: the smallest hashes of each text, the beginning of its class's key, and how many shingles it has."""
+    for b in batches:
+        h, k, n, seen = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], set()
+        for text in _texts(b):
+            own = short(digest(text)[1])
+            if own in seen:
+                continue
+            seen.add(own)
+            s = shingle_set(text)
+            size = np.int64(len(s))
+            s = s[: may_miss(size) + must_share(size)]
+            h.append(s)
+            k.append(np.full(len(s), own))
+            n.append(np.full(len(s), size))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(k)), pa.array(np.concatenate(n))], ["h", "k", "n"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``h, k, n, need, df`` over rows sorted by h and k: those of hashes that two classes or more hold, with their number."""
+
+    def out(rows: list[np.ndarray], df: np.ndarray) -> pa.RecordBatch:
+        rows = [*rows, need(rows[2]), df]
+        return pa.RecordBatch.from_arrays([pa.array(x[df > 1]) for x in rows], ["h", "k", "n", "need", "df"])
+
+    def counted(rows: list[np.ndarray]) -> pa.RecordBatch:
+        _, at, n = np.unique(rows[0], return_inverse=True, return_counts=True)
+        return out(rows, n[at] if len(n) else np.zeros(0, np.int64))
+
+    held, common = [np.zeros(0, np.int64)] * 3, None
+    for batch in batches:
+        rows = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("h", "k", "n"), strict=True)]
+        if common is not None:
+            own = rows[0] == common
+            yield out([x[own] for x in rows], np.full(int(own.sum()), COMMON))
+            rows = [x[~own] for x in rows]
+            common = None if len(rows[0]) else common
+        held = rows
+        if not len(rows[0]):
+            continue
+        new = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
+        rows = [x[new] for x in rows]
+        last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last hash may go on in the next batch
+        yield counted([x[:last] for x in rows])
+        held = [x[last:] for x in rows]
+        if len(held[0]) > COMMON:
+            common = held[0][0]
+            yield out(held, np.full(len(held[0]), COMMON))
+            held = [x[:0] for x in held]
+    yield counted(held)
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs between different components whose sizes allow the similarity, over rows ``h, rep, root, n`` sorted by h."""
+
+    def found(rep: np.ndarray, root: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        _, of, size = np.unique(root, return_inverse=True, return_counts=True)
+        if len(size) < 2:
+            return
+        # The largest component comes last: its members need no look at each other.
+        order = np.argsort(of == size.argmax(), kind="stable")
+        rep, root, n = rep[order], root[order], n[order]
+        for i in range(len(rep) - int(size.max())):
+            j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) >= SIMILARITY * np.maximum(n[i + 1 :], n[i]) - 1e-9))
+            yield np.full(len(j), rep[i]), rep[j], np.full(len(j), root[i]), root[j]
+
+    parts, count = [[], [], [], []], 0
+    held = [np.zeros(0, np.int64)] * 4
+    for batch in batches:
+        rows = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("h", "rep", "root", "n"), strict=True)]
+        cuts = np.concatenate([[0], np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1]) if len(rows[0]) else np.zeros(1, np.int64)
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            for more in found(*(x[lo:hi] for x in rows[1:])) if hi - lo > 1 else ():
+                count += len(more[0])
+                for p, m in zip(parts, more, strict=True):
+                    p.append(m)
+                if count > PAIRS_AT_ONCE:
+                    yield _pairs(*parts)
+                    parts, count = [[], [], [], []], 0
+        held = [x[cuts[-1] :] for x in rows]
+    for more in found(*held[1:]):
+        for p, m in zip(parts, more, strict=True):
+            p.append(m)
+    yield _pairs(*parts)
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets, sorted, are similar."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(small) or len(small) < SIMILARITY * len(large) - 1e-9:
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    same = int((large[at] == small).sum())
+    return same >= SIMILARITY * (len(x) + len(y) - same) - 1e-9
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of tiles, over rows sorted by tile."""
+    """Links over rows ``ta, tb, a, b, ra, rb, s`` sorted by tile: first its sets (null b), then its pairs."""
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        rep, root, look = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3))
-        a, b = across(rep, root, look > 0, [np.frombuffer(r[4], np.uint32) for r in rows]) if rows else ([], [])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    tile, sets, up, a, b = None, {}, {}, [], []
+
+    def top(x: int) -> int:
+        while x in up:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
 
-    held: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("tile", "a", "root", "b", "s")), strict=True):
-            if held and held[0][0] != row[0]:
-                yield out(held)
-                held = []
-            held.append(row)
-    yield out(held)
+        columns = [batch.column(c).to_pylist() for c in ("ta", "tb", "a", "b", "ra", "rb")]
+        data = batch.column("s")
+        for i, (ta, tb, x, y, rx, ry) in enumerate(zip(*columns, strict=True)):
+            if tile != (ta, tb):
+                tile, sets, up = (ta, tb), {}, {}
+            if y is None:
+                sets[x] = np.frombuffer(data[i].as_py(), np.uint64)
+                continue
+            rx, ry = top(rx), top(ry)
+            if rx != ry and x in sets and y in sets and similar(sets[x], sets[y]):
+                up[max(rx, ry)] = min(rx, ry)
+                a.append(x)
+                b.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        a, b = [], []
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        s = [np.unique(np.fromiter((xxhash.xxh32_intdigest(x) for x in shingles(t.as_py() or b"", SHINGLE)), dtype=np.uint32)).tobytes() for t in b.column("text").cast(pa.large_binary())]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.binary())], ["id", "s"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_set(t).tobytes() for t in _texts(b)], pa.binary())], ["id", "s"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ok = []
-        for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-            x, y = (np.frombuffer(v.as_py(), np.uint32) for v in (x, y))
-            small, large = min(len(x), len(y)), max(len(x), len(y))
-            same = len(np.intersect1d(x, y, assume_unique=True)) if small >= SIMILARITY * large else 0
-            ok.append(large > 0 and same >= SIMILARITY * (len(x) + len(y) - same))
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
-
-
-def candidates(rep: DataFrame, near, most: int, seeds: int) -> DataFrame:
-    """``a, b, tile``: what ``near`` finds among the classes ``rep, root`` and ``NUMBERS``, by the first ``seeds`` fingerprints."""
-    n = int(rep.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    b = rep.select("rep", "root", *NUMBERS).mapInArrow(_buckets(seeds), ROW)
-    return cut(b.repartition(n, "bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_candidates(near, most), "a long, b long, tile long").distinct())
-
-
-def confirmed(docs: DataFrame, found: DataFrame, rep: DataFrame | None = None) -> DataFrame:
-    """The links ``a, b``: candidate pairs whose sets of shingles are similar, and those that tiles give."""
-    pairs = found.where("tile IS NULL").select("a", "b")
-    used = found.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links ``a, b`` that join the components of all similar pairs among ``a, b, ra, rb``."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = cut(docs.join(used, "doc_id", "left_semi").mapInArrow(_sets, "id long, s binary").dropDuplicates(["id"]))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    out = both.select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long")
-    if rep is not None:
-        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        of = sets.join(rep.select(F.col("rep").alias("id"), "root"), "id").withColumnRenamed("id", "a")
-        tiles = found.where("tile IS NOT NULL").join(of, "a").select("tile", "a", "root", "b", "s")
-        out = out.unionByName(tiles.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(_tiles, "a long, b long"))
-    return cut(out)
+    size = sets.agg(F.sum(F.length("s"))).first()[0] or 0
+    blocks = max(LEAST_BLOCKS, -(-size // BLOCK_BYTES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    p = pairs.select(F.least(block("a"), block("b")).alias("ta"), F.greatest(block("a"), block("b")).alias("tb"), "a", "b", "ra", "rb")
+    members = p.select("ta", "tb", F.col("a").alias("id")).union(p.select("ta", "tb", "b")).distinct().join(sets, "id")
+    none = F.lit(None).cast("long")
+    rows = members.select("ta", "tb", F.col("id").alias("a"), none.alias("b"), none.alias("ra"), none.alias("rb"), "s").unionByName(p.withColumn("s", F.lit(None).cast("binary")))
+    return cut(rows.repartition(n, "ta", "tb").sortWithinPartitions("ta", "tb", F.asc_nulls_first("b")).mapInArrow(_tiles, "a long, b long"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """``doc_id, group_id`` for each document with an id: its group's smallest doc_id."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id IS NOT NULL")
-    c = cut(d.mapInArrow(_classes, "doc_id long, key binary, " + ", ".join(f"{f} long" for f in NUMBERS)))
-    rep = c.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(f).alias(f) for f in NUMBERS])
-    rep = cut(rep)
-    first = confirmed(d, candidates(rep.withColumn("root", F.col("rep")), _near, CLOSE, 1))
-    roots = cut(components(first))
-    now = rep.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    now = cut(now.select("rep", "root", *NUMBERS))
-    second = confirmed(d, candidates(now, _crossing, SKETCH, len(SEEDS)), now)
+    c = cut(d.mapInArrow(_classes, "doc_id long, key binary, k long, fp long"))
+    rep = cut(c.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("k").alias("k"), F.first("fp").alias("fp")))
+    b = rep.select("rep", "fp").mapInArrow(_buckets, "bucket long, fp long, rep long")
+    near = cut(b.repartition(n, "bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_candidates, PAIR).distinct())
+    roots = cut(components(confirmed(d, near)))
+    now = rep.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k", "rep", F.coalesce("root", "rep").alias("root"))
+    h = d.select("text").mapInArrow(_prefixes, "h long, k long, n long")
+    h = h.repartition(n, "h").sortWithinPartitions("h", "k").mapInArrow(_shared, "h long, k long, n long, need long, df long")
+    own = Window.partitionBy("rep")
+    h = h.join(now, "k").withColumn("have", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "h"))).where("place <= have - need + 1")
+    crossing = h.select("h", "rep", "root", "n").repartition(n, "h").sortWithinPartitions("h", "root", "rep").mapInArrow(_crossing, PAIR)
+    second = confirmed(d, cut(crossing.distinct()))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
     of = rep.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("group_id"))
     return c.select("doc_id", "key").join(of, "key").select("doc_id", "group_id")

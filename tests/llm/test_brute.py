@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -96,9 +97,9 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("limits", [{}, {"ALL_PAIRS": 1, "NEAREST": 0, "CLOSE": 0, "SKETCH": 128, "TILE": 2}, {"ALL_PAIRS": 1, "CLOSE": 0, "SKETCH": 128, "HOT": 2}])
+@pytest.mark.parametrize("limits", [{}, {"ALL_PAIRS": 1, "NEAREST": 1, "HOT": 2}, {"RADIUS": -1, "COMMON": 2, "PAIRS_AT_ONCE": 3, "BLOCK_BYTES": 64}])
 def test_near_stage(spark, monkeypatch, limits):
-    """Also with every bucket a large one, and with a first pass that finds next to nothing."""
+    """Also with every bucket a large one, and with a first search that finds nothing, so that the exact one finds all."""
     for name, value in limits.items():
         monkeypatch.setattr(near_dedup, name, value)
     r = random.Random(5)
@@ -111,9 +112,11 @@ def test_near_stage(spark, monkeypatch, limits):
             for _ in range((0, 1, 2, 20)[j]):
                 w[r.randrange(len(w))] = "new" + str(r.random())[2:8]
             rows.append((k * 10 + j, " ".join(w).upper() if j == 1 else " ".join(w), "en", "s"))
-    rows += [(900, None, "en", "s"), (901, "", "en", "s"), (902, "two words", "en", "s"), (903, "two  WORDS", "en", "s"), (904, "two word", "en", "s")]
+        for j, n in enumerate((8, 14, 20, 25, 27, 40), 4):  # a passage of other words after it
+            rows.append((k * 10 + j, " ".join(base) + " " + prose(r, n), "en", "s"))
+    rows += [(900, None, "en", "s"), (901, "", "en", "s"), (902, "two words", "en", "s"), (903, "two  WORDS", "en", "s"), (904, "two word", "en", "s"), (905, "a a a a a a", "en", "s"), (906, "a a a a a a a", "en", "s")]
     got = {x.doc_id: x.group_id for x in near_dedup.groups(docs(spark, rows)).collect()}
-    sets = {i: frozenset(simhash.shingles((t or "").encode(), 5)) for i, t, _, _ in rows}
+    sets = {i: frozenset(simhash.shingles((t or "").lower().encode(), 5)) for i, t, _, _ in rows}
     same = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     assert got == groups_plain(sets, same)
     stay = {x.doc_id for x in near_dedup.keep_first(docs(spark, rows)).collect()}
@@ -124,24 +127,42 @@ def test_dense_bucket_gives_few_pairs():
     r = np.random.default_rng(6)
     n = 3000
     fp = np.zeros(n, np.uint64) ^ (np.uint64(1) << r.integers(0, 64, n).astype(np.uint64))
-    s0 = np.uint64(1) << r.integers(0, 64, n).astype(np.uint64)
-    a, b = near_dedup._near(0, fp, s0, s0, np.arange(n), np.arange(n))
+    a, b = near_dedup._near(0, fp, np.arange(n))
     assert len(a) <= n * (near_dedup.NEAREST + 1)
     assert len({frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)}) >= n - 1
 
 
-def test_tile_links():
-    """A tile joins exactly the components that have similar members, with a link fewer than components."""
+def test_shared_hashes(monkeypatch):
+    """Over batches cut anywhere: all rows of hashes that two classes hold, with one number for a hash."""
     r = np.random.default_rng(7)
-    base = r.integers(0, 2**32, 60, dtype=np.uint32)
-    sets = [np.unique(np.concatenate([base[k:], r.integers(0, 2**32, k, dtype=np.uint32)])) for k in r.integers(0, 16, 80)] + [base[:0]] * 2
-    rep, root, look = np.arange(82), np.concatenate([np.zeros(40, int), np.arange(40, 82)]), np.arange(82) >= 20
-    alike = lambda i, j: len(sets[i]) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
-    want = [(i, j) for i in range(82) for j in range(82) if look[i] and root[i] != root[j] and alike(i, j)]
-    a, b = near_dedup.across(rep, root, look, sets)
-    assert all((i, j) in want for i, j in zip(a, b, strict=True)) and len(a) <= 42
-    one = lambda pairs: groups_plain(range(82), lambda i, j: (i, j) in pairs or (j, i) in pairs or root[i] == root[j])
-    assert one(set(want)) == one(set(zip(a, b, strict=True)))
+    rows = sorted({(int(h), int(k)) for h, k in zip(r.integers(-9, 9, 300) ** 3, r.integers(0, 40, 300), strict=True)} | {(7, k) for k in range(500)} | {(10**6, 1)})
+    rows = sorted(rows + rows[::5])
+    for common in (5, 1 << 20):
+        monkeypatch.setattr(near_dedup, "COMMON", common)
+        cuts = [0, *sorted(r.integers(0, len(rows), 12).tolist()), len(rows)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows[a:b]], pa.int64()), pa.array([x[1] for x in rows[a:b]], pa.int64()), pa.array([50] * (b - a), pa.int64())], ["h", "k", "n"]) for a, b in zip(cuts, cuts[1:])]
+        got = [x for b in near_dedup._shared(iter(batches)) for x in b.to_pylist()]
+        held = defaultdict(set)
+        for h, k in rows:
+            held[h].add(k)
+        assert {(x["h"], x["k"]) for x in got} >= {(h, k) for h, k in rows if len(held[h]) > 1}
+        df = {}
+        assert all(df.setdefault(x["h"], x["df"]) == x["df"] for x in got)
+        if common > 9999:
+            assert df == {h: len(v) for h, v in held.items() if len(v) > 1} and len(got) == sum(df.values())
+
+
+def test_prefix_filter_loses_no_similar_pair():
+    r = np.random.default_rng(8)
+    for _ in range(400):
+        n = int(r.integers(1, 60))
+        x = np.unique(r.integers(0, 2**40, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[r.random(len(x)) > 0.1], r.integers(0, 2**40, int(r.integers(0, 1 + n // 8))).astype(np.uint64)]))
+        if len(y) and near_dedup.similar(x, y):
+            cut = [s[: near_dedup.may_miss(np.int64(len(s))) + near_dedup.must_share(np.int64(len(s)))] for s in (x, y)]
+            assert len(np.intersect1d(*cut)) >= max(near_dedup.need(np.int64(len(s))) for s in (x, y))
+        union = len(np.union1d(x, y))
+        assert near_dedup.similar(x, y) == (len(y) > 0 and len(np.intersect1d(x, y)) >= 0.8 * union)
 
 
 def test_line_dedup(spark, monkeypatch):
