@@ -56,6 +56,9 @@ COMMON = 1 << 20
 #: Sets of one block; a task holds two blocks.
 BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 8
 PAIRS_AT_ONCE = 1 << 20
+#: A hash of so many classes or more is one of a crowd: their pairs may meet again and again, so each class tells
+#: which hashes of crowds (the first ``BEFORE``) it met the others in before.
+CROWD, BEFORE = 64, 32
 MASK = np.array(masks(RADIUS), dtype=np.int64).view(np.uint64)
 
 
@@ -261,24 +264,39 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs between different components whose sizes allow the similarity, over rows ``h, rep, root, n`` sorted by h."""
+    """Pairs between different components whose sizes allow the similarity, over rows ``h, rep, root, n, before`` sorted
+    by h. A pair that met in a bucket of ``before`` of both isn't given again."""
 
-    def found(rep: np.ndarray, root: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def found(rep: np.ndarray, root: np.ndarray, n: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         _, of, size = np.unique(root, return_inverse=True, return_counts=True)
         if len(size) < 2:
             return
         # The largest component comes last: its members need no look at each other.
         order = np.argsort(of == size.argmax(), kind="stable")
-        rep, root, n = rep[order], root[order], n[order]
+        rep, root, n, before = rep[order], root[order], n[order], before[order]
+        met: dict[int, list[int]] = {}
+        for i, own in enumerate(before):
+            for t in own:
+                met.setdefault(t, []).append(i)
+        at = {t: np.array(v) for t, v in met.items()}
         for i in range(len(rep) - int(size.max())):
-            j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) >= SIMILARITY * np.maximum(n[i + 1 :], n[i]) - 1e-9))
+            ok = (root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) >= SIMILARITY * np.maximum(n[i + 1 :], n[i]) - 1e-9)
+            for t in before[i]:
+                ok[at[t][at[t] > i] - i - 1] = False
+            j = i + 1 + np.flatnonzero(ok)
             yield np.full(len(j), rep[i]), rep[j], np.full(len(j), root[i]), root[j]
 
+    def lists(column: pa.Array) -> np.ndarray:
+        out = np.empty(len(column), dtype=object)
+        out[:] = column.to_pylist() or out
+        return out
+
     parts, count = [[], [], [], []], 0
-    held = [np.zeros(0, np.int64)] * 4
+    held = [*[np.zeros(0, np.int64)] * 4, np.empty(0, dtype=object)]
     for batch in batches:
-        rows = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("h", "rep", "root", "n"), strict=True)]
-        cuts = np.concatenate([[0], np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1]) if len(rows[0]) else np.zeros(1, np.int64)
+        new = [*(batch.column(c).to_numpy() for c in ("h", "rep", "root", "n")), lists(batch.column("before"))]
+        rows = [np.concatenate(x) for x in zip(held, new, strict=True)]
+        cuts = np.concatenate([[0], np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1])
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             for more in found(*(x[lo:hi] for x in rows[1:])) if hi - lo > 1 else ():
                 count += len(more[0])
@@ -305,7 +323,7 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links over rows ``ta, tb, a, b, ra, rb, s`` sorted by tile: first its sets (null b), then its pairs."""
+    """Links over rows ``tile, a, b, root, s`` sorted by tile: first its sets (null b), then its pairs."""
 
     tile, sets, up, a, b = None, {}, {}, [], []
 
@@ -316,16 +334,17 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return x
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("ta", "tb", "a", "b", "ra", "rb")]
+        columns = [batch.column(c).to_pylist() for c in ("tile", "a", "b", "root")]
         data = batch.column("s")
-        for i, (ta, tb, x, y, rx, ry) in enumerate(zip(*columns, strict=True)):
-            if tile != (ta, tb):
-                tile, sets, up = (ta, tb), {}, {}
+        for i, (t, x, y, root) in enumerate(zip(*columns, strict=True)):
+            if tile != t:
+                tile, sets, up = t, {}, {}
             if y is None:
-                sets[x] = np.frombuffer(data[i].as_py(), np.uint64)
+                sets[x] = (root, np.frombuffer(data[i].as_py(), np.uint64))
                 continue
+            (rx, sx), (ry, sy) = sets[x], sets[y]
             rx, ry = top(rx), top(ry)
-            if rx != ry and x in sets and y in sets and similar(sets[x], sets[y]):
+            if rx != ry and similar(sx, sy):
                 up[max(rx, ry)] = min(rx, ry)
                 a.append(x)
                 b.append(y)
@@ -346,11 +365,11 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     size = sets.agg(F.sum(F.length("s"))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-size // BLOCK_BYTES))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    p = pairs.select(F.least(block("a"), block("b")).alias("ta"), F.greatest(block("a"), block("b")).alias("tb"), "a", "b", "ra", "rb")
-    members = p.select("ta", "tb", F.col("a").alias("id")).union(p.select("ta", "tb", "b")).distinct().join(sets, "id")
-    none = F.lit(None).cast("long")
-    rows = members.select("ta", "tb", F.col("id").alias("a"), none.alias("b"), none.alias("ra"), none.alias("rb"), "s").unionByName(p.withColumn("s", F.lit(None).cast("binary")))
-    return cut(rows.repartition(n, "ta", "tb").sortWithinPartitions("ta", "tb", F.asc_nulls_first("b")).mapInArrow(_tiles, "a long, b long"))
+    p = pairs.withColumn("tile", F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b")))
+    members = p.select("tile", F.col("a").alias("id"), F.col("ra").alias("root")).union(p.select("tile", "b", "rb")).distinct().join(sets, "id")
+    none = F.lit(None)
+    rows = members.select("tile", F.col("id").alias("a"), none.cast("long").alias("b"), "root", "s").unionByName(p.select("tile", "a", "b", none.cast("long").alias("root"), none.cast("binary").alias("s")))
+    return cut(rows.repartition(n, "tile").sortWithinPartitions("tile", F.asc_nulls_first("b")).mapInArrow(_tiles, "a long, b long"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -367,7 +386,10 @@ def groups(docs: DataFrame) -> DataFrame:
     h = h.repartition(n, "h").sortWithinPartitions("h", "k").mapInArrow(_shared, "h long, k long, n long, need long, df long")
     own = Window.partitionBy("rep")
     h = h.join(now, "k").withColumn("have", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "h"))).where("place <= have - need + 1")
-    crossing = h.select("h", "rep", "root", "n").repartition(n, "h").sortWithinPartitions("h", "root", "rep").mapInArrow(_crossing, PAIR)
+    h = h.withColumn("alone", F.count_if(F.col("df") < CROWD).over(own))
+    crowd = F.collect_list(F.when((F.col("place") > F.col("alone")) & (F.col("place") <= F.col("alone") + BEFORE), F.col("h"))).over(own.orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1))
+    h = h.withColumn("before", crowd)
+    crossing = h.select("h", "rep", "root", "n", "before").repartition(n, "h").sortWithinPartitions("h", "root", "rep").mapInArrow(_crossing, PAIR)
     second = confirmed(d, cut(crossing.distinct()))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
     of = rep.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("group_id"))

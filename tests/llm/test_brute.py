@@ -97,7 +97,7 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("limits", [{}, {"ALL_PAIRS": 1, "NEAREST": 1, "HOT": 2}, {"RADIUS": -1, "COMMON": 2, "PAIRS_AT_ONCE": 3, "BLOCK_BYTES": 64}])
+@pytest.mark.parametrize("limits", [{}, {"ALL_PAIRS": 1, "NEAREST": 1, "HOT": 2}, {"RADIUS": -1, "COMMON": 2, "PAIRS_AT_ONCE": 3, "BLOCK_BYTES": 64, "CROWD": 2, "BEFORE": 3}])
 def test_near_stage(spark, monkeypatch, limits):
     """Also with every bucket a large one, and with a first search that finds nothing, so that the exact one finds all."""
     for name, value in limits.items():
