@@ -17,7 +17,10 @@ class of n shingles gives its a + k smallest hashes, where a = n - ceil(0.8 n) m
 missing from a partner and k = ``DEPTH`` a + 1, at least, must be shared. Only hashes that two classes
 hold go on; a class with fewer of these than its smallest partner asks for has no
 partner. Of the others, the rarest go into buckets, as many as must hold a shared one.
-A bucket gives its pairs between different components whose sizes allow the similarity.
+A bucket of fewer than ``CROWD`` classes gives its pairs between different components whose
+sizes allow the similarity. A larger one gives no pairs: its members go with their sets to
+tiles, which compare them there, once for all the crowds that two classes are both in, and
+give links that join components.
 
 Candidates are compared in tiles: classes are dealt into blocks of bounded bytes, a tile
 is a pair of blocks, and a set of shingles goes once to each tile that needs it. A tile
@@ -56,8 +59,7 @@ COMMON = 1 << 20
 #: Sets of one block; a task holds two blocks.
 BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 8
 PAIRS_AT_ONCE = 1 << 20
-#: A hash of so many classes or more is one of a crowd: their pairs may meet again and again, so each class tells
-#: which hashes of crowds (the first ``BEFORE``) it met the others in before.
+#: The classes of a hash that so many have are a crowd. A class tells in which crowds, the first ``BEFORE``, it was before.
 CROWD, BEFORE = 64, 32
 MASK = np.array(masks(RADIUS), dtype=np.int64).view(np.uint64)
 
@@ -264,41 +266,20 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs between different components whose sizes allow the similarity, over rows ``h, rep, root, n, before`` sorted
-    by h. A pair that met in a bucket of ``before`` of both isn't given again."""
-
-    def found(rep: np.ndarray, root: np.ndarray, n: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        _, of, size = np.unique(root, return_inverse=True, return_counts=True)
-        if len(size) < 2:
-            return
-        # The largest component comes last: its members need no look at each other.
-        order = np.argsort(of == size.argmax(), kind="stable")
-        rep, root, n, before = rep[order], root[order], n[order], before[order]
-        met: dict[int, list[int]] = {}
-        for i, own in enumerate(before):
-            for t in own:
-                met.setdefault(t, []).append(i)
-        at = {t: np.array(v) for t, v in met.items()}
-        for i in range(len(rep) - int(size.max())):
-            ok = (root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) >= SIMILARITY * np.maximum(n[i + 1 :], n[i]) - 1e-9)
-            for t in before[i]:
-                ok[at[t][at[t] > i] - i - 1] = False
-            j = i + 1 + np.flatnonzero(ok)
-            yield np.full(len(j), rep[i]), rep[j], np.full(len(j), root[i]), root[j]
+    """Pairs between different components whose sizes allow the similarity, over rows ``h, rep, root, n`` sorted by h."""
 
-    def lists(column: pa.Array) -> np.ndarray:
-        out = np.empty(len(column), dtype=object)
-        out[:] = column.to_pylist() or out
-        return out
+    def found(rep: np.ndarray, root: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        for i in range(len(rep) - 1):
+            j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & sizes_allow(n[i + 1 :], n[i]))
+            yield np.full(len(j), rep[i]), rep[j], np.full(len(j), root[i]), root[j]
 
     parts, count = [[], [], [], []], 0
-    held = [*[np.zeros(0, np.int64)] * 4, np.empty(0, dtype=object)]
+    held = [np.zeros(0, np.int64)] * 4
     for batch in batches:
-        new = [*(batch.column(c).to_numpy() for c in ("h", "rep", "root", "n")), lists(batch.column("before"))]
-        rows = [np.concatenate(x) for x in zip(held, new, strict=True)]
+        rows = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("h", "rep", "root", "n"), strict=True)]
         cuts = np.concatenate([[0], np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1])
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            for more in found(*(x[lo:hi] for x in rows[1:])) if hi - lo > 1 else ():
+            for more in found(*(x[lo:hi] for x in rows[1:])):
                 count += len(more[0])
                 for p, m in zip(parts, more, strict=True):
                     p.append(m)
@@ -312,10 +293,81 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pairs(*parts)
 
 
+def sizes_allow(n, m):
+    return np.minimum(n, m) >= SIMILARITY * np.maximum(n, m) - 1e-9
+
+
+def meet(rep: np.ndarray, root: np.ndarray, block: np.ndarray, before: list[list[int]], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Links that join the components of one tile of a crowd. Every pair between two components (between the two blocks, if there
+    are two) is compared, but for pairs that met in an earlier crowd, one of ``before`` of both."""
+    _, of, count = np.unique(root, return_inverse=True, return_counts=True)
+    # The largest component comes last: its members need no look at each other.
+    order = np.argsort(of == count.argmax(), kind="stable")
+    rep, root, block, before, sets = rep[order], root[order], block[order], [before[i] for i in order], [sets[i] for i in order]
+    n = np.array([len(s) for s in sets])
+    _, terms = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(n) - n
+    mark, two = np.zeros(terms.max() + 1, dtype=np.int32), block.min() != block.max()
+    met: dict[int, list[int]] = {}
+    for i, own in enumerate(before):
+        for t in own:
+            met.setdefault(t, []).append(i)
+    at = {t: np.array(v) for t, v in met.items()}
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    a, b = [], []
+    for i in range(len(rep) - int(count.max())):
+        ok = (root != root[i]) & sizes_allow(n, n[i])
+        ok[: i + 1] = False
+        if two:
+            ok &= block != block[i]
+        for t in before[i]:
+            ok[at[t]] = False
+        if not ok.any():
+            continue
+        mine = terms[starts[i] : starts[i] + n[i]]
+        mark[mine] = 1
+        same = np.add.reduceat(mark[terms], starts)
+        mark[mine] = 0
+        for j in np.flatnonzero(ok & (same >= SIMILARITY * (n + n[i] - same) - 1e-9)):
+            x, y = top(int(root[i])), top(int(root[j]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                a.append(int(rep[i]))
+                b.append(int(rep[j]))
+    return a, b
+
+
+def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of crowds over rows ``h, tile, block, rep, root, before, s`` sorted by h and tile."""
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        a, b = [], []
+        if len({r[4] for r in rows}) > 1:
+            block, rep, root = (np.array([r[i] for r in rows], dtype=np.int64) for i in (2, 3, 4))
+            a, b = meet(rep, root, block, [r[5] for r in rows], [np.frombuffer(r[6], np.uint64) for r in rows])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("h", "tile", "block", "rep", "root", "before", "s")), strict=True):
+            if held and held[0][:2] != row[:2]:
+                yield out(held)
+                held = []
+            held.append(row)
+    yield out(held)
+
+
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sets, sorted, are similar."""
     small, large = (x, y) if len(x) <= len(y) else (y, x)
-    if not len(small) or len(small) < SIMILARITY * len(large) - 1e-9:
+    if not len(small) or not sizes_allow(len(small), len(large)):
         return False
     at = np.minimum(np.searchsorted(large, small), len(large) - 1)
     same = int((large[at] == small).sum())
@@ -357,11 +409,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_set(t).tobytes() for t in _texts(b)], pa.binary())], ["id", "s"])
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, s`` of the documents ``doc_id`` of ``ids``."""
+    return cut(docs.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(_sets, "id long, s binary").dropDuplicates(["id"]))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links ``a, b`` that join the components of all similar pairs among ``a, b, ra, rb``."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = cut(docs.join(used, "doc_id", "left_semi").mapInArrow(_sets, "id long, s binary").dropDuplicates(["id"]))
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = sets.agg(F.sum(F.length("s"))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-size // BLOCK_BYTES))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
@@ -372,26 +427,41 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut(rows.repartition(n, "tile").sortWithinPartitions("tile", F.asc_nulls_first("b")).mapInArrow(_tiles, "a long, b long"))
 
 
+def crowd_links(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` among the members ``h, rep, root, n, before`` of crowds, dealt into blocks of bounded bytes."""
+    n = int(crowd.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = crowd.groupBy("h").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
+    c = crowd.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
+    c = c.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    c = c.withColumn("tile", F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other"))
+    rows = c.select("h", "tile", "block", "rep", "root", "before").join(sets.withColumnRenamed("id", "rep"), "rep").select("h", "tile", "block", "rep", "root", "before", "s")
+    return cut(rows.repartition(n, "h", "tile").sortWithinPartitions("h", "tile", "rep").mapInArrow(_crowds, "a long, b long"))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """``doc_id, group_id`` for each document with an id: its group's smallest doc_id."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id IS NOT NULL")
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("doc_id"))
     c = cut(d.mapInArrow(_classes, "doc_id long, key binary, k long, fp long"))
     rep = cut(c.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("k").alias("k"), F.first("fp").alias("fp")))
     b = rep.select("rep", "fp").mapInArrow(_buckets, "bucket long, fp long, rep long")
     near = cut(b.repartition(n, "bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_candidates, PAIR).distinct())
-    roots = cut(components(confirmed(d, near)))
+    roots = cut(components(confirmed(near, shingle_sets(d, ends(near)))))
     now = rep.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k", "rep", F.coalesce("root", "rep").alias("root"))
     h = d.select("text").mapInArrow(_prefixes, "h long, k long, n long")
     h = h.repartition(n, "h").sortWithinPartitions("h", "k").mapInArrow(_shared, "h long, k long, n long, need long, df long")
     own = Window.partitionBy("rep")
     h = h.join(now, "k").withColumn("have", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "h"))).where("place <= have - need + 1")
     h = h.withColumn("alone", F.count_if(F.col("df") < CROWD).over(own))
-    crowd = F.collect_list(F.when((F.col("place") > F.col("alone")) & (F.col("place") <= F.col("alone") + BEFORE), F.col("h"))).over(own.orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1))
-    h = h.withColumn("before", crowd)
-    crossing = h.select("h", "rep", "root", "n", "before").repartition(n, "h").sortWithinPartitions("h", "root", "rep").mapInArrow(_crossing, PAIR)
-    second = confirmed(d, cut(crossing.distinct()))
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
+    earlier = F.when((F.col("place") > F.col("alone")) & (F.col("place") <= F.col("alone") + BEFORE), F.col("h"))
+    h = h.withColumn("before", F.collect_list(earlier).over(own.orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)))
+    h = cut(h.select("h", "df", "rep", "root", "n", "before"))
+    crowd, few = h.where(F.col("df") >= CROWD), h.where(F.col("df") < CROWD)
+    second = cut(few.select("h", "rep", "root", "n").repartition(n, "h").sortWithinPartitions("h").mapInArrow(_crossing, PAIR).distinct())
+    sets = shingle_sets(d, ends(second).union(crowd.select("rep")))
+    links = confirmed(second, sets).unionByName(crowd_links(crowd, sets))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
     of = rep.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("group_id"))
     return c.select("doc_id", "key").join(of, "key").select("doc_id", "group_id")
 

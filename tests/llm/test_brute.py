@@ -132,6 +132,21 @@ def test_dense_bucket_gives_few_pairs():
     assert len({frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)}) >= n - 1
 
 
+def test_crowd_links():
+    """A tile joins exactly the components that have similar members, with a link fewer than components."""
+    r = np.random.default_rng(7)
+    base = r.integers(0, 2**40, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[k:], r.integers(0, 2**40, k).astype(np.uint64)])) for k in r.integers(0, 16, 80)]
+    rep, root, block = np.arange(80), np.concatenate([np.zeros(40, int), np.arange(40, 80)]), r.integers(0, 2, 80)
+    before = [[1] if i % 5 == 0 else [] for i in range(80)]
+    one = lambda pairs: groups_plain(range(80), lambda i, j: (i, j) in pairs or (j, i) in pairs or root[i] == root[j])
+    for blocks in (block, block * 0):
+        want = {(i, j) for i in range(80) for j in range(80) if root[i] != root[j] and near_dedup.similar(sets[i], sets[j]) and (blocks[i] != blocks[j] or not blocks.any()) and not (i % 5 == 0 == j % 5)}
+        a, b = near_dedup.meet(rep, root, blocks, before, sets)
+        assert all(x in want for x in zip(a, b, strict=True)) and len(a) <= 40
+        assert one(want) == one(set(zip(a, b, strict=True)))
+
+
 def test_shared_hashes(monkeypatch):
     """Over batches cut anywhere: all rows of hashes that two classes hold, with one number for a hash."""
     r = np.random.default_rng(7)
