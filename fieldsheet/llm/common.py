@@ -30,10 +30,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Make sure checkpoint() has a folder: the session's own, else a local one (tests)."""
+    """Make sure checkpoint() has a folder: the session's own; on one machine, as in tests, a new one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

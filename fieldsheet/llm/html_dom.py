@@ -10,13 +10,15 @@ from __future__ import annotations
 import re
 from html import unescape
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""", re.S)
+#: Comments, declarations and tags. A quote opens a value only after ``=``; what isn't closed goes to the end of the
+#: page. Nothing is tried twice, so broken pages take no longer.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?)*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label|data-keep)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose content is no text of the page.
-SILENT = frozenset("script style template noscript head title iframe object svg annotation annotation-xml".split())
+SILENT = frozenset("script style template noscript head title iframe svg annotation annotation-xml".split())
 #: What may stand in a head; the start tag of anything else, or text, ends it.
 IN_HEAD = frozenset("title meta link base basefont bgsound script style noscript noframes template head html".split())
 MATH = frozenset("math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split())
@@ -52,13 +54,13 @@ class Page:
                 ends[i] = len(tags)
                 silent -= tags[i] in SILENT
 
-        def text(piece: str) -> None:
+        def text(piece: str, raw: bool = False) -> None:
             if tags[stack[-1]] == "head" and piece.strip():
                 close(len(stack) - 1)
             if piece and not silent:
                 self.text_owner.append(stack[-1])
                 self.text_block.append(block)
-                self.texts.append(unescape(piece) if "&" in piece else piece)
+                self.texts.append(unescape(piece) if "&" in piece and not raw else piece)
 
         while at < n:
             m = TOKEN.search(html, at)
@@ -111,8 +113,8 @@ class Page:
             silent += name in SILENT
             if name in RAW:
                 stop = re.compile(rf"</{name}\s*/?>", re.I).search(html, at)
-                if name == "textarea":
-                    text(html[at : stop.start() if stop else n])
+                if name in ("textarea", "xmp"):
+                    text(html[at : stop.start() if stop else n], name == "xmp")
                 at = stop.end() if stop else n
                 close(len(stack) - 1)
         close(0)

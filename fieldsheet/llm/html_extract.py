@@ -53,7 +53,7 @@ DROP_TAGS, KEEP_TAGS = {1, 2, 4, 5}, {0}
 class Batch:
     """Arrays over the elements of many pages, and their features."""
 
-    def __init__(self, pages: list[Page]) -> None:
+    def __init__(self, pages: list[Page], training: bool = False) -> None:
         self.pages = pages
         self.sizes = np.array([len(p.tags) for p in pages])
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
@@ -81,7 +81,7 @@ class Batch:
                         good[i] = bool(w & GOOD)
                         for k, b in enumerate(BAD):
                             bad[k, i] = bool(w & b)
-                    if keep:
+                    if keep and training:
                         self.keep[i] = int(keep)
                 i += 1
         self.text = self._sub(self.own)
@@ -165,7 +165,7 @@ class Batch:
 @lru_cache(maxsize=1)
 def model() -> Boosted:
     rng = random.Random(SEED)
-    b = Batch([Page(page(rng)) for _ in range(TRAIN_PAGES)])
+    b = Batch([Page(page(rng)) for _ in range(TRAIN_PAGES)], training=True)
     use = b.text > 0
     return Boosted().fit(b.x[use], b.targets()[use], np.sqrt(1 + np.log1p(b.text[use])))
 

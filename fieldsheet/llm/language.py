@@ -8,9 +8,12 @@ its language's own sample; phrases times log2(length of the sample) over symbols
 bits a symbol, which compare. A phrase of a very short sample costs ``LEAST_BITS``.
 
 The greedy walk only moves forward, so an automaton becomes a table: from state
-and symbol to the next state and to whether a phrase ended. Texts are cut into
-blocks of ``BLOCK`` symbols at which a phrase ends too, for every language alike,
-and all blocks of a batch walk together, a table lookup a symbol.
+and symbol to the next state and to whether a phrase ended. All texts of a batch
+walk together through all automata, a table lookup a symbol.
+
+The alphabet has a symbol for each of the ``DIRECT`` commonest letters of the samples and
+one for all between words; any other letter is spelt in hexadecimal, its UTF-16 units as
+four symbols each, so that no two letters fall together, however many a script has.
 
 The fit uses a bounded sample: ``DOCS`` documents a language (smallest hashes of
 doc_id), ``SYMBOLS`` symbols of them. Everything else covers whole texts.
@@ -23,7 +26,9 @@ from every text is ``und``; rows repeat as in the input; other columns are ignor
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +41,9 @@ from .quality import fold
 
 FOLDS, HELD_OUT = 5, 0
 DOCS, SYMBOLS = 48, 24_000
-ALPHABET, BLOCK = 64, 256
-MIN_LANGUAGE_DOCS = 1
+#: Symbols: 0 between words, 16 digits of letters that are spelt, and the commonest letters.
+ALPHABET, DIGITS, DIRECT = 64, 16, 47
+SPELT = 255
 #: No phrase is cheaper, or a sample of a few symbols would describe any text in next to no bits.
 LEAST_BITS = 10.0
 
@@ -84,42 +90,57 @@ class Automaton:
         to = np.vstack([np.where(t < 0, start[None, :], t), start[None, :]])
         self.table = (to * 2 + ended).astype(np.int32).ravel()
 
-    def phrases(self, columns: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each block; ``columns`` holds symbol i of every block, the blocks by falling length."""
-        state = np.zeros(columns.shape[1], dtype=np.int32)
-        count = np.ones(columns.shape[1], dtype=np.int32)
-        alive = np.searchsorted(-lengths, -np.arange(columns.shape[0]), side="left")
-        for i, n in enumerate(alive):
-            if not n:
-                break
-            to = self.table[(state[:n] << 6) + columns[i, :n]]
-            count[:n] += to & 1
-            state[:n] = to >> 1
-        return count
+
+
+def phrases(tables: list[np.ndarray], flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Phrases of each text by each automaton; text i is ``flat[starts[i]:][:lengths[i]]``, the texts by falling length."""
+    offset = np.cumsum([0] + [len(t) for t in tables[:-1]])[:, None]
+    table = np.concatenate(tables)
+    state = np.zeros((len(tables), len(starts)), dtype=np.int64)
+    count = np.ones((len(tables), len(starts)), dtype=np.int64)
+    alive = np.searchsorted(-lengths, -np.arange(int(lengths.max(initial=0))), side="left")
+    for i, n in enumerate(alive.tolist()):
+        to = table[(state[:, :n] << 6) + flat[starts[:n] + i] + offset]
+        count[:, :n] += to & 1
+        state[:, :n] = to >> 1
+    return count
+
+
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Which UTF-16 units are letters, or marks on them; halves of surrogate pairs count."""
+    return np.array([unicodedata.category(chr(c))[0] in "LM" or 0xD800 <= c < 0xE000 for c in range(65536)])
 
 
 def alphabet(texts: list[str]) -> np.ndarray:
-    """Symbol of each code point of the BMP: the commonest letters of the sample by frequency, one for
-    any other letter, one for all between words."""
-    points = np.array([ord(c) for t in texts for c in t.lower()], dtype=np.int64)
-    points = points[points < 65536]
-    found, n = np.unique(points, return_counts=True)
-    letters = [int(c) for c in found[np.argsort(-n, kind="stable")] if chr(c).isalpha()][: ALPHABET - 2]
-    out = np.zeros(65536, dtype=np.uint8)
+    """The symbol of each UTF-16 unit; ``SPELT`` for letters that are spelt."""
+    units = np.frombuffer("".join(texts).lower().encode("utf-16-le", "surrogatepass"), dtype=np.uint16)
+    found, n = np.unique(units[letters()[units]], return_counts=True)
+    common = {int(c): 1 + DIGITS + i for i, c in enumerate(found[np.argsort(-n, kind="stable")][:DIRECT])}
+    out = np.where(letters(), SPELT, 0).astype(np.uint8)
     for c in range(65536):
         low = chr(c).lower()
-        if low.isalpha():
-            out[c] = 1
-            if len(low) == 1 and ord(low) in letters:
-                out[c] = 2 + letters.index(ord(low))
+        if out[c] and len(low) == 1 and ord(low) in common:
+            out[c] = common[ord(low)]
     return out
 
 
 def encode(text: str, symbols: np.ndarray) -> np.ndarray:
-    """Letters as symbols, what is between words as one 0; surrogate pairs read as two other letters."""
-    s = symbols[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype=np.uint16)]
-    s = s[(s > 0) | (np.concatenate([[1], s[:-1]]) > 0)] if len(s) else s
-    return s
+    """Letters as symbols, what is between words as one 0."""
+    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype=np.uint16)
+    s = symbols[units]
+    if (s == SPELT).any():  # letters that are spelt are spelt in lower case
+        units = np.frombuffer(text.lower().encode("utf-16-le", "surrogatepass"), dtype=np.uint16)
+        s = symbols[units]
+    keep = (s > 0) | (np.concatenate([[1], s[:-1]]) > 0) if len(s) else s > 0
+    s, units = s[keep], units[keep]
+    spelt = s == SPELT
+    if not spelt.any():
+        return s
+    at = np.repeat(np.arange(len(s)), np.where(spelt, 4, 1))
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    digit = (units[at] >> (12 - 4 * place).astype(np.uint16)) & 15
+    return np.where(spelt[at], 1 + digit, s[at]).astype(np.uint8)
 
 
 class Model:
@@ -146,18 +167,10 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         coded = [encode(t, self.symbols) if t else np.zeros(0, np.uint8) for t in texts]
         sizes = np.array([len(c) for c in coded], dtype=np.int64)
-        blocks = -(-sizes // BLOCK)
-        phrases = np.zeros((len(self.langs), len(texts)))
-        if blocks.sum() and self.langs:
-            owner = np.repeat(np.arange(len(texts)), blocks)
-            starts = np.repeat(np.cumsum(sizes) - sizes, blocks) + BLOCK * (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-            lengths = np.minimum(BLOCK, np.repeat(np.cumsum(sizes), blocks) - starts)
-            by = np.argsort(-lengths, kind="stable")
-            owner, starts, lengths = owner[by], starts[by], lengths[by]
-            flat = np.concatenate([*coded, np.zeros(BLOCK, np.uint8)])
-            columns = flat[starts[None, :] + np.arange(BLOCK)[:, None]]
-            for k, a in enumerate(self.automata):
-                phrases[k] = np.bincount(owner, weights=a.phrases(columns, lengths), minlength=len(texts))
+        found = np.zeros((len(self.langs), len(texts)))
+        if sizes.sum() and self.langs:
+            by = np.argsort(-sizes, kind="stable")
+            found[:, by] = phrases([a.table for a in self.automata], np.concatenate(coded), (np.cumsum(sizes) - sizes)[by], sizes[by])
         cost = np.maximum(np.log2(np.maximum(self.lengths, 2)), LEAST_BITS)
         out, score = [], []
         for i, t in enumerate(texts):
@@ -165,7 +178,7 @@ class Model:
                 out.append("und")
                 score.append(0.0)
                 continue
-            bits = phrases[:, i] * cost / max(1, sizes[i])
+            bits = found[:, i] * cost / max(1, sizes[i])
             best = int(np.argmin(bits))
             rest = np.exp2(-4 * (bits - bits[best]) * min(1.0, sizes[i] / 64))
             out.append(self.langs[best])

@@ -22,8 +22,8 @@ kinds are resolved for no revisit; repeated rows repeat; other columns are ignor
 
 from __future__ import annotations
 
-import gzip
 import re
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
@@ -146,17 +146,33 @@ def to_warc(records: DataFrame, column: str = "warc") -> DataFrame:
     return pick(records, *RECORD, *extra).mapInArrow(run, f"record_id long, {column} binary")
 
 
+def _gunzip(data: bytes) -> bytes:
+    out = bytearray()
+    while data[:2] == b"\x1f\x8b":
+        one = zlib.decompressobj(wbits=31)
+        try:
+            out += one.decompress(data) + one.flush()
+        except zlib.error:
+            break
+        data = one.unused_data
+    return bytes(out)
+
+
 def parse_warc(data: bytes) -> Iterator[dict]:
-    """The records of one file; a gzip file is one member a record or one for all."""
+    """The records of one file; a gzip file is one member a record or one for all, and of a damaged one what comes
+    before the damage. A record whose length is missing or no number goes up to the next record."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = _gunzip(data)
     at = 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])}
-        n = int(head.get("content-length") or 0)
+        if (length := head.get("content-length", "")).isascii() and length.isdigit():
+            n = int(length)
+        else:
+            n = max(0, data.find(b"\r\n\r\nWARC/1.", end + 4) - end - 4) if data.find(b"\r\n\r\nWARC/1.", end + 4) >= 0 else len(data) - end - 4
         block = data[end + 4 : end + 4 + n]
         http, _, payload = block.partition(b"\r\n\r\n")
         headers = {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in http.decode("utf-8", "replace").split("\r\n")[1:]) if sep}

@@ -90,3 +90,42 @@ def test_decontamination_probes(spark):
     d = spark.createDataFrame([(None, mia, None, None, 1), (None, "x", None, None, 1)], DOC)
     b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert [(x.doc_id, x.item_id) for x in decontamination.contaminated(d, b).collect()] == [(None, 0)]
+
+
+def test_many_scripts_and_rare_labels():
+    r = random.Random(22)
+    first = {"zh": 0x4E00, "ja": 0x5200, "ko": 0xAC00, "hi": 0x0904, "xx": 0x10400, "en": 97}
+    words = {k: ["".join(chr(c + r.randrange(26 if k == "en" else 38)) for _ in range(r.randint(2, 5))) for _ in range(200)] for k, c in first.items()}
+    say = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    model = language.Model({k: [say(k, 80) for _ in range(20)] for k in words} | {"rare": ["ok"], "odd": [chr(0x1F600) * 3]})
+    test = [(k, say(k, 20)) for k in words for _ in range(20)]
+    got, score = model.predict([t for _, t in test])
+    assert np.mean([g == k for g, (k, _) in zip(got, test, strict=True)]) >= 0.98 and min(score) >= 0
+    units = language.encode("\u4e00\u4e01 \u4e00", model.symbols)
+    assert len({units[i : i + 4].tobytes() for i in (0, 4)}) == 2 or len(units) < 12
+
+
+def test_broken_markup():
+    read = lambda h: " ".join("".join(Page(h).texts).split())
+    assert read("<p title=it's>Hello world. It's fine</p>") == "Hello world. It's fine"
+    assert read("<p><a href=foo?x=\"y>one</a> two") == "one two"
+    assert read("<p a='>' b=\">\" c>one <b x='unclosed> two") == "one"
+    assert read("<p>a <xmp><b>&amp;</b></xmp> c <object>d</object> 1 < 2") == "a <b>&amp;</b> c d 1 < 2"
+    for bad in ('<a "', '<a ="', "<a x='", "<!--", "<a =", "<script>"):
+        Page(bad * 60_000)
+    text = "A long sentence, of the article itself. " * 20
+    assert html_extract.extract([f"<body><article data-keep=yes><p>{text}</p></article>"], html_extract.model()) == [text.strip()]
+
+
+def test_damaged_warc():
+    import gzip
+
+    def record(n, length):
+        return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-record:{n}>\r\nWARC-Target-URI: http://a/\r\n{length}\r\n\r\nHTTP/1.1 200 OK\r\nA: b\r\n\r\nbody\r\n\r\n".encode()
+
+    good = "Content-Length: 31"
+    data = b"".join(record(n, x) for n, x in enumerate((good, "Content-Length: x", "Content-Length: -5", "X: y", good)))
+    assert [(x["record_id"], x["payload"].strip()) for x in warc.parse_warc(data)] == [(n, "body") for n in range(5)]
+    zipped = b"".join(gzip.compress(record(n, good)) for n in range(3))
+    assert [x["record_id"] for x in warc.parse_warc(zipped)] == [0, 1, 2]
+    assert [x["record_id"] for x in warc.parse_warc(zipped[:-30])][:2] == [0, 1]

@@ -395,10 +395,12 @@ def test_language(spark):
     train = [r.randrange(1, 6) for _ in range(400)]
     a = language.Automaton(train)
     joined = "".join(map(str, train))
-    for n in (1, 7, 100, 256):
-        s = [r.randrange(0, 7) for _ in range(n)]
-        cols = np.array(s, dtype=np.uint8)[:, None]
-        assert a.phrases(cols, np.array([n]))[0] == longest_phrases("".join(map(str, s)), joined)
+    other = language.Automaton(train[:50])
+    texts = [[r.randrange(0, 7) for _ in range(n)] for n in (1000, 256, 100, 7, 1)]
+    sizes = np.array([len(s) for s in texts])
+    got = language.phrases([a.table, other.table], np.array(sum(texts, []), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes)
+    for k, t in enumerate((joined, joined[:50])):
+        assert got[k].tolist() == [longest_phrases("".join(map(str, s)), t) for s in texts]
     sets = {"xx": ["ka", "to", "mi", "re"], "yy": ["str", "ong", "ley", "ish"], "zz": ["éau", "que", "ont", "ère"]}
     say = lambda k, n: " ".join("".join(r.choice(sets[k]) for _ in range(3)) for _ in range(n))
     rows = [(i, say(k := "xyz"[i % 3] * 2, r.randint(5, 200)), k, "s") for i in range(300)]
@@ -418,7 +420,7 @@ def test_html_extraction():
     want = []
     for h in pages:
         p = Page(h)
-        b = html_extract.Batch([p])
+        b = html_extract.Batch([p], training=True)
         state, blocks = [0] * len(p.tags), {}
         for i, k in enumerate(b.keep.tolist()):
             state[i] = k if k >= 0 else state[p.parents[i]] if i else 0
