@@ -7,9 +7,9 @@ shingles is 0.8 or more. Groups are the connected components; the smallest doc_i
 First search: a class gets a 64-bit SimHash fingerprint over its words, weighted by
 1 + log of their number; covering masks of radius 5 bring every pair within 5 bits
 together. A bucket of up to ``ALL_PAIRS`` classes gives all its pairs within the
-radius; a larger one gives a spanning forest of them and each member's ``NEAREST``
-nearest, so rows stay in proportion to its size. Candidates are compared exactly. This
-joins nearly all near copies, but no radius is a guarantee at similarity 0.8.
+radius, a larger one each member's nearest, so rows stay in proportion to its size.
+Candidates are compared exactly. This joins most near copies, but no radius is a guarantee
+at similarity 0.8, and a member may be similar to others than its nearest.
 
 Second search, exact, for pairs of classes in different components of the first: of two
 similar sets, the parts with the smallest hashes must share shingles (prefix filter). A
@@ -51,7 +51,7 @@ from .simhash import HOT, masks, shingles
 
 SHINGLE, SIMILARITY = 5, 0.8
 SEED, RADIUS = 42, 5
-ALL_PAIRS, NEAREST = 64, 8
+ALL_PAIRS = 8
 #: How many more shingles than the one that must be shared the exact search asks for, as a share of those that may be missing.
 DEPTH = 0.25
 #: Rows of one hash held before it counts as common; it is common for all its rows then.
@@ -135,26 +135,15 @@ def _near(here: int, fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.nd
     a, b = [], []
     for lo in range(0, len(fp), HOT):
         f, r = fp[lo : lo + HOT], rep[lo : lo + HOT]
-        seen = np.zeros(len(f), dtype=bool)
-        front: list[int] = []
-        for start in range(len(f)):
-            if not seen[start]:
-                seen[start] = True
-                front.append(start)
-            while front:  # a spanning forest, and on the way each one's nearest
-                i = front.pop()
-                far = np.bitwise_count(f ^ f[i])
-                far[i] = 255
-                near = np.flatnonzero(far <= RADIUS)
-                new = near[~seen[near]]
-                seen[new] = True
-                front += new.tolist()
-                if len(near) > NEAREST:
-                    near = near[np.argpartition(far[near], NEAREST)[:NEAREST]]
-                near = near[first_here(f[near], np.full(len(near), f[i]), here)]
-                for to in (new, near):
-                    a.append(np.full(len(to), r[i]))
-                    b.append(r[to])
+        to = np.arange(len(f))
+        for i in range(len(f)):
+            far = np.bitwise_count(f ^ f[i])
+            far[i] = 255
+            j = int(far.argmin())  # of ties the first, so that many members choose the same
+            to[i] = j if far[j] <= RADIUS else i
+        near = np.flatnonzero(first_here(f, f[to], here))
+        a.append(r[near])
+        b.append(r[to[near]])
     return np.concatenate(a), np.concatenate(b)
 
 
