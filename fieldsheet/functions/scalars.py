@@ -184,3 +184,10 @@ def parse_edit(kind: Column, raw: Column) -> dict[str, Column]:
         "num": F.when(kind.isin("number", "coordsys", "text"), number),
         "txt": F.when(kind == "time", norm_hm(t)).when(kind == "date", date).when((kind == "text") & number.isNull(), F.nullif(t, F.lit(""))),
     }
+
+
+def xml_escape(text: Column) -> Column:
+    """A text as XML writes it, also within an attribute; line ends are kept by their number."""
+    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    return text

@@ -129,14 +129,15 @@ def vib_items(cells: DataFrame) -> DataFrame:
     return h.select("sheet_id", _levels([("C34", "Lvd(10)", "日間"), ("I34", "Lvn(10)", "夜間")], L.VIBRATION_UNIT, vib_method()))
 
 
-def vib_mates(records: DataFrame, vibration: DataFrame) -> DataFrame:
+def vib_mates(records: DataFrame, vibration: DataFrame, order: str = "sheet_id") -> DataFrame:
     """Vibration records with what the first noise record of the same site and day has and they lack.
 
-    Null dates match null dates. The build side is one row a site and day, taken by
-    an aggregation, so that records without dates don't multiply."""
-    first = records.groupBy("station_raw", "date_start").agg(F.min_by(F.struct("coord_sys", "x", "y", "license"), "sheet_id").alias("mate"))
-    m = first.select(F.col("station_raw").alias("_site"), F.col("date_start").alias("_date"), "mate")
-    v = vibration.join(m, F.col("station_raw").eqNullSafe(F.col("_site")) & F.col("date_start").eqNullSafe(F.col("_date")), "left")
+    Both have their canonical ``site`` (``master.match_station``), so an alias on one of
+    two sheets finds its mate. Null dates match null dates. The build side is one row a
+    site and day, taken by an aggregation, so that records without dates don't multiply."""
+    first = records.groupBy("site", "date_start").agg(F.min_by(F.struct("coord_sys", "x", "y", "license"), order).alias("mate"))
+    m = first.select(F.col("site").alias("_site"), F.col("date_start").alias("_date"), "mate")
+    v = vibration.join(m, F.col("site").eqNullSafe(F.col("_site")) & F.col("date_start").eqNullSafe(F.col("_date")), "left")
     for k in ("coord_sys", "x", "y", "license"):
         v = v.withColumn(k, F.coalesce(F.col(k), F.col(f"mate.{k}")))
     return v.withColumn("has_mate", F.col("mate").isNotNull()).drop("_site", "_date", "mate")

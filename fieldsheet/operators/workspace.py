@@ -53,8 +53,9 @@ def missing_message(site: Column, item: Column, index: Column) -> Column:
     return F.when(index.isNull(), site).otherwise(F.concat(F.coalesce(site, F.lit("")), F.lit(" / "), name))
 
 
-def ingest(cells: DataFrame, modules: tuple[str, ...] = ("water", "air", "noise")) -> DataFrame:
-    """The records of all recognised sheets with what modules share: one lazy plan for all modules."""
+def ingest(cells: DataFrame, modules: tuple[str, ...] = ("water", "air", "noise"), stations: DataFrame | None = None) -> DataFrame:
+    """The records of all recognised sheets with what modules share: one lazy plan for all modules. The key
+    is made of the canonical ``site``, so that a record under an alias is the same record."""
     from . import cells as C
     from . import extract as E
 
@@ -64,4 +65,9 @@ def ingest(cells: DataFrame, modules: tuple[str, ...] = ("water", "air", "noise"
     all_heads = heads[0].select(*cols)
     for h in heads[1:]:
         all_heads = all_heads.unionByName(h.select(*cols))
-    return routed.where("module IS NOT NULL").join(all_heads, "sheet_id").withColumn("key", S.record_key(F.col("module"), F.col("station_raw"), F.col("date_start")))
+    site = F.col("station_raw")
+    if stations is not None:
+        names = master.station_names(stations).select(F.col("match_name").alias("station_raw"), F.col("name").alias("_name"))
+        all_heads, site = all_heads.join(names, "station_raw", "left"), F.coalesce("_name", "station_raw")
+    out = routed.where("module IS NOT NULL").join(all_heads.select(*cols, site.alias("site")), "sheet_id")
+    return out.withColumn("key", S.record_key(F.col("module"), F.col("site"), F.col("date_start")))

@@ -112,9 +112,9 @@ def flt_unrouted_warn(s, d):
     return r.select("sheet_id", F.concat(F.lit("sheet "), F.col("sheet_id").cast("string"), F.lit(": no module recognises it")).alias("message"))
 
 
-@query("flt_single_module", duck("noise") + _ROUTE + "SELECT sheet_id, coalesce(module = 'water', FALSE) AS accepted FROM rt")
+@query("flt_single_module", duck("noise") + _ROUTE + "SELECT sheet_id, coalesce(module = 'noise', FALSE) AS accepted FROM rt")
 def flt_single_module(s, d):
-    return C.route(noise(s, d), ("water",)).select("sheet_id", F.col("module").isNotNull().alias("accepted"))
+    return C.route(noise(s, d), ("noise",)).select("sheet_id", F.col("module").isNotNull().alias("accepted"))
 
 
 @query("src_admit_files", "WITH f AS (SELECT p_partkey, p_name || CASE p_partkey % 5 WHEN 0 THEN '.XLS' WHEN 1 THEN '.xlsx' WHEN 2 THEN '.xlsm' WHEN 3 THEN '.csv' ELSE '.xlsx.pdf' END AS file FROM part) SELECT p_partkey, file, regexp_matches(lower(file), '\\.(xls|xlsx|xlsm)$') AS accepted FROM f")
@@ -171,13 +171,22 @@ def jn_fill_coords(s, d):
     return M.match_station(E.noise_heads(noise(s, d)), sp).select("sheet_id", "coord_sys", "x", "y", "y_via")
 
 
-_MATE = "m AS (SELECT station_raw, date_start, min(sheet_id) AS mate FROM nh GROUP BY ALL) "
+# Two suppliers are one site: each name is an alias of it.
+_SITE = "sp AS (SELECT s_name AS alias, 'SITE-' || (s_suppkey // 2) AS name FROM supplier), ns AS (SELECT nh.*, coalesce(name, station_raw) AS site FROM nh LEFT JOIN sp ON station_raw = alias), vs AS (SELECT vh.*, coalesce(name, station_raw) AS site FROM vh LEFT JOIN sp ON station_raw = alias)"
 
 
-@query("jn_vib_mate", O.noise("").rstrip() + ",\n" + _MATE + "SELECT vh.sheet_id, vh.station_raw, vh.date_start, nh.coord_sys, nh.x, nh.y, nh.license, m.mate IS NOT NULL AS has_mate FROM vh LEFT JOIN m ON m.station_raw = vh.station_raw AND m.date_start IS NOT DISTINCT FROM vh.date_start LEFT JOIN nh ON nh.sheet_id = m.mate")
+def sites(s, d):
+    none = lambda t: F.lit(None).cast(t)
+    p = s.read.parquet(f"{d}/supplier.parquet").withColumn("name", F.concat(F.lit("SITE-"), F.floor(F.col("s_suppkey") / 2).cast("string")))
+    return p.groupBy("name").agg(F.min("s_suppkey").alias("ord"), F.sort_array(F.collect_set("s_name")).alias("aliases")).select(
+        "ord", "name", "aliases", none("int").alias("coord_sys"), none("double").alias("x"), none("double").alias("y"), none("string").alias("last_end_time"))
+
+
+@query("jn_vib_mate", O.noise("").rstrip() + f",\n{_SITE}, m AS (SELECT site, date_start, min(sheet_id) AS mate FROM ns GROUP BY ALL) SELECT vs.sheet_id, vs.station_raw, vs.site, vs.date_start, ns.coord_sys, ns.x, ns.y, ns.license, m.mate IS NOT NULL AS has_mate FROM vs LEFT JOIN m ON m.site = vs.site AND m.date_start IS NOT DISTINCT FROM vs.date_start LEFT JOIN ns ON ns.sheet_id = m.mate")
 def jn_vib_mate(s, d):
-    c = noise(s, d)
-    return E.vib_mates(E.noise_heads(c), E.vib_heads(c)).select("sheet_id", "station_raw", "date_start", "coord_sys", "x", "y", "license", "has_mate")
+    c, st = noise(s, d), sites(s, d)
+    v = E.vib_mates(M.match_station(E.noise_heads(c), st), M.match_station(E.vib_heads(c), st))
+    return v.select("sheet_id", "station_raw", "site", "date_start", "coord_sys", "x", "y", "license", "has_mate")
 
 
 @query("win_first_match", duck("stations") + f",{O.STATION} SELECT match_name, name FROM sm")
@@ -442,13 +451,19 @@ for _name, _expr, _sql in (
     ("flt_blank", lambda: S.is_blank(F.col("s")), f"s IS NULL OR {O.tr('s')} = ''"),
     ("fn_json_copy", lambda: F.to_json(F.struct("id", F.col("n").alias("n"))), "'{\"id\":' || id || ',\"n\":' || n || '}'"),
     ("fn_crc32", lambda: F.crc32(F.col("hm").cast("binary")), None),
-    ("fn_xml_escape", lambda: F.replace(F.replace(F.replace(F.concat("s", F.lit("<&>")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), "replace(replace(replace(s || '<&>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"),
+    ("fn_xml_escape", lambda: S.xml_escape(F.concat("s", F.lit('<&>"\n'))), "replace(replace(replace(replace(replace(s || '<&>\"' || chr(10), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(10), '&#10;')"),
     ("fn_edit_parse", lambda: F.to_json(F.struct(*[v.alias(k) for k, v in S.parse_edit(F.lit("time"), F.col("hm")).items()])), "CASE WHEN regexp_matches(replace(hm, '：', ':'), '^([01]?[0-9]|2[0-3]):[0-5][0-9]$') THEN '{\"txt\":\"' || lpad(split_part(replace(hm, '：', ':'), ':', 1), 2, '0') || ':' || split_part(replace(hm, '：', ':'), ':', 2) || '\"}' ELSE '{}' END"),
 ):
     QUERIES[_name] = lambda s, d, f=_expr: texts(s, d).select("id", f().alias("value"))
     if _sql:
         SQL[_name] = _TXT + f"SELECT id, {_sql} AS value FROM t"
 
+# CRC-32 by its table, made from the polynomial, byte by byte.
+SQL["fn_crc32"] = _TXT.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + """, tab(i, n, c) AS (SELECT range, 0, CAST(range AS BIGINT) FROM range(256) UNION ALL SELECT i, n + 1, CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END FROM tab WHERE n < 8),
+t8 AS (SELECT i, c FROM tab WHERE n = 8), u AS (SELECT id, hex(encode(hm)) AS h FROM t),
+r(id, h, p, c) AS (SELECT id, h, 0, CAST(4294967295 AS BIGINT) FROM u UNION ALL SELECT r.id, r.h, r.p + 1, xor(t8.c, r.c >> 8) FROM r JOIN t8 ON t8.i = xor(r.c & 255, CAST('0x' || substr(r.h, r.p * 2 + 1, 2) AS BIGINT)) WHERE r.p * 2 < length(r.h))
+SELECT id, xor(c, CAST(4294967295 AS BIGINT)) AS value FROM r WHERE p * 2 = length(h)"""
+
 # The workspace.
 simple("prj_vib_header", lambda s, d: E.vib_heads(noise(s, d)), "sheet_id, station_raw, category, date_start, time_start, date_end, time_end, ctrl_std, ctrl_zone, env_std, freq_range", O.noise, "vh")
 
@@ -493,9 +508,9 @@ def fn_missing_message(s, d):
     return m.select("sheet_id", "item_idx", "key", K.missing_message(F.col("site"), F.col("item_name"), F.col("item_idx")).alias("message"))
 
 
-@query("src_ingest_all", O.noise("").rstrip() + ", a AS (SELECT sheet_id, 'noise' AS module, station_raw, category, date_start, license FROM nh UNION ALL SELECT sheet_id, 'noise', station_raw, category, date_start, NULL FROM vh) SELECT sheet_id, module, station_raw, category, date_start, license, CASE WHEN station_raw <> '' AND date_start <> '' THEN module || '|' || station_raw || '|' || date_start END AS key FROM a")
+@query("src_ingest_all", O.noise("").rstrip() + f", {_SITE}, a AS (SELECT sheet_id, 'noise' AS module, station_raw, site, category, date_start, license FROM ns UNION ALL SELECT sheet_id, 'noise', station_raw, site, category, date_start, NULL FROM vs) SELECT sheet_id, module, station_raw, site, category, date_start, license, CASE WHEN site <> '' AND date_start <> '' THEN module || '|' || site || '|' || date_start END AS key FROM a")
 def src_ingest_all(s, d):
-    return K.ingest(noise(s, d)).select("sheet_id", "module", "station_raw", "category", "date_start", "license", "key")
+    return K.ingest(noise(s, d), stations=sites(s, d)).select("sheet_id", "module", "station_raw", "site", "category", "date_start", "license", "key")
 
 
 @query("agg_sheet_dimension", O.water("SELECT sheet_id, max(row_no) AS last_row, max(ascii(col) - 64) AS last_col, count(*) AS n FROM cells WHERE num IS NOT NULL OR txt IS NOT NULL GROUP BY sheet_id"))

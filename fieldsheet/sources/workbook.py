@@ -31,7 +31,7 @@ def read_workbook(name: str, data: bytes) -> Iterator[tuple]:
     """The cells of one file as rows of ``SCHEMA``."""
     try:
         yield from list(_read_zip(name, data) if data.startswith(b"PK") else _read_legacy(name, data))
-    except (xls.Unreadable, zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, struct.error) as x:
+    except (xls.Unreadable, zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError, TypeError, AttributeError, struct.error) as x:
         yield (name, None, None, None, None, None, None, None, None, f"can't be read: {x}")
 
 
@@ -47,14 +47,14 @@ def _read_zip(name: str, data: bytes) -> Iterator[tuple]:
         shared = []
         if "xl/sharedStrings.xml" in have:
             for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{MAIN}si"):
-                shared.append("".join(t.text or "" for t in si.iter(f"{MAIN}t")))
+                # Readings of characters (phonetic runs) are no part of the text.
+                shared.append("".join(t.text or "" for x in si if x.tag != f"{MAIN}rPh" for t in x.iter(f"{MAIN}t")))
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")).iter(f"{PACKAGE}Relationship")}
         for i, s in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{MAIN}sheet")):
             path = targets[s.get(f"{REL}id")].lstrip("/")
             path = path if path.startswith("xl/") else f"xl/{path}"
-            for c in ElementTree.fromstring(z.read(path)).iter(f"{MAIN}c"):
-                addr, kind = c.get("r"), c.get("t", "n")
-                col, row = re.match(r"([A-Z]+)(\d+)", addr).groups()
+            for addr, col, row, c in _cells(ElementTree.fromstring(z.read(path))):
+                kind = c.get("t", "n")
                 v = c.find(f"{MAIN}v")
                 if kind == "inlineStr":
                     value = "".join(t.text or "" for t in c.iter(f"{MAIN}t"))
@@ -63,28 +63,41 @@ def _read_zip(name: str, data: bytes) -> Iterator[tuple]:
                 else:
                     value = shared[int(v.text)] if kind == "s" else ("false", "true")[v.text == "1"] if kind == "b" else v.text
                 if kind == "n":
-                    yield (name, i, s.get("name"), addr, col, int(row), "n", float(value), None, None)
+                    yield (name, i, s.get("name"), addr, col, row, "n", float(value), None, None)
                 else:
-                    yield (name, i, s.get("name"), addr, col, int(row), "s", None, value, None)
+                    yield (name, i, s.get("name"), addr, col, row, "s", None, value, None)
+
+
+def _cells(sheet: ElementTree.Element) -> Iterator[tuple]:
+    """``addr, col, row, cell``; a row or cell without an address follows the one before it."""
+    row = 0
+    for r in sheet.iter(f"{MAIN}row"):
+        row, n = int(r.get("r") or row + 1), 0
+        for c in r.iter(f"{MAIN}c"):
+            col = re.match(r"[A-Z]+", c.get("r") or column_name(n + 1))[0]
+            n = 0
+            for x in col:
+                n = n * 26 + ord(x) - 64
+            yield f"{col}{row}", col, row, c
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """All cells of the workbooks under ``path`` (any store that Spark reads), with a sheet id made of
-    file and sheet, so that it is the same in every run."""
+    the file's whole path and the sheet, so that it is the same in every run and another folder's isn't."""
     from pyspark.sql import functions as F
 
     def run(batches):
         import pyarrow as pa
 
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.string()]
+        names = ["path", *[x.split()[0] for x in SCHEMA.split(", ")]]
+        types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.string()]
         for b in batches:
             for name, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                rows = list(read_workbook(name.rpartition("/")[2], data.as_py()))
+                rows = [(name, *r) for r in read_workbook(name.rpartition("/")[2], data.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
     files = spark.read.format("binaryFile").load(path).where(F.col("path").rlike(ACCEPTED))
-    return files.select("path", "content").mapInArrow(run, SCHEMA).withColumn("sheet_id", F.xxhash64("file_name", "sheet_name"))
+    return files.select("path", "content").mapInArrow(run, "path string, " + SCHEMA).withColumn("sheet_id", F.xxhash64("path", "sheet_name")).drop("path")
 
 
 def column_name(n: int) -> str:

@@ -133,3 +133,31 @@ def test_merge_and_overlay_properties(spark):
     ed = spark.createDataFrame([("u", "k", None, 2), ("u", "k", "v1", 1)], "uid string, key string, new_value string, seq long")
     it = spark.createDataFrame([("u", "k", "old", "parsed"), ("u", "j", "old", "parsed")], "uid string, key string, value string, src string")
     assert {(r.key, r.value, r.src) for r in master.overlay(it, ed).collect()} == {("k", None, "manual"), ("j", "old", "parsed")}
+
+
+def test_cells_without_addresses(spark, tmp_path):
+    """Cells follow one another where addresses are left out, readings aren't text, damage is a note, and equal
+    names in two folders are two files."""
+    import zipfile
+
+    from fieldsheet.sources import workbook
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+    def write(path, sheet):
+        path.parent.mkdir(exist_ok=True)
+        with zipfile.ZipFile(path, "w") as z:
+            z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+            z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>水</t><rPh sb='0' eb='1'><t>スイ</t></rPh></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>")
+            z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{sheet}</sheetData></worksheet>")
+
+    rows = '<row><c t="s"><v>0</v></c><c><v>2</v></c></row><row r="5"><c r="C5" t="s"><v>1</v></c><c><v>7</v></c></row><row><c><v>9</v></c></row>'
+    write(tmp_path / "one" / "w.xlsx", rows)
+    write(tmp_path / "two" / "w.xlsx", rows)
+    write(tmp_path / "two" / "bad.xlsx", '<row><c r="A1"><v>no number</v></c></row>')
+    got = workbook.read_cells(spark, str(tmp_path / "*")).collect()
+    want = {("A1", None, "水"), ("B1", 2.0, None), ("C5", None, "ab"), ("D5", 7.0, None), ("A6", 9.0, None)}
+    assert {(x.addr, x.num, x.txt) for x in got if not x.note} == want
+    assert len({x.sheet_id for x in got if not x.note}) == 2
+    assert [x.file_name for x in got if x.note] == ["bad.xlsx"]
