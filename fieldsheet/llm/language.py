@@ -9,7 +9,9 @@ bits a symbol, which compare. A phrase of a very short sample costs ``LEAST_BITS
 
 The greedy walk only moves forward, so an automaton becomes a table: from state
 and symbol to the next state and to whether a phrase ended. All texts of a batch
-walk together through all automata, a table lookup a symbol.
+walk together through all automata, a table lookup a symbol. In a text of more than
+``BLOCK`` symbols a phrase ends after every so many too, for every language alike, so
+that a few very long texts don't walk alone.
 
 The alphabet has a symbol for each of the ``DIRECT`` commonest letters of the samples and
 one for all between words; any other letter is spelt in hexadecimal, its UTF-16 units as
@@ -44,6 +46,7 @@ DOCS, SYMBOLS = 48, 24_000
 #: Symbols: 0 between words, 16 digits of letters that are spelt, and the commonest letters.
 ALPHABET, DIGITS, DIRECT = 64, 16, 47
 SPELT = 255
+BLOCK = 2048
 #: No phrase is cheaper, or a sample of a few symbols would describe any text in next to no bits.
 LEAST_BITS = 10.0
 
@@ -169,8 +172,13 @@ class Model:
         sizes = np.array([len(c) for c in coded], dtype=np.int64)
         found = np.zeros((len(self.langs), len(texts)))
         if sizes.sum() and self.langs:
-            by = np.argsort(-sizes, kind="stable")
-            found[:, by] = phrases([a.table for a in self.automata], np.concatenate(coded), (np.cumsum(sizes) - sizes)[by], sizes[by])
+            blocks = -(-sizes // BLOCK)
+            owner = np.repeat(np.arange(len(texts)), blocks)
+            starts = np.repeat(np.cumsum(sizes) - sizes, blocks) + BLOCK * (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+            lengths = np.minimum(BLOCK, np.repeat(np.cumsum(sizes), blocks) - starts)
+            by = np.argsort(-lengths, kind="stable")
+            for k, n in enumerate(phrases([a.table for a in self.automata], np.concatenate(coded), starts[by], lengths[by])):
+                found[k] = np.bincount(owner[by], weights=n, minlength=len(texts))
         cost = np.maximum(np.log2(np.maximum(self.lengths, 2)), LEAST_BITS)
         out, score = [], []
         for i, t in enumerate(texts):
