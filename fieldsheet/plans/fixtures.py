@@ -95,6 +95,16 @@ FX["imports"] = """
 im AS (SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) AS import_id, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) * 1000 + 7 AS ts, o_orderkey AS uid, o_custkey, o_orderkey % 40 AS site_no,
   CASE o_orderkey % 3 WHEN 0 THEN 'air' WHEN 1 THEN 'water' ELSE 'noise' END AS module, CASE WHEN month(o_orderdate) % 3 = 0 THEN 'exported' ELSE 'draft' END AS status, CAST(month(o_orderdate) % 2 AS INT) * 4 AS missing_count,
   CASE month(o_orderdate) % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'P1' END AS project_code, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'S' || CAST(o_custkey % 400 AS STRING) END AS site, substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 6) AS day FROM {orders})"""
+FX["forms"] = """
+ff AS (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 9 = 4 THEN 'delete' ELSE 'put' END AS op, CASE WHEN o_orderkey % 4 > 0 THEN c_name END AS original,
+  CASE o_orderkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN c_name || ' moved' ELSE ' ' || c_name || ' ' END AS name, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'P1' END AS project_code, CASE WHEN o_orderkey % 2 = 0 THEN '2' END AS coord_sys,
+  CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN ' 12.5 ' ELSE '250000' END AS x, CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE '2750000.5' END AS y,
+  CASE o_orderkey % 6 WHEN 0 THEN '9:05' WHEN 1 THEN '25:00' WHEN 2 THEN '' ELSE '10：30' END AS last_end_time, 'a, b，,c' || CAST(o_orderkey % 3 AS STRING) AS aliases
+  FROM {orders} JOIN {customer} ON o_custkey = c_custkey)"""
+FX["editor"] = """
+er AS (SELECT l_orderkey * 10 + l_linenumber AS seq, 't' || CAST(l_orderkey % 500 AS STRING) AS name, l_orderkey % 2 = 0 AS numeric,
+  CASE l_partkey % 6 WHEN 0 THEN ' ' ELSE ' k' || CAST(l_partkey % 40 AS STRING) END AS k,
+  CASE WHEN l_partkey % 6 = 0 AND l_suppkey % 2 = 0 THEN '' WHEN l_orderkey % 500 < 200 AND l_suppkey % 9 = 0 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'x' ELSE ' ' END ELSE ' ' || CAST(l_suppkey AS STRING) || '.5' END AS v FROM {lineitem})"""
 
 
 def duck(*names: str) -> str:

@@ -11,6 +11,7 @@ from ..functions import lookups as L
 from ..functions import scalars as S
 from ..operators import cells as C
 from ..operators import extract as E
+from ..operators import manage as G
 from ..operators import master as M
 from ..operators import report as R
 from ..operators import workspace as K
@@ -532,3 +533,89 @@ def set_sheet_names(s, d):
 def fn_number_format(s, d):
     k = F.col("p_partkey") % 4
     return s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), K.number_format(F.when(k == 0, "h:mm;@").when(k == 1, "mm-dd-yy").when(k == 2, ";@0")).alias("value"))
+
+
+# Master data as people edit it.
+_HM = lambda x: f"CASE WHEN regexp_matches(replace({x}, '：', ':'), '^([01]?[0-9]|2[0-3]):[0-5][0-9]$') THEN lpad(split_part(replace({x}, '：', ':'), ':', 1), 2, '0') || ':' || split_part(replace({x}, '：', ':'), ':', 2) END"
+_FORMS = duck("stations", "forms") + f""", fo AS (SELECT *, {O.tr('name')} AS nm, {O.num('x')} AS nx, {O.num('y')} AS ny, {_HM('last_end_time')} AS hm FROM ff),
+fe AS (SELECT *, CASE WHEN nm = '' THEN 'name' WHEN last_end_time <> '' AND hm IS NULL THEN 'time' WHEN (x <> '' AND nx IS NULL) OR (y <> '' AND ny IS NULL) THEN 'coordinates' END AS error FROM fo) """
+
+
+def forms(s, d):
+    return frame(s, d, "forms", "ff")
+
+
+@query("val_station_form", _FORMS + "SELECT seq, nm AS name, error, CASE WHEN original <> nm THEN original END AS gone FROM fe WHERE op = 'put'")
+def val_station_form(s, d):
+    return G.station_forms(forms(s, d).where("op = 'put'")).select("seq", "name", "error", "gone")
+
+
+@query("mgt_stations", _FORMS + """, ev AS (SELECT name, -1 AS seq, 0 AS step, true AS there, project_code, coord_sys, x, y, last_end_time, alias1 || '|' || alias2 AS aliases FROM st
+UNION ALL SELECT original, seq, 1, false, NULL, NULL, NULL, NULL, NULL, NULL FROM fe WHERE op = 'delete' OR (error IS NULL AND original <> nm)
+UNION ALL SELECT nm, seq, 2, true, nullif(project_code, ''), CAST(coord_sys AS INT), nx, ny, hm, 'a|b|' || right(aliases, 2) FROM fe WHERE op = 'put' AND error IS NULL),
+l AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq DESC, step DESC) AS rn FROM ev WHERE name IS NOT NULL) SELECT name, project_code, coord_sys, x, y, last_end_time, aliases FROM l WHERE rn = 1 AND there""")
+def mgt_stations(s, d):
+    f = forms(s, d)
+    gone = f.where("op = 'delete'").select("seq", F.col("original").alias("gone"))
+    return G.save(stations(s, d).select(*G.STATION), G.station_forms(f.where("op = 'put'")), "name", gone).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+_ROWS = "CASE o_orderkey % 5 WHEN 0 THEN '[[1,2,3,4,5,6,7,8]]' WHEN 1 THEN '[[1,2]]' WHEN 2 THEN '' WHEN 3 THEN '[]' ELSE '{' END"
+_PROJECTS = f"SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS original, CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE 'C' || o_custkey END AS code, {_ROWS} AS basic_rows, CASE WHEN o_orderkey % 7 = 0 THEN '2026/1/1' WHEN o_orderkey % 7 = 1 THEN '' ELSE '2026-01-31' END AS construction_date FROM "
+
+
+@query("mgt_projects", "WITH f AS (" + _PROJECTS + """orders), fe AS (SELECT *, CASE WHEN code = ' ' THEN 'code' WHEN construction_date LIKE '%/%' THEN 'date' WHEN basic_rows IN ('[[1,2]]', '{') THEN 'rows' END AS error FROM f),
+ev AS (SELECT DISTINCT o_orderpriority AS code, -1 AS seq, 0 AS step, true AS there, NULL AS construction_date, NULL AS basic_rows FROM orders UNION ALL SELECT original, seq, 1, false, NULL, NULL FROM fe WHERE error IS NULL AND original IS NOT NULL
+UNION ALL SELECT code, seq, 2, true, nullif(construction_date, ''), nullif(basic_rows, '') FROM fe WHERE error IS NULL),
+l AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY seq DESC, step DESC) AS rn FROM ev) SELECT code, construction_date, basic_rows FROM l WHERE rn = 1 AND there""")
+def mgt_projects(s, d):
+    f = s.read.parquet(f"{d}/orders.parquet").selectExpr(*[f"{e} AS {n}" for n, e in (
+        ("seq", "o_orderkey"), ("original", "CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END"), ("code", "CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE 'C' || CAST(o_custkey AS STRING) END"), ("basic_rows", _ROWS),
+        ("construction_date", "CASE WHEN o_orderkey % 7 = 0 THEN '2026/1/1' WHEN o_orderkey % 7 = 1 THEN '' ELSE '2026-01-31' END"))])
+    rest = {c: F.lit(None).cast("string") for c in G.PROJECT if c not in f.columns}
+    old = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderpriority").alias("code")).distinct().withColumns({c: F.lit(None).cast("string") for c in G.PROJECT[1:]})
+    return G.save(old, G.project_forms(f.withColumns(rest)), "code").select("code", "construction_date", "basic_rows")
+
+
+_TABLE = duck("editor") + f""", t AS (SELECT name, seq, numeric, {O.tr('k')} AS k, {O.tr('v')} AS v FROM er), u AS (SELECT *, CASE WHEN numeric THEN {O.num('v')} IS NULL ELSE v = '' END AS bad FROM t WHERE k <> '' OR v <> ''),
+l AS (SELECT *, row_number() OVER (PARTITION BY name, k ORDER BY seq DESC, v DESC) AS rn FROM u WHERE name NOT IN (SELECT name FROM u WHERE bad)), tr AS (SELECT name, k, CASE WHEN numeric THEN {O.num('v')} END AS num, CASE WHEN NOT numeric THEN v END AS txt FROM l WHERE rn = 1) """
+
+
+@query("fn_table_rows", _TABLE + "SELECT * FROM tr")
+def fn_table_rows(s, d):
+    return G.table_rows(frame(s, d, "editor", "er"))
+
+
+@query("mgt_tables", _TABLE + """, de AS (SELECT DISTINCT 't' || p_size AS name, p_brand AS k, p_type AS v FROM part), sv AS (SELECT DISTINCT name, 3 AS version FROM tr), old AS (SELECT DISTINCT 't' || p_size AS name, 'data' AS part, p_brand AS k, 'old' AS v, 1 AS base_version FROM part)
+SELECT * FROM old WHERE name NOT IN (SELECT name FROM sv) UNION ALL SELECT name, 'data', k, txt, version FROM tr JOIN sv USING (name) UNION ALL SELECT name, 'base', k, v, version FROM de JOIN sv USING (name)""")
+def mgt_tables(s, d):
+    rows = G.table_rows(frame(s, d, "editor", "er"))
+    part = s.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("t"), F.col("p_size").cast("string")).alias("name"), F.col("p_brand").alias("k"), F.col("p_type").alias("v")).distinct()
+    old = part.select("name", F.lit("data").alias("part"), "k", F.lit("old").alias("v"), F.lit(1).alias("base_version")).distinct()
+    return G.save_tables(old, rows.select("name", "k", F.col("txt").alias("v")), part, rows.select("name").distinct().withColumn("version", F.lit(3)))
+
+
+@query("mgt_reopen", duck("imports") + " SELECT import_id, uid, module, site, coalesce(nullif(project_code, ''), 'P9') AS project_code FROM im WHERE import_id = 199602")
+def mgt_reopen(s, d):
+    return G.reopen(frame(s, d, "imports", "im").withColumn("warnings", F.lit("w")), 199602, "P9").select("import_id", "uid", "module", "site", "project_code")
+
+
+@query("mgt_delete_imports", duck("imports") + " SELECT import_id, count(*) AS n FROM im WHERE status <> 'exported' GROUP BY 1")
+def mgt_delete_imports(s, d):
+    im = frame(s, d, "imports", "im")
+    return G.delete_imports(im, im.where("status = 'exported'")).groupBy("import_id").agg(F.count("*").alias("n"))
+
+
+@query("snk_drafts", duck("imports") + """, old AS (SELECT DISTINCT import_id, ts, 'air' AS module, 'old' AS project_code, 9 AS missing_count, 'draft' AS status FROM im), r AS (SELECT * FROM im WHERE import_id % 2 = 0),
+f AS (SELECT import_id, module, min(uid) AS ord FROM r GROUP BY 1, 2), g AS (SELECT import_id, string_agg(module, '+' ORDER BY ord) AS module FROM f GROUP BY 1), n AS (SELECT DISTINCT import_id, ts, project_code, missing_count, status FROM r)
+SELECT import_id, ts, module, project_code, missing_count, status FROM n JOIN g USING (import_id) UNION ALL SELECT * FROM old WHERE import_id % 2 = 1""")
+def snk_drafts(s, d):
+    im = frame(s, d, "imports", "im")
+    old = im.select("import_id", "ts", F.lit("air").alias("module"), F.lit("old").alias("project_code"), F.lit(9).alias("missing_count"), F.lit("draft").alias("status")).distinct()
+    return G.save_drafts(old, im.where("import_id % 2 = 0").withColumn("ord", F.col("uid")))
+
+
+@query("srt_import_order", O.water("SELECT sheet_id, item_idx, -(sheet_id % 100) AS file_ord, sheet_id AS sheet_ord FROM wit ORDER BY file_ord, sheet_ord, item_idx"))
+def srt_import_order(s, d):
+    i = E.water_items(water_body(s, d)).select("sheet_id", "item_idx")
+    return G.in_import_order(i, i.select("sheet_id", (-(F.col("sheet_id") % 100)).alias("file_ord"), F.col("sheet_id").alias("sheet_ord")).distinct())
