@@ -20,13 +20,24 @@ def lookup(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def water_heads(cells: DataFrame, sample_types: dict = L.SAMPLE_TYPES) -> DataFrame:
-    h = header(cells, WATER_HEAD)
+def mapped(df: DataFrame, key: Column, out: str, tables: DataFrame | None, module: str, name: str) -> DataFrame:
+    """``out``: what the module's table ``name`` has for ``key``, null if it has nothing. Without ``tables`` that is the
+    default as an expression; else it is joined from rows ``module, name, k, v`` (``master.override``), of one key's rows
+    the smallest value. Numbers stay numbers: a text in a table of numbers gives null."""
+    default = L.DEFAULT_TABLES[module, name]
+    if tables is None:
+        return df.withColumn(out, lookup(default, key))
+    kind = "int" if isinstance(next(iter(default.values())), int) else "string"
+    t = tables.where((F.col("module") == module) & (F.col("name") == name)).groupBy(F.col("k").alias("_key")).agg(F.min(F.col("v").try_cast(kind)).alias(out))
+    return df.withColumn("_key", key).join(t, "_key", "left").drop("_key")
+
+
+def water_heads(cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    h = mapped(header(cells, WATER_HEAD), text("B11"), "mapped", tables, "water", "sampleTypeMap")
     date, time = S.roc_date(any_text("J9"), any_text("K9"), any_text("L9")), S.hour_minute(any_text("M9"), any_text("N9"))
     both = date.isNotNull() & time.isNotNull()
-    mapped = lookup(sample_types, text("B11"))
     return h.where(text("A3").contains("水質檢測報告")).select(
-        "sheet_id", text("F8").alias("station_raw"), F.coalesce(mapped, text("B11")).alias("category"), mapped.isNotNull().alias("category_mapped"),
+        "sheet_id", text("F8").alias("station_raw"), F.coalesce("mapped", text("B11")).alias("category"), F.col("mapped").isNotNull().alias("category_mapped"),
         F.when(both, date).alias("date_start"), F.when(both, time).alias("time_start"), F.when(both, date).alias("date_end"), S.license_no(text("A2")).alias("license"),
     )
 
@@ -43,17 +54,19 @@ def water_rows(cells: DataFrame) -> DataFrame:
     return rows.where(f"n = row_no - {FIRST_ITEM - 1} AND remark = 0").withColumn("item_idx", (F.col("n") - 1).cast("int")).drop("n", "remark")
 
 
-def water_items(cells: DataFrame) -> DataFrame:
+def water_items(cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     r = water_rows(cells)
     s = lambda k: F.coalesce(S.trim(F.coalesce(F.col(f"{k}_t"), S.number_text(F.col(f"{k}_n")))), F.lit(""))
     # Columns that are read many times below stay columns, so each text is read once.
     r = r.withColumns({"t": S.trim(F.col("C_t")), "value": S.water_value(F.col("C_n"), F.col("C_t")), "e": s("E"), "f": s("F")})
+    for key, out, name in (("name", "known_name", "itemNameMap"), ("e", "unit_code", "unitCodes"), ("name", "method", "methodOverrides")):
+        r = mapped(r, F.col(key), out, tables, "water", name)
     value = S.censor_water(F.col("C_n"), F.col("C_t"), F.col("t"), F.col("value"))
     return r.select(
         "sheet_id", "item_idx", "row_no", F.col("name").alias("raw_name"), F.col("e").alias("unit_raw"), F.col("f").alias("raw_method"),
-        F.coalesce(lookup(L.ITEM_NAMES, F.col("name")), F.col("name")).alias("item_name"), lookup(L.WATER_UNITS, F.col("e")).alias("unit_code"),
+        F.coalesce("known_name", "name").alias("item_name"), "unit_code",
         *[c.alias(k) for k, c in value.items()], F.col("D_n").alias("mdl_num"), S.mdl_text(F.col("D_t")).alias("mdl_txt"),
-        S.method_code(F.col("name"), F.col("f"), lookup(L.METHOD_OVERRIDES, F.col("name"))).alias("method_out"),
+        S.method_code(F.col("name"), F.col("f"), F.col("method")).alias("method_out"),
     )
 
 
@@ -65,7 +78,7 @@ def air_heads(cells: DataFrame) -> DataFrame:
     good = lambda c: F.when(~ok, c)
     site = S.trim(S.extract(text("M6"), r"監測地點[：:]\s*(.+)"))
     return h.select(
-        "sheet_id", F.coalesce(site, text("M6")).alias("station_raw"), F.lit(L.AIR_CATEGORY).alias("category"),
+        "sheet_id", F.coalesce(site, text("M6")).alias("station_raw"), site.isNotNull().alias("site_found"), F.lit(L.AIR_CATEGORY).alias("category"),
         good(F.concat((i("A19") + 1911).cast("string"), F.lit("/"), i("A22").cast("string"), F.lit("/"), i("A25").cast("string"))).alias("date_start"),
         good(F.concat(S.pad2(hour), F.lit(":00"))).alias("time_start"),
         good(F.concat((i("A30") + 1911).cast("string"), F.lit("-"), S.pad2(i("A33")), F.lit("-"), S.pad2(i("A36")))).alias("date_end"),
@@ -73,16 +86,18 @@ def air_heads(cells: DataFrame) -> DataFrame:
     )
 
 
-def air_items(cells: DataFrame) -> DataFrame:
+def air_items(cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """All items of the plan for every sheet, whether they have a reading or not."""
     h = header(cells, AIR_HEAD).where(text("A2").contains("空氣品質檢測報告") | text("S2").contains("空氣品質檢測報告"))
     limit = S.to_number(S.extract(text("Q45"), r"MDL[：:]\s*([\d.]+)"))
     plan = F.array(*[F.struct(F.lit(i).alias("item_idx"), F.lit(n).alias("item_name"), F.col(f"{c}_n").alias("num"), F.col(f"{c}_s").alias("txt"), F.when(F.lit(m is not None), limit).alias("limit")) for i, (n, c, m) in enumerate(L.AIR_PLAN)])
     t = h.select("sheet_id", F.inline(plan))
+    for out, name in (("unit_code", "unitMap"), ("method_out", "methodMap")):
+        t = mapped(t, F.col("item_name"), out, tables, "air", name)
     v = S.censor_air(F.col("num"), F.col("txt"))
     return t.select(
-        "sheet_id", "item_idx", "item_name", lookup(L.AIR_UNITS, F.col("item_name")).alias("unit_code"), v["compare"].alias("compare"), v["value_num"].alias("value_num"), v["value_txt"].alias("value_txt"),
-        F.when(v["nd"], F.col("limit")).alias("mdl_num"), lookup(L.AIR_METHODS, F.col("item_name")).alias("method_out"), v["missing"].alias("missing"),
+        "sheet_id", "item_idx", "item_name", "unit_code", v["compare"].alias("compare"), v["value_num"].alias("value_num"), v["value_txt"].alias("value_txt"),
+        F.when(v["nd"], F.col("limit")).alias("mdl_num"), "method_out", v["missing"].alias("missing"),
     )
 
 
@@ -91,15 +106,20 @@ def _levels(cells: list[tuple[str, str, str]], unit: int, method: Column) -> Col
     return F.inline(F.array(*[F.struct(F.lit(i).alias("item_idx"), F.lit(k).alias("char_type"), F.lit(p).alias("period"), level(a).alias("value_num"), F.lit(unit).alias("unit_code"), method.alias("method_out")) for i, (a, k, p) in enumerate(cells)]))
 
 
-def noise_heads(cells: DataFrame) -> DataFrame:
-    h = header(cells, NOISE_HEAD).where(text("C41").contains("L日") & ~text("A3").contains("環境振動測定報告"))
+def constants(h: DataFrame, tables: DataFrame | None) -> DataFrame:
+    """The two constants of noise sheets, which can be edited like any table."""
+    return mapped(mapped(h, F.lit("管制標準"), "ctrl_std", tables, "noise", "constMap"), F.lit("頻率範圍(噪音)"), "freq_range", tables, "noise", "constMap")
+
+
+def noise_heads(cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    h = constants(header(cells, NOISE_HEAD), tables).where(text("C41").contains("L日") & ~text("A3").contains("環境振動測定報告"))
     x, y = (F.coalesce(F.col(f"{a}_n"), S.to_number(F.col(f"{a}_s"))) for a in ("T13", "T14"))
     category = F.nullif(text("B8"), F.lit(""))
     date = S.roc_dot(text("L8"))
     return h.select(
         "sheet_id", text("B11").alias("station_raw"), category.alias("category"), date.alias("date_start"), F.lit("00:00").alias("time_start"), date.alias("date_end"), F.lit("23:59").alias("time_end"),
-        F.when(x.isNotNull() & y.isNotNull(), 3).alias("coord_sys"), x.alias("x"), y.alias("y"), F.lit(L.NOISE_CONSTANTS["管制標準"]).alias("ctrl_std"),
-        S.zone(text("A47")).alias("ctrl_zone"), S.env_std(category, text("A47")).alias("env_std"), F.lit(L.NOISE_CONSTANTS["頻率範圍(噪音)"]).alias("freq_range"), S.license_no(text("N3")).alias("license"),
+        F.when(x.isNotNull() & y.isNotNull(), 3).alias("coord_sys"), x.alias("x"), y.alias("y"), "ctrl_std",
+        S.zone(text("A47")).alias("ctrl_zone"), S.env_std(category, text("A47")).alias("env_std"), "freq_range", S.license_no(text("N3")).alias("license"),
     )
 
 
@@ -114,12 +134,12 @@ def vib_method() -> Column:
     return F.coalesce(*[S.niea(text(f"B{r}")) for r in range(36, 43)])
 
 
-def vib_heads(cells: DataFrame) -> DataFrame:
-    h = header(cells, VIB_HEAD).where(text("A3").contains("環境振動測定報告"))
+def vib_heads(cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    h = constants(header(cells, VIB_HEAD), tables).where(text("A3").contains("環境振動測定報告"))
     date, none = S.roc_dot(text("J6")), F.lit(None)
     return h.select(
         "sheet_id", text("B5").alias("station_raw"), F.lit("振動").alias("category"), date.alias("date_start"), F.lit("00:00").alias("time_start"), date.alias("date_end"), F.lit("23:59").alias("time_end"),
-        none.cast("int").alias("coord_sys"), none.cast("double").alias("x"), none.cast("double").alias("y"), F.lit(L.NOISE_CONSTANTS["管制標準"]).alias("ctrl_std"),
+        none.cast("int").alias("coord_sys"), none.cast("double").alias("x"), none.cast("double").alias("y"), "ctrl_std",
         F.lit("無").alias("ctrl_zone"), F.lit(0).alias("env_std"), F.lit("無").alias("freq_range"), none.cast("int").alias("license"),
     )
 

@@ -43,8 +43,9 @@ def missing(records: DataFrame, items: DataFrame, module: str) -> DataFrame:
         keys = [c.key for c in COLUMNS[module] if c.required and c.level == level]
         idx = F.col("item_idx").cast("int") if level == "item" else F.lit(None).cast("int")
         value = lambda k: F.coalesce(F.col("value_num").cast("string"), F.col("value_txt")) if k == "value" and "value_txt" in df.columns else F.col("value_num").cast("string") if k == "value" else F.col(k).cast("string") if k in df.columns else F.lit(None).cast("string")
-        blanks = F.array(*[F.when(S.is_blank(value(k)), F.lit(k)) for k in keys])
-        return df.select("sheet_id", idx.alias("item_idx"), F.explode(F.array_compact(blanks)).alias("key"))
+        # The test is above the generator, so each field is worked out once.
+        fields = F.array(*[F.struct(F.lit(k).alias("key"), value(k).alias("v")) for k in keys])
+        return df.select("sheet_id", idx.alias("item_idx"), F.inline(fields)).where(S.is_blank(F.col("v"))).drop("v")
 
     return melt(records, "station").unionByName(melt(items, "item"))
 

@@ -14,6 +14,7 @@ from ..operators import extract as E
 from ..operators import manage as G
 from ..operators import master as M
 from ..operators import report as R
+from ..operators import warnings as N
 from ..operators import workspace as K
 from . import oracle as O
 from .fixtures import duck, frame
@@ -228,12 +229,107 @@ _W = {
 
 @query("val_warnings", WATER_REC + " UNION ALL ".join([f"SELECT sheet_id, '{k}' AS warning, CAST(1 AS BIGINT) AS n FROM rec WHERE {v}" for k, v in _W.items()] + ["SELECT sheet_id, 'unit', count(*) FROM wit WHERE unit_code IS NULL GROUP BY sheet_id", "SELECT sheet_id, 'items', 1 FROM rec WHERE sheet_id NOT IN (SELECT sheet_id FROM wit)"]))
 def val_warnings(s, d):
-    r, i = water_records(s, d), E.water_items(water_body(s, d))
-    one = F.lit(1).cast("long").alias("n")
-    head = r.select("sheet_id", F.explode(F.array_compact(F.array(*[F.when(F.expr(v), F.lit(k)) for k, v in _W.items()]))).alias("warning"), one)
-    unit = i.where("unit_code IS NULL").groupBy("sheet_id").agg(F.count("*").alias("n")).select("sheet_id", F.lit("unit").alias("warning"), "n")
-    none = r.join(i, "sheet_id", "left_anti").select("sheet_id", F.lit("items").alias("warning"), one)
-    return head.unionByName(unit).unionByName(none)
+    return N.water(water_records(s, d), E.water_items(water_body(s, d)))
+
+
+# Air, noise and vibration: stations, mates, missing fields and warnings. Half the stations, and three of four sites, are known.
+def _station_rows(df, name):
+    return df.select(F.col("ord"), name.alias("name"), F.array(name).alias("aliases"), "coord_sys", "x", "y", F.lit(None).cast("string").alias("last_end_time"))
+
+
+def air_records(s, d):
+    none = lambda t: F.lit(None).cast(t)
+    c = s.read.parquet(f"{d}/customer.parquet").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("ord"), F.when(F.col("c_custkey") % 6 > 0, 2).alias("coord_sys"), F.col("c_acctbal").alias("x"), F.col("c_acctbal").alias("y"))
+    h = A_HEADS(s, d).withColumns({"coord_sys": none("int"), "x": none("double"), "y": none("double")})
+    return M.match_station(h, _station_rows(c, F.concat(F.lit("站"), F.col("ord").cast("string"))))
+
+
+def noise_records(s, d):
+    """Noise records, vibration records, and these with their mates."""
+    c, st = noise(s, d), sites(s, d).where("(ord DIV 2) % 4 <> 2")
+    n, v = M.match_station(E.noise_heads(c), st), M.match_station(E.vib_heads(c), st)
+    return n, v, E.vib_mates(n, v)
+
+
+_AIR_REC = O.air("").rstrip() + ", rec AS (SELECT ah.*, station_raw AS site, c_custkey IS NOT NULL AS known, CASE WHEN c_custkey % 6 > 0 THEN 2 END AS coord_sys, c_acctbal AS x, c_acctbal AS y FROM ah LEFT JOIN customer ON c_custkey % 2 = 0 AND station_raw = '站' || c_custkey)"
+_SITE_KNOWN = _SITE.replace("FROM supplier)", "FROM supplier WHERE (s_suppkey // 2) % 4 <> 2)").replace("AS site FROM", "AS site, name IS NOT NULL AS known FROM")
+_REC_COLUMNS = "sheet_id, site, known, category, date_start, time_start, date_end, time_end, ctrl_std, ctrl_zone"
+_NOISE_REC = O.noise("").rstrip() + f",\n{_SITE_KNOWN}, m AS (SELECT site, date_start, min(sheet_id) AS mate FROM ns GROUP BY ALL), vm AS (SELECT vs.*, m.mate, ns.coord_sys, ns.x, ns.y, ns.license FROM vs LEFT JOIN m ON m.site = vs.site AND m.date_start IS NOT DISTINCT FROM vs.date_start LEFT JOIN ns ON ns.sheet_id = m.mate)"
+_NOISE_REC += f", rec AS (SELECT {_REC_COLUMNS}, coord_sys, x, y, license FROM ns UNION ALL SELECT {_REC_COLUMNS}, coord_sys, x, y, license FROM vm), it AS (SELECT * FROM nit UNION ALL SELECT * FROM vit)"
+
+
+def _missing_sql(module: str, head: str, items: str) -> str:
+    keys = {lv: [c.key for c in R.COLUMNS[module] if c.required and c.level == lv] for lv in ("station", "item")}
+    value = _VAL if module == "air" else lambda k: "CAST(value_num AS VARCHAR)" if k == "value" else _VAL(k)
+    blank = lambda k: f"coalesce({O.tr(value(k))}, '') = ''"
+    parts = [f"SELECT sheet_id, CAST(NULL AS INTEGER) AS item_idx, '{k}' AS key FROM rec WHERE {blank(k)}" for k in keys["station"]] + [f"SELECT sheet_id, item_idx, '{k}' FROM {items} WHERE {blank(k)}" for k in keys["item"]]
+    return head + " " + " UNION ALL ".join(parts)
+
+
+@query("val_required_air", _missing_sql("air", _AIR_REC, "ait"))
+def val_required_air(s, d):
+    return R.missing(air_records(s, d), E.air_items(air(s, d)), "air")
+
+
+@query("val_required_noise", _missing_sql("noise", _NOISE_REC, "it"))
+def val_required_noise(s, d):
+    c, (n, _, v) = noise(s, d), noise_records(s, d)
+    return R.missing(n.unionByName(v, allowMissingColumns=True), E.noise_items(c).unionByName(E.vib_items(c)), "noise")
+
+
+def _warning_sql(kinds: list[tuple[str, str, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT sheet_id, '{k}' AS warning, count(*) AS n FROM {t} WHERE {w} GROUP BY sheet_id" for t, k, w in kinds)
+
+
+_NO_PLACE = "NOT known AND (coord_sys IS NULL OR x IS NULL OR y IS NULL)"
+
+
+@query("val_warnings_air", _AIR_REC + ", sf AS (SELECT sheet_id FROM a1 WHERE NOT contains(M6, '監測地點')) " + _warning_sql([
+    ("sf", "site", "TRUE"), ("rec", "license", "license IS NULL"), ("rec", "time", "date_start IS NULL"), ("rec", "midnight", "time_start = '00:00'"), ("rec", "station", _NO_PLACE),
+    ("ait", "value", "missing"), ("ait", "unit", "unit_code IS NULL"), ("ait", "method", "method_out IS NULL")]))
+def val_warnings_air(s, d):
+    return N.air(air_records(s, d), E.air_items(air(s, d)))
+
+
+@query("val_warnings_noise", _NOISE_REC + " " + _warning_sql([
+    ("ns", "site", "station_raw = ''"), ("ns", "category", "category IS NULL"), ("ns", "time", "date_start IS NULL"), ("ns", "license", "license IS NULL"), ("ns", "x", "x IS NULL"), ("ns", "y", "y IS NULL"), ("ns", "zone", "ctrl_zone IS NULL"),
+    ("ns", "road", "category = '道路交通噪音' AND env_std = 0"), ("ns", "station", _NO_PLACE), ("vs", "site", "station_raw = ''"), ("vs", "time", "date_start IS NULL"), ("vs", "station", "NOT known"), ("vm", "mate", "mate IS NULL"),
+    ("it", "value", "value_num IS NULL"), ("it", "method", "item_idx = 0 AND method_out IS NULL")]))
+def val_warnings_noise(s, d):
+    c, (n, v, mated) = noise(s, d), noise_records(s, d)
+    return N.noise(n, E.noise_items(c)).unionByName(N.vibration(v, mated, E.vib_items(c)))
+
+
+# Extraction with edited tables: the stored tables replace the defaults.
+_EDITED = {("water", "unitCodes"): {"mg/L": 7, "ppm": 9}, ("water", "itemNameMap"): {"溶氧": "DO"}, ("water", "methodOverrides"): {"溶氧": "NIEA X1", "項目2": "NIEA X2"}, ("water", "sampleTypeMap"): {"溫泉水": "溫泉"},
+           ("air", "unitMap"): {"SO2": 1, "NO2": 2}, ("air", "methodMap"): {"NO2": "NIEA X3"}, ("noise", "constMap"): {"管制標準": "另訂"}}
+
+
+def edited(s):
+    return M.override(M.table_rows(s), M.table_rows(s, _EDITED))
+
+
+def _with_edited(sql: str) -> str:
+    for key, name in ((("water", "unitCodes"), "e"), (("water", "itemNameMap"), "name"), (("water", "methodOverrides"), "name"), (("water", "sampleTypeMap"), "B11"), (("air", "unitMap"), "name"), (("air", "methodMap"), "name")):
+        sql = sql.replace(O.case(L.DEFAULT_TABLES[key], name), O.case(_EDITED[key], name))
+    return sql.replace(f"'{L.NOISE_CONSTANTS['管制標準']}' AS ctrl_std", "'另訂' AS ctrl_std").replace(f"'{L.NOISE_CONSTANTS['頻率範圍(噪音)']}' AS freq_range", "CAST(NULL AS VARCHAR) AS freq_range")
+
+
+@query("jn_tables_water", _with_edited(O.water("SELECT sheet_id, category, category_mapped, item_idx, item_name, unit_code, method_out FROM wh JOIN wit USING (sheet_id)")))
+def jn_tables_water(s, d):
+    t = edited(s)
+    return R.flatten(E.water_heads(water_top(s, d), t), E.water_items(water_body(s, d), t)).select("sheet_id", "category", "category_mapped", "item_idx", "item_name", "unit_code", "method_out")
+
+
+@query("jn_tables_air", _with_edited(O.air("SELECT sheet_id, item_idx, item_name, unit_code, method_out FROM ait")))
+def jn_tables_air(s, d):
+    return E.air_items(air(s, d), edited(s)).select("sheet_id", "item_idx", "item_name", "unit_code", "method_out")
+
+
+@query("jn_tables_noise", _with_edited(O.noise("SELECT sheet_id, ctrl_std, freq_range FROM nh UNION ALL SELECT sheet_id, ctrl_std, freq_range FROM vh")))
+def jn_tables_noise(s, d):
+    c, t, names = noise(s, d), edited(s), ("sheet_id", "ctrl_std", "freq_range")
+    return E.noise_heads(c, t).select(*names).unionByName(E.vib_heads(c, t).select(*names))
 
 
 _FLAT = "SELECT sheet_id, item_idx, date_start, time_start, site, category, license, item_name, unit_code, compare, value_num, value_txt, mdl_num, mdl_txt, method_out, coord_sys, x, y FROM rec JOIN wit USING (sheet_id)"
