@@ -73,15 +73,14 @@ def basic_rows(projects: DataFrame, module: str) -> DataFrame:
     return p.select("project", "row_idx", *[F.get("r", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
-def compare(expected: DataFrame, actual: DataFrame, keys: list[str], tolerance: float = 1e-9, legacy: bool = False) -> DataFrame:
+def compare(expected: DataFrame, actual: DataFrame, keys: list[str], tolerance: float = 1e-9) -> DataFrame:
     """Cells ``(*keys, col, num, txt)`` of two tables that differ, by class. Numbers are equal within
-    the tolerance, a number and a text never are, blank texts are no value. ``legacy`` forgives
-    what the actual table lacks."""
+    the tolerance, a number and a text never are, blank texts are no value."""
     e, a = (d.withColumn("txt", F.when(~S.is_blank(F.col("txt")), F.col("txt"))).where("num IS NOT NULL OR txt IS NOT NULL").withColumn("here", F.lit(True)) for d in (expected, actual))
     on = [*keys, "col"]
     j = e.alias("e").join(a.alias("a"), on, "full_outer")
     same = F.coalesce(F.abs(F.col("e.num") - F.col("a.num")) < tolerance, F.col("e.txt") == F.col("a.txt"), F.lit(False))
-    kind = F.when(F.col("a.here").isNull(), "deviation" if legacy else "missing").when(F.col("e.here").isNull(), "extra").when(~same, "different").otherwise("equal")
+    kind = F.when(F.col("a.here").isNull(), "missing").when(F.col("e.here").isNull(), "extra").when(~same, "different").otherwise("equal")
     return j.select(*on, kind.alias("result"), F.coalesce("e.txt", S.number_text(F.col("e.num"))).alias("expected"), F.coalesce("a.txt", S.number_text(F.col("a.num"))).alias("actual"))
 
 

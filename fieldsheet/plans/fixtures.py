@@ -106,6 +106,20 @@ er AS (SELECT l_orderkey * 10 + l_linenumber AS seq, 't' || CAST(l_orderkey % 50
   CASE l_partkey % 6 WHEN 0 THEN ' ' ELSE ' k' || CAST(l_partkey % 40 AS STRING) END AS k,
   CASE WHEN l_partkey % 6 = 0 AND l_suppkey % 2 = 0 THEN '' WHEN l_orderkey % 500 < 200 AND l_suppkey % 9 = 0 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'x' ELSE ' ' END ELSE ' ' || CAST(l_suppkey AS STRING) || '.5' END AS v FROM {lineitem})"""
 
+_VALUES = "CASE WHEN sk % 6 = 0 AND ln % 3 = 0 THEN NULL ELSE q END"
+FX["sheets"] = f"""
+sr AS (SELECT l_suppkey AS sk, CAST(l_linenumber AS INT) AS ln, CAST(l_orderkey % 2 AS INT) AS rep, max(CAST(l_quantity AS DOUBLE)) AS q FROM {{lineitem}} GROUP BY l_suppkey, l_linenumber, l_orderkey % 2),
+sq AS (SELECT *, sk * 100 + ln * 10 + rep AS row_no, 'S' || {_S('sk')} AS site, 'I' || {_S('ln')} AS item FROM sr),
+se AS (SELECT * FROM sq WHERE sk % 11 > 0 AND NOT (rep = 1 AND sk % 4 = 1) AND NOT (ln = 3 AND sk % 13 = 0)), sa AS (SELECT * FROM sq WHERE sk % 10 <> 3 AND NOT (ln = 2 AND sk % 8 = 0)),
+ecells AS (SELECT sk, ln, rep, row_no, site, item, 'R' AS col, CAST(NULL AS DOUBLE) AS num, CASE WHEN ln % 3 = 0 AND sk % 6 > 0 THEN '<' END AS txt, CAST(NULL AS STRING) AS format FROM se
+  UNION ALL SELECT sk, ln, rep, row_no, site, item, 'S', {_VALUES}, CASE WHEN sk % 6 = 0 AND ln % 3 = 0 THEN '< ' || {_S('CAST(q AS INT)')} END, CASE WHEN sk % 2 = 0 THEN 'h:mm;@' END FROM se
+  UNION ALL SELECT sk, ln, rep, row_no, site, item, 'U', NULL, CASE WHEN sk % 5 = 0 AND ln = 2 THEN '  ' WHEN ln = 4 THEN 'M v1' ELSE 'M' END, NULL FROM se
+  UNION ALL SELECT sk, ln, rep, row_no, site, item, 'V', NULL, CASE WHEN sk % 7 > 0 THEN 'n' END, NULL FROM se),
+acells AS (SELECT sk, ln, rep, row_no, site, item, 'R' AS col, CAST(NULL AS DOUBLE) AS num, CASE WHEN ln % 3 = 0 THEN '<' END AS txt, CAST(NULL AS STRING) AS format FROM sa
+  UNION ALL SELECT sk, ln, rep, row_no, site, item, 'S', CASE WHEN sk % 9 = 0 AND ln = 1 THEN q + 1 ELSE q + 1e-12 END, NULL, CASE WHEN sk % 3 = 0 THEN 'General' WHEN sk % 2 = 0 THEN 'h:mm' END FROM sa
+  UNION ALL SELECT sk, ln, rep, row_no, site, item, 'U', NULL, CASE WHEN ln = 4 THEN 'M v2' ELSE 'M' END, NULL FROM sa
+  UNION ALL SELECT sk, ln, rep, row_no, site, item, 'V', NULL, 'n', NULL FROM sa)"""
+
 
 def duck(*names: str) -> str:
     """The fixtures as the head of a DuckDB query."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lookups as L
 from ..functions import scalars as S
 from ..operators import cells as C
+from ..operators import compare as D
 from ..operators import extract as E
 from ..operators import manage as G
 from ..operators import master as M
@@ -497,19 +498,61 @@ def tables(s, d):
     return e, a.unionByName(n)
 
 
-@query("cmp_positional", _DIFF.replace("{miss}", "missing") + "SELECT k, col, result FROM j")
+KNOWN = D.Deviations(("S3", "S13"), ("S11",), ("S6", "S12"), (("S7", "V"), ("S14", "V")), (("S5", "I2", "U"),), {"I4": ("M v1", "M v2")})
+
+
+def sheet_cells(s, d):
+    return frame(s, d, "sheets", "ecells"), frame(s, d, "sheets", "acells")
+
+
+def sheets_at(s, d):
+    """The same cells with their positions."""
+    at = {"sheet": F.col("site"), "row": F.col("ln") * 2 + F.col("rep"), "col": F.instr(F.lit("RSUV"), F.col("col")) - 1}
+    return tuple(c.withColumns(at) for c in sheet_cells(s, d))
+
+
+_AT = duck("sheets") + ", " + ", ".join(f"{x}p AS (SELECT site AS sheet, ln * 2 + rep AS row, CAST(instr('RSUV', col) - 1 AS INTEGER) AS col, num, txt, format FROM {x}cells WHERE num IS NOT NULL OR txt IS NOT NULL)" for x in "ea") + " "
+_FORMAT = lambda x: f"coalesce(regexp_replace({x}.format, ';@$', ''), 'General')"
+
+
+@query("cmp_positional", _AT + f"SELECT coalesce(e.sheet, a.sheet) AS sheet, coalesce(e.row, a.row) AS row, coalesce(e.col, a.col) AS col, CASE WHEN a.sheet IS NULL THEN 'missing' WHEN e.sheet IS NULL THEN 'extra' WHEN coalesce(abs(e.num - a.num) < 1e-9, e.txt = a.txt, FALSE) THEN 'equal' ELSE 'different' END AS result, coalesce(e.num IS NOT NULL AND a.num IS NOT NULL AND {_FORMAT('e')} <> {_FORMAT('a')}, FALSE) AS format_differs FROM ep e FULL JOIN ap a ON e.sheet = a.sheet AND e.row = a.row AND e.col = a.col")
 def cmp_positional(s, d):
-    return R.compare(*tables(s, d), ["k"]).select("k", "col", "result")
+    return D.positional(*sheets_at(s, d), format_columns=(1,))
 
 
-@query("cmp_by_station", _DIFF.replace("{miss}", "missing") + "SELECT k, count(*) FILTER (result <> 'equal') AS diffs, count(*) AS cells FROM j GROUP BY k")
+@query("cmp_extents", _AT + ", x AS (SELECT sheet, max(row) AS r, max(col) AS c FROM ep GROUP BY sheet), y AS (SELECT sheet, max(row) AS r, max(col) AS c FROM ap GROUP BY sheet) SELECT * FROM (SELECT coalesce(x.sheet, y.sheet) AS sheet, coalesce(x.r, 0) AS row_expected, coalesce(x.c, 0) AS col_expected, coalesce(y.r, 0) AS row_actual, coalesce(y.c, 0) AS col_actual FROM x FULL JOIN y ON x.sheet = y.sheet) WHERE row_expected <> row_actual OR col_expected <> col_actual")
+def cmp_extents(s, d):
+    return D.extents(*sheets_at(s, d))
+
+
+# One wide row a row of a sheet, cells of each column as a pair of number and text.
+_WIDE = duck("sheets") + ", " + ", ".join(f"{x}w AS (SELECT site, item, row_no, " + ", ".join(f"max(num) FILTER (col = '{c}') AS {c}n, nullif(trim(max(txt) FILTER (col = '{c}')), '') AS {c}t" for c in "RSUV") + f" FROM {x}cells GROUP BY ALL)" for x in "ea")
+_LEGACY = "site IN ('S6', 'S12') AND St LIKE '<%' AND Rt IS NULL"
+_READ = f", ex AS (SELECT site, item, row_no, Rn, CASE WHEN {_LEGACY} THEN '<' ELSE Rt END AS Rt, CASE WHEN {_LEGACY} THEN CAST(trim(substr(St, 2)) AS DOUBLE) ELSE Sn END AS Sn, CASE WHEN {_LEGACY} THEN NULL ELSE St END AS St, Un, Ut, Vn, Vt FROM ew)"
+
+
+def _paired(expected: str, deviation: str) -> str:
+    """Cells of the output's rows and the first expected row of their key, by column; pairs without any value aren't there."""
+    one = "SELECT a.site, a.item, a.row_no, '{c}' AS col, e.{c}n AS en, e.{c}t AS et, a.{c}n AS an, a.{c}t AS atx FROM aw a JOIN fe e ON e.site = a.site AND e.item = a.item"
+    cells = " UNION ALL ".join(one.replace("{c}", c) for c in "RSUV")
+    return (f", fe AS (SELECT * FROM {expected} QUALIFY row_number() OVER (PARTITION BY site, item ORDER BY row_no) = 1), cl AS (SELECT * FROM ({cells}) WHERE coalesce(CAST(en AS VARCHAR), et, CAST(an AS VARCHAR), atx) IS NOT NULL)"
+            f", cr AS (SELECT site, item, row_no, col, CASE WHEN coalesce(abs(en - an) < 1e-9, et = atx, FALSE) THEN 'equal' {deviation} ELSE 'different' END AS result FROM cl)"
+            ", ne AS (SELECT site, count(*) AS n FROM ew GROUP BY site), na AS (SELECT site, count(*) AS n FROM aw GROUP BY site)"
+            ", xr AS (SELECT * FROM aw a WHERE site IN (SELECT site FROM ne) AND NOT EXISTS (SELECT 1 FROM fe WHERE fe.site = a.site AND fe.item = a.item)) ")
+
+
+@query("cmp_by_station", _WIDE + _READ + _paired("ex", "WHEN en IS NULL AND et IS NULL AND ((site IN ('S7', 'S14') AND col = 'V') OR (site = 'S5' AND item = 'I2' AND col = 'U')) THEN 'deviation' WHEN col = 'U' AND item = 'I4' AND et IN ('M v1', 'M v2') AND atx IN ('M v1', 'M v2') THEN 'deviation'")
+       + "SELECT * FROM cr UNION ALL SELECT site, item, row_no, NULL, 'extra row' FROM xr UNION ALL SELECT coalesce(ne.site, na.site), NULL, NULL, NULL, CASE WHEN na.n IS NULL THEN CASE WHEN ne.site IN ('S3', 'S13') THEN 'deviation' ELSE 'missing site' END WHEN ne.n IS NULL THEN 'extra site' ELSE 'row count' END FROM ne FULL JOIN na ON ne.site = na.site WHERE ne.n IS DISTINCT FROM na.n")
 def cmp_by_station(s, d):
-    return R.compare(*tables(s, d), ["k"]).groupBy("k").agg(F.count_if(F.col("result") != "equal").alias("diffs"), F.count("*").alias("cells"))
+    return D.by_station(*sheet_cells(s, d), known=KNOWN)
+
+
+_KEY = "'{\"site\":\"' || site || '\",\"item\":\"' || item || '\"}' AS item"
 
 
-@query("cmp_by_block", _DIFF.replace("{miss}", "deviation") + "SELECT result, count(*) AS n FROM j GROUP BY result")
+@query("cmp_by_block", _WIDE + _paired("ew", "") + f"SELECT site, {_KEY}, row_no, col, result FROM cr UNION ALL SELECT site, {_KEY}, row_no, NULL, 'extra row' FROM xr UNION ALL SELECT site, {_KEY}, row_no, NULL, 'missing row' FROM ew e WHERE site IN (SELECT site FROM na) AND NOT EXISTS (SELECT 1 FROM aw WHERE aw.site = e.site AND aw.item = e.item) UNION ALL SELECT coalesce(ne.site, na.site), NULL, NULL, NULL, CASE WHEN na.n IS NULL OR na.site = 'S11' THEN 'deviation' ELSE 'extra block' END FROM ne FULL JOIN na ON ne.site = na.site WHERE ne.n IS NULL OR na.n IS NULL")
 def cmp_by_block(s, d):
-    return R.compare(*tables(s, d), ["k"], legacy=True).groupBy("result").agg(F.count("*").alias("n"))
+    return D.by_block(*sheet_cells(s, d), ["site"], ["item"], KNOWN)
 
 
 @query("cmp_verdict", _DIFF.replace("{miss}", "missing") + "SELECT count(*) AS compared, count(*) FILTER (result = 'equal') AS equal, count(*) FILTER (result IN ('different', 'missing', 'extra')) AS fails FROM j")
