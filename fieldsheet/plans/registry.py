@@ -102,22 +102,34 @@ for args in (
 
 _MOD = "CASE WHEN contains(A3, '水質檢測報告') THEN 'water' WHEN contains(A2, '空氣品質檢測報告') OR contains(S2, '空氣品質檢測報告') THEN 'air' WHEN contains(C41, 'L日') OR contains(A3, '環境振動測定報告') THEN 'noise' END"
 _ROUTE = ",\n" + O.pivot(("A2", "A3", "S2", "C41"), "rh") + f", rt AS (SELECT sheet_id, {_MOD} AS module FROM rh) "
+_OWN = {"water": 0, "air": 1, "noise": 2}
+#: Sheets of all modules in one table; some noise sheets carry a title of water, which comes first.
+_MIXED = "WITH cells AS (" + " UNION ALL ".join(f"SELECT sheet_id * 10 + {i} AS sheet_id, addr, num, txt FROM ({duck(m)} SELECT * FROM cells)" for m, i in _OWN.items())
+_MIXED += f" UNION ALL SELECT sheet_id * 10 + 2, 'A3', NULL, '水質檢測報告' FROM ({duck('noise')} SELECT * FROM cells) WHERE addr = 'C41' AND sheet_id % 4 = 0)" + _ROUTE
 
 
-@query("flt_detect_route", duck("noise") + _ROUTE + "SELECT sheet_id, module FROM rt")
+def mixed(s, d, titles: bool = True):
+    """Cells of all modules, each with the numbers of its own sheets."""
+    parts = [f(s, d).select((F.col("sheet_id") * 10 + i).alias("sheet_id"), "addr", "col", "row_no", "num", "txt") for f, i in ((water, 0), (air, 1), (noise, 2))]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    title = noise(s, d).where("addr = 'C41' AND sheet_id % 4 = 0").select((F.col("sheet_id") * 10 + 2).alias("sheet_id"), F.lit("A3").alias("addr"), F.lit("A").alias("col"), F.lit(3).alias("row_no"), F.lit(None).cast("double").alias("num"), F.lit("水質檢測報告").alias("txt"))
+    return out.unionByName(title) if titles else out
+
+
+@query("flt_detect_route", _MIXED + "SELECT sheet_id, module FROM rt")
 def flt_detect_route(s, d):
-    return C.route(noise(s, d)).select("sheet_id", "module")
+    return C.route(mixed(s, d)).select("sheet_id", "module")
 
 
-@query("flt_unrouted_warn", duck("noise") + _ROUTE + "SELECT sheet_id, 'sheet ' || sheet_id || ': no module recognises it' AS message FROM rt WHERE module IS NULL")
+@query("flt_unrouted_warn", _MIXED + "SELECT sheet_id, 'sheet ' || sheet_id || ': no module recognises it' AS message FROM rt WHERE module IS NULL")
 def flt_unrouted_warn(s, d):
-    r = C.route(noise(s, d)).where("module IS NULL")
+    r = C.route(mixed(s, d)).where("module IS NULL")
     return r.select("sheet_id", F.concat(F.lit("sheet "), F.col("sheet_id").cast("string"), F.lit(": no module recognises it")).alias("message"))
 
 
-@query("flt_single_module", duck("noise") + _ROUTE + "SELECT sheet_id, coalesce(module = 'noise', FALSE) AS accepted FROM rt")
+@query("flt_single_module", _MIXED + "SELECT sheet_id, coalesce(contains(C41, 'L日') OR contains(A3, '環境振動測定報告'), FALSE) AS accepted FROM rh")
 def flt_single_module(s, d):
-    return C.route(noise(s, d), ("noise",)).select("sheet_id", F.col("module").isNotNull().alias("accepted"))
+    return C.route(mixed(s, d), ("noise",)).select("sheet_id", F.col("module").isNotNull().alias("accepted"))
 
 
 @query("src_admit_files", "WITH f AS (SELECT p_partkey, p_name || CASE p_partkey % 5 WHEN 0 THEN '.XLS' WHEN 1 THEN '.xlsx' WHEN 2 THEN '.xlsm' WHEN 3 THEN '.csv' ELSE '.xlsx.pdf' END AS file FROM part) SELECT p_partkey, file, regexp_matches(lower(file), '\\.(xls|xlsx|xlsm)$') AS accepted FROM f")
@@ -648,9 +660,15 @@ def fn_missing_message(s, d):
     return m.select("sheet_id", "item_idx", "key", K.missing_message(F.col("site"), F.col("item_name"), F.col("item_idx")).alias("message"))
 
 
-@query("src_ingest_all", O.noise("").rstrip() + f", {_SITE}, a AS (SELECT sheet_id, 'noise' AS module, station_raw, site, category, date_start, license FROM ns UNION ALL SELECT sheet_id, 'noise', station_raw, site, category, date_start, NULL FROM vs) SELECT sheet_id, module, station_raw, site, category, date_start, license, CASE WHEN site <> '' AND date_start <> '' THEN module || '|' || site || '|' || date_start END AS key FROM a")
+_ALL = "WITH a AS (" + " UNION ALL ".join(
+    f"SELECT sheet_id * 10 + {_OWN[m]} AS sheet_id, '{m}' AS module, station_raw, {'site' if m == 'noise' else 'station_raw AS site'}, category, date_start, license FROM ({sql})" for m, sql in (
+        ("water", O.water("SELECT * FROM wh")), ("air", O.air("SELECT * FROM ah")),
+        ("noise", O.noise("").rstrip() + f", {_SITE} SELECT sheet_id, station_raw, site, category, date_start, license FROM ns UNION ALL SELECT sheet_id, station_raw, site, category, date_start, NULL FROM vs"))) + ") "
+
+
+@query("src_ingest_all", _ALL + "SELECT sheet_id, module, station_raw, site, category, date_start, license, CASE WHEN site <> '' AND date_start <> '' THEN module || '|' || site || '|' || date_start END AS key FROM a")
 def src_ingest_all(s, d):
-    return K.ingest(noise(s, d), stations=sites(s, d)).select("sheet_id", "module", "station_raw", "site", "category", "date_start", "license", "key")
+    return K.ingest(mixed(s, d, titles=False), stations=sites(s, d)).select("sheet_id", "module", "station_raw", "site", "category", "date_start", "license", "key")
 
 
 @query("agg_sheet_dimension", O.water("SELECT sheet_id, max(row_no) AS last_row, max(ascii(col) - 64) AS last_col, count(*) AS n FROM cells WHERE num IS NOT NULL OR txt IS NOT NULL GROUP BY sheet_id"))

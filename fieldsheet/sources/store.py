@@ -46,8 +46,11 @@ class Store:
         out = fs.create(tmp, True)
         out.write(bytearray(at, "utf-8"))
         out.close()
-        fs.delete(p, False)
-        fs.rename(tmp, p)
+        # One rename over the old pointer: a reader finds the old rows or the new ones.
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        over = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(tmp, p, over)
 
     def put(self, name: str, rows: DataFrame) -> None:
         """Insert, or replace what has the same key."""
