@@ -112,13 +112,17 @@ def column_name(n: int) -> str:
 STYLES = {"s": 0, "n": 1, "d": 2, "tm": 3}
 
 
-def _sheet(header: list[str], rows: Iterable[list]) -> str:
+def _text(v) -> str:
+    return escape(str(v), {'"': "&quot;", "\r\n": "&#10;", "\n": "&#10;"})
+
+
+def _sheet(header: list[str], rows: Iterable[list], widths: dict[str, float]) -> str:
     def cell(r: int, i: int, t: str, v) -> str:
         at, style = f'{column_name(i)}{r}', 4 if r == 1 else STYLES[t]
         if v is None or v == "":
             return f'<c r="{at}" s="{style}"/>'
         if t == "s":
-            return f'<c r="{at}" s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+            return f'<c r="{at}" s="{style}" t="inlineStr"><is><t xml:space="preserve">{_text(v)}</t></is></c>'
         return f'<c r="{at}" s="{style}"><v>{v!r}</v></c>'
 
     lines, widest, n = [], len(header), 1
@@ -126,12 +130,14 @@ def _sheet(header: list[str], rows: Iterable[list]) -> str:
     for n, row in enumerate(rows, 2):
         widest = max(widest, len(row))
         lines.append(f"<row r='{n}'>" + "".join(cell(n, i, t, v) for i, (t, v) in enumerate(row, 1)) + "</row>")
-    return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{MAIN[1:-1]}"><dimension ref="A1:{column_name(max(widest, 1))}{n}"/><sheetData>{"".join(lines)}</sheetData></worksheet>'
+    at = {column_name(i): i for i in range(1, widest + 1)}
+    cols = "".join(f'<col min="{at[c]}" max="{at[c]}" width="{w}" customWidth="1"/>' for c, w in widths.items() if c in at)
+    return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{MAIN[1:-1]}"><dimension ref="A1:{column_name(max(widest, 1))}{n}"/>{f"<cols>{cols}</cols>" if cols else ""}<sheetData>{"".join(lines)}</sheetData></worksheet>'
 
 
-def write_workbook(sheets: list[tuple[str, list[str], Iterable[list]]]) -> bytes:
-    """Sheets of ``(name, header, rows)``; a row is a list of ``(type, value)``. Equal input gives equal
-    bytes: entries are stored with a fixed time."""
+def write_workbook(sheets: list[tuple[str, list[str], Iterable[list]]], widths: dict[str, dict[str, float]] | None = None) -> bytes:
+    """Sheets of ``(name, header, rows)``; a row is a list of ``(type, value)``; ``widths`` are those of a sheet's
+    columns by letter. Equal input gives equal bytes: entries are stored with a fixed time."""
     xml = '<?xml version="1.0" encoding="UTF-8"?>'
     formats = "".join(f'<xf numFmtId="{f}" fontId="0" fillId="0" borderId="0" xfId="0" applyNumberFormat="1"/>' for f in (0, 0, 14, 20, 0))
     kinds = "application/vnd.openxmlformats-officedocument.spreadsheetml"
@@ -143,7 +149,7 @@ def write_workbook(sheets: list[tuple[str, list[str], Iterable[list]]]) -> bytes
         "xl/_rels/workbook.xml.rels": f'{xml}<Relationships xmlns="{PACKAGE[1:-1]}">' + "".join(f'<Relationship Id="rId{i}" Type="{REL[1:-1]}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
         + f'<Relationship Id="rId{len(sheets) + 1}" Type="{REL[1:-1]}/styles" Target="styles.xml"/></Relationships>',
         "xl/styles.xml": f'{xml}<styleSheet xmlns="{MAIN[1:-1]}"><fonts count="1"><font><sz val="12"/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="5">{formats}</cellXfs></styleSheet>',
-    } | {f"xl/worksheets/sheet{i}.xml": _sheet(h, rows) for i, (_, h, rows) in enumerate(sheets, 1)}
+    } | {f"xl/worksheets/sheet{i}.xml": _sheet(h, rows, (widths or {}).get(n, {})) for i, (n, h, rows) in enumerate(sheets, 1)}
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
         for name, text in files.items():
